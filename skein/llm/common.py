@@ -122,11 +122,11 @@ def bounded_sample(rows: DataFrame, label: str, order: Column, per_label: int, m
     return [(r["doc_id"], r["text"], r["label"]) for r in out]
 
 
-def held(key: tuple, make):  # noqa: ANN001, ANN201
-    """What ``make`` returns, kept for later tasks of the same Python worker (a tokenizer, a word cache)."""
+def held(kind: str, key: object, make):  # noqa: ANN001, ANN201
+    """What ``make`` returns, kept for later tasks of the same Python worker; one object of each kind."""
     import sys
 
     kept = sys.__dict__.setdefault("_skein_held", {})
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    if kept.get(kind, (None,))[0] != key:
+        kept[kind] = (key, make())
+    return kept[kind][1]

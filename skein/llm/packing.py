@@ -34,7 +34,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end
     """A row per piece: doc_id, piece, start, length, ids (little-endian unsigned 32-bit) and their crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = held(("words", tokenizer_path, 4), lambda: WordIds(tokenizer_path)), np.array([end_id], dtype="<u4").tobytes()
+        encoder, end = held("words", (tokenizer_path, 4), lambda: WordIds(tokenizer_path)), np.array([end_id], dtype="<u4").tobytes()
         step = capacity * 4
         for batch in slices(batches, "text"):
             columns: list[list] = [[], [], [], [], [], []]
