@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import langid, packing
+from skein.llm import langid, packing, quality, toxicity
 from skein.llm.common import remainder
 
 ORACLES: dict[str, str] = {}
@@ -23,6 +23,18 @@ def _vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _labelled(spark: SparkSession, sf_dir: str, docs: DataFrame, divisor: int, kept_out: int) -> DataFrame:
+    """The labelled rows that may be learned from: those whose id hash has another remainder."""
+    docs = docs.where(remainder(F.col("doc_id"), divisor) != kept_out).select("doc_id", "text")
+    return docs.join(_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id")
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = quality.score(docs, quality.fit(_labelled(spark, sf_dir, docs, 4, 2)))
+    return found.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(_table(spark, sf_dir, "documents"), _vocabulary(), capacity=4096, end_id=1)
     return packed.placement.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", F.col("offset").cast("bigint").alias("offset"))
@@ -35,7 +47,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.fit(_labelled(spark, sf_dir, docs, 5, 0)))
+    return found.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_classifier": op3_quality_classifier,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_language_id": op7_language_id,
+    "op8_toxicity": op8_toxicity,
 }
