@@ -104,22 +104,28 @@ def remainder(doc_id: Column, divisor: int) -> Column:
     return F.crc32(doc_id.cast("string")) % divisor
 
 
-def bounded_sample(rows: DataFrame, label: str, order: Column, per_label: int, max_bytes: int, max_labels: int = 64) -> list:
-    """Up to ``per_label`` rows (doc_id, text, label) of each label: those with the smallest ``order`` hash.
+def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, max_bytes: int, max_labels: int = 64) -> tuple[list[tuple], dict]:
+    """Texts of up to ``per_label`` labelled ids of each label, and each label's count among all ids.
 
-    Two passes: counts by label give each label's share of the hash range, then only rows within that
-    share are sorted. Rows whose text exceeds ``max_bytes`` are not sampled, so the driver holds at most
-    ``max_labels * per_label * max_bytes``. Ties of the hash are broken by id.
+    Counts by label give each label's share of the hash range; only ids within that share are sorted, and
+    those with the smallest hashes (then ids) are kept. Their texts come by a join with that bounded list.
+    Texts over ``max_bytes`` are left out, so the driver holds at most
+    ``2 * max_labels * per_label * max_bytes`` (twice, for ids that repeat). Returns (doc_id, text, label).
     """
-    rows = rows.where(F.col(label).isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
-    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).collect()
-    span = F.pmod(order, F.lit(1 << 20))
-    out = []
-    for row in counts:
-        share = min(1 << 20, int((1 << 20) * (per_label * 1.3 + 60) / row["count"]) + 1)
-        picked = rows.where((F.col(label) == F.lit(row[label])) & (span < share))
-        out += picked.select("doc_id", "text", F.col(label).alias("label"), order.alias("h")).orderBy("h", "doc_id").limit(per_label).collect()
-    return [(r["doc_id"], r["text"], r["label"]) for r in out]
+    ids = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).alias("label")).where("label is not null and doc_id is not null")
+    counts = {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(max_labels).collect()}
+    hashed = ids.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)))
+    picked: dict[int, object] = {}
+    for value, n in counts.items():
+        share = min(1 << 20, int((1 << 20) * (per_label * 1.3 + 60) / n) + 1)
+        rows = hashed.where((F.col("label") == F.lit(value)) & (F.col("h") < share)).orderBy("h", "doc_id").limit(per_label).collect()
+        picked.update((r["doc_id"], value) for r in rows)
+    if not picked:
+        return [], counts
+    listed = docs.sparkSession.createDataFrame([(i,) for i in sorted(picked)], "wanted bigint")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= max_bytes)
+    found = texts.join(F.broadcast(listed), F.col("doc_id") == F.col("wanted")).select("doc_id", "text").limit(2 * len(picked)).collect()
+    return [(i, text, picked[i]) for i, text in sorted((r["doc_id"], r["text"]) for r in found)], counts
 
 
 def held(kind: str, key: object, make):  # noqa: ANN001, ANN201

@@ -211,9 +211,9 @@ class Scorer:
         return langs, score, entropy
 
 
-def fit(labelled: DataFrame, per_language: int = 400, max_bytes: int = 1 << 16) -> Model | None:
-    """Learn from rows (doc_id, text, lang): a hash sample of at most ``per_language`` for each language."""
-    rows = bounded_sample(labelled.select("doc_id", "text", "lang"), "lang", F.xxhash64("doc_id"), per_language, max_bytes)
+def fit(docs: DataFrame, labels: DataFrame, label: str = "lang", per_language: int = 400, max_bytes: int = 1 << 16) -> Model | None:
+    """Learn from the texts of ``docs`` with a language in ``labels``: at most ``per_language`` for each."""
+    rows, _ = bounded_sample(docs, labels, label, per_language, max_bytes)
     return learn([(text, lang) for _, text, lang in rows])
 
 

@@ -109,12 +109,10 @@ def learn(samples: list[tuple[str, int]], shares: dict[int, float], dimensions:
     return Model(idf, axes, v.astype(np.float32), labels, shares.get(1, 0.5), weights, neighbours)
 
 
-def fit(labelled: DataFrame, label: str = "quality", per_label: int = 2000, max_bytes: int = 1 << 17) -> Model | None:
-    """Learn from rows (doc_id, text, ``label`` of 0 or 1): at most ``per_label`` of each label, by hash."""
-    rows = labelled.where(F.col(label).isin(0, 1)).select("doc_id", "text", label)
-    n = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
-    sample = bounded_sample(rows, label, F.xxhash64("doc_id"), per_label, max_bytes)
-    return learn([(text, y) for _, text, y in sample], {y: k / sum(n.values()) for y, k in n.items()})
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: int = 2000, max_bytes: int = 1 << 17) -> Model | None:
+    """Learn from the texts of ``docs`` with a ``label`` of 0 or 1 in ``labels``: at most ``per_label`` of each, by hash."""
+    rows, n = bounded_sample(docs, labels.where(F.col(label).isin(0, 1)), label, per_label, max_bytes)
+    return learn([(text, y) for _, text, y in rows], {y: k / sum(n.values()) for y, k in n.items()})
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -23,15 +23,14 @@ def _vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _labelled(spark: SparkSession, sf_dir: str, docs: DataFrame, divisor: int, kept_out: int) -> DataFrame:
-    """The labelled rows that may be learned from: those whose id hash has another remainder."""
-    docs = docs.where(remainder(F.col("doc_id"), divisor) != kept_out).select("doc_id", "text")
-    return docs.join(_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), "doc_id")
+def _labels(spark: SparkSession, sf_dir: str, divisor: int, kept_out: int) -> DataFrame:
+    """The labels that may be learned from: those whose id hash has another remainder."""
+    return _table(spark, sf_dir, "labels").where(remainder(F.col("doc_id"), divisor) != kept_out)
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    found = quality.score(docs, quality.fit(_labelled(spark, sf_dir, docs, 4, 2)))
+    found = quality.score(docs, quality.fit(docs, _labels(spark, sf_dir, 4, 2)))
     return found.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
@@ -42,14 +41,14 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = langid.fit(docs.where(remainder(F.col("doc_id"), 3) != 1))
+    model = langid.fit(docs, docs.where(remainder(F.col("doc_id"), 3) != 1))
     found = langid.identify(docs, model)
     return found.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "entropy", "rejected")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    found = toxicity.score(docs, toxicity.fit(_labelled(spark, sf_dir, docs, 5, 0)))
+    found = toxicity.score(docs, toxicity.fit(docs, _labels(spark, sf_dir, 5, 0)))
     return found.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence")
 
 

@@ -142,11 +142,10 @@ def learn(samples: list[tuple[int, str, int]], shares: dict[int, float], z: floa
     return index
 
 
-def fit(labelled: DataFrame, label: str = "toxic", per_label: int = 3000, max_bytes: int = 1 << 16) -> Index | None:
-    """Learn from rows (doc_id, text, ``label`` of 0 or 1): at most ``per_label`` of each label, by hash."""
-    rows = labelled.where(F.col(label).isin(0, 1)).select("doc_id", "text", label)
-    n = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
-    return learn(bounded_sample(rows, label, F.xxhash64("doc_id"), per_label, max_bytes), {y: k / sum(n.values()) for y, k in n.items()})
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = 3000, max_bytes: int = 1 << 16) -> Index | None:
+    """Learn from the texts of ``docs`` with a ``label`` of 0 or 1 in ``labels``: at most ``per_label`` of each, by hash."""
+    rows, n = bounded_sample(docs, labels.where(F.col(label).isin(0, 1)), label, per_label, max_bytes)
+    return learn(rows, {y: k / sum(n.values()) for y, k in n.items()})
 
 
 class Scorer:
