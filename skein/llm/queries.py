@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import langid, packing, quality, simhash, toxicity
+from skein.llm import langid, packing, quality, sharding, simhash, tokenstore, toxicity
 from skein.llm.common import remainder
 
 ORACLES: dict[str, str] = {}
@@ -57,10 +57,45 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence")
 
 
+SHARD_BYTES = 1 << 20
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.assign(_table(spark, sf_dir, "documents"), "doc_id", F.octet_length("text"), SHARD_BYTES)
+    return found.select(F.col("key").alias("doc_id"), F.col("size").alias("n_bytes"), F.col("depth").cast("bigint").alias("depth"), "prefix", F.col("bytes").cast("bigint").alias("shard_bytes"), F.col("rows").cast("bigint").alias("shard_docs"))
+
+
+ORACLES["op9_sharding"] = f"""
+WITH hashed AS (
+    SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT AS h FROM documents
+), split AS (
+    SELECT doc_id, n_bytes, d AS depth, h >> (60 - d)::INTEGER AS prefix FROM hashed, range(0, 61) AS t(d)
+), buckets AS (
+    SELECT depth, prefix, sum(n_bytes) AS shard_bytes, count(*) AS shard_docs FROM split GROUP BY depth, prefix
+), fitting AS (
+    SELECT s.doc_id, min(s.depth) AS depth FROM split s JOIN buckets b USING (depth, prefix)
+    WHERE b.shard_bytes <= {SHARD_BYTES} OR b.shard_docs = 1 GROUP BY s.doc_id
+)
+SELECT s.doc_id, s.n_bytes, s.depth, s.prefix, CAST(b.shard_bytes AS BIGINT) AS shard_bytes, b.shard_docs
+FROM fitting f JOIN split s USING (doc_id, depth) JOIN buckets b USING (depth, prefix)
+"""
+
+
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = tokenstore.build(_table(spark, sf_dir, "documents"), _vocabulary(), key="skein-epoch-0", stride=512)
+    if not store.n:
+        return store.index.withColumns({"shard": F.col("slot"), "byte_offset": F.col("slot"), "ids_crc32": F.col("slot")})
+    found = store.index.join(store.checksums(spark), "slot")
+    place = {"shard": (F.col("slot") / store.per_shard).cast("bigint"), "byte_offset": F.col("slot") % store.per_shard * store.record}
+    return found.withColumns(place).select("doc_id", "piece", "n_ids", "number", "slot", "shard", "byte_offset", "ids_crc32")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_language_id": op7_language_id,
     "op8_toxicity": op8_toxicity,
+    "op9_sharding": op9_sharding,
+    "op10_training_order": op10_training_order,
 }
