@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import langid, packing, quality, sharding, simhash, tokenstore, toxicity
+from skein.llm import decontaminate, langid, packing, pii, quality, sharding, simhash, tokenstore, toxicity
 from skein.llm.common import remainder
 
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,10 @@ def _labels(spark: SparkSession, sf_dir: str, divisor: int, kept_out: int) -> Da
     return _table(spark, sf_dir, "labels").where(remainder(F.col("doc_id"), divisor) != kept_out)
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), rate=0.08)
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = quality.score(docs, quality.fit(docs, _labels(spark, sf_dir, 4, 2)))
@@ -39,6 +43,13 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+PII_KEY = "skein-surrogates"
+
+
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogates(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(_table(spark, sf_dir, "documents"), _vocabulary(), capacity=4096, end_id=1)
     return packed.placement.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", F.col("offset").cast("bigint").alias("offset"))
@@ -91,8 +102,10 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_pii_surrogates": op5_pii_surrogates,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_language_id": op7_language_id,
     "op8_toxicity": op8_toxicity,
