@@ -1,16 +1,63 @@
-"""A corpus through four filters and rewrites into packed token sequences."""
+"""A corpus through four filters and rewrites into packed token sequences.
+
+Each stage is a function of (spark, docs, sf_dir) that works on all its predecessor kept. All but the last
+return the columns of ``documents``. Defined cases are those of the operators they call; rows whose
+``doc_id`` is null or repeated are kept or dropped row by row like any others.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from skein.llm import decontaminate, packing, pii, quality, queries, simhash
+from skein.llm.common import unique_names
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a quality score of 0.7 or more stay."""
+    model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    (score,) = unique_names(docs, "score")
+    return docs.withColumn(score, quality.scorer(spark, model)(F.col("text").cast("string"))).where(F.col(score) >= 0.7).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    return simhash.keep_first(docs, words=3, seed=42, threshold=3)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), rate=0.08)
+
+
+def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data and secrets become surrogates in ``text``; n_chars follows where there is such a column."""
+    columns = docs.columns
+    out = pii.surrogates(docs, queries.PII_KEY).select(*columns)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 tokens, each with its sequence and offset."""
+    return queries.packed_rows(docs)
+
 
-STAGES: list = []
-#: No SQL expresses the stages: fingerprints, edit distance and token ids need code. Tested against brute force.
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("near_dedup", near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("pii_surrogates", pii_surrogates),
+    ("best_fit_packing", best_fit_packing),
+]
+#: No SQL expresses the stages: fingerprints, edit distance and token ids need code. Tested against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = queries.written(docs, name)
     return docs

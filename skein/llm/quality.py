@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.common import bounded_sample, slices
@@ -128,3 +128,18 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values, pa.float64())], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, score double")
+
+
+def scorer(spark: SparkSession, model: Model | None):  # noqa: ANN201
+    """``score`` as a function of a text column."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def of(texts):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        model, values = shared.value, texts.tolist()
+        found = [model.score(values[at : at + 256]) if model else np.full(len(values[at : at + 256]), 0.5) for at in range(0, len(values), 256)]
+        return pd.Series(np.concatenate(found) if found else np.zeros(0))
+
+    return of

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import decontaminate, langid, packing, pii, quality, sharding, simhash, tokenstore, toxicity
-from skein.llm.common import remainder
+from skein.llm import decontaminate, langid, media, packing, pii, quality, sharding, simhash, tokenstore, toxicity
+from skein.llm.common import materialize, remainder
 
 ORACLES: dict[str, str] = {}
 
@@ -28,10 +28,22 @@ def _labels(spark: SparkSession, sf_dir: str, divisor: int, kept_out: int) -> Da
     return _table(spark, sf_dir, "labels").where(remainder(F.col("doc_id"), divisor) != kept_out)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A stage's rows, stored in the shared folder and read again."""
+    return materialize(df, name)
+
+
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), rate=0.08)
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = media.store(_table(spark, sf_dir, "documents"))
+    rows = kept.manifest.select("doc_id", "n_bytes", "media_sha256", F.size("digests").alias("n_chunks"))
+    found = rows.join(kept.features(), "media_sha256")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media_sha256")).alias("media_sha256"), "feature", "n_chunks")
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = quality.score(docs, quality.fit(docs, _labels(spark, sf_dir, 4, 2)))
@@ -51,7 +63,11 @@ def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack(_table(spark, sf_dir, "documents"), _vocabulary(), capacity=4096, end_id=1)
+    return packed_rows(_table(spark, sf_dir, "documents"))
+
+
+def packed_rows(docs: DataFrame) -> DataFrame:
+    packed = packing.pack(docs, _vocabulary(), capacity=4096, end_id=1)
     return packed.placement.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", F.col("offset").cast("bigint").alias("offset"))
 
 
@@ -103,6 +119,7 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
+    "op2_media_columns": op2_media_columns,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op5_pii_surrogates": op5_pii_surrogates,

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import held, materialize, slices
+from skein.llm.common import held, materialize, slices, unique_names
 from skein.llm.components import components
 
 SLICE = 23
@@ -247,3 +247,32 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, threshold:
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     by_print = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_first(docs: DataFrame, words: int = 3, seed: int = 42, threshold: int = 3) -> DataFrame:
+    """One row of each group of ``docs``, with all its columns: the smallest doc_id, then the first stored.
+
+    Rows are told apart by a number fixed in a stored table, so repeated and null ids are no trouble.
+    """
+    row, fp = unique_names(docs, "row", "fp")
+    print_of = fingerprinter(words, seed)
+    kept = materialize(docs.withColumn(fp, print_of(F.col("text").cast("string"))).withColumn(row, F.monotonically_increasing_id()), "rows")
+    prints = kept.select(F.col(fp).alias("fp"), F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row")).alias("at"))
+    distinct = materialize(prints.groupBy("fp").agg(F.min("at").alias("at")), "distinct")
+    roots = components(links(distinct, threshold))
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("root"), "at")
+    first = rooted.groupBy("root").agg(F.min("at").alias("at")).select(F.col("at.row").alias("first"))
+    dropped = kept.select(F.col(row).alias("first")).join(first, "first", "left_anti")
+    return kept.join(dropped, kept[row] == dropped["first"], "left_anti").select(*docs.columns)
+
+
+def fingerprinter(words: int = 3, seed: int = 42):  # noqa: ANN201
+    """``fingerprint`` as a function of a text column, as a signed long."""
+
+    @F.pandas_udf("bigint")
+    def of(texts):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        return pd.Series(np.array([fingerprint(t, words, seed) for t in texts], dtype=np.uint64).view(np.int64))
+
+    return of
