@@ -1,10 +1,6 @@
 """Every named query with its equivalent SQL, gathered from the modules under ``skein.plans``."""
 
-from __future__ import annotations
+from skein.plans import graph, manifest, search, stream, wiki  # noqa: F401  they register their queries
+from skein.plans.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
