@@ -1,0 +1 @@
+"""Readers: source trees, code, Markdown and knowledge bundles."""
