@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import graph_id, partition_id, round6
 from skein.operators import graph as G
+from skein.plans import named
+from skein.plans.patterns import compile_pattern
 from skein.plans.registry import query, table
 
 NODES = {"Region": ("region", "r_regionkey", "r_name"), "Nation": ("nation", "n_nationkey", "n_name"), "Customer": ("customer", "c_custkey", "c_name"), "Supplier": ("supplier", "s_suppkey", "s_name"), "Part": ("part", "p_partkey", "p_name"), "Order": ("orders", "o_orderkey", "o_orderpriority")}
@@ -198,3 +200,46 @@ def merkle_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("rounded_scores", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount) / 7.0::DOUBLE * 1e6) / 1e6 AS score FROM lineitem")
 def rounded_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", round6(F.col("l_extendedprice") * (1 - F.col("l_discount")) / F.lit(7.0)).alias("score"))
+
+
+HOP = "(a:{0})-[:FROM_{1}]->(:{1})-[:TO_{1}]->(b:{2})"
+
+
+@query("pattern_hop", f"{WITH} SELECT a.id AS a_id, b.label AS nation FROM e JOIN n a ON a.id = source_id JOIN n b ON b.id = target_id WHERE edge_type = 'InNation' AND a.node_type = 'Supplier' AND (b.label = 'NATION_3' OR contains(b.label, '1')) ORDER BY a_id, nation LIMIT 40")
+def pattern_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    statement = f"MATCH {HOP.format('Supplier', 'InNation', 'Nation')} WHERE b.label = $name OR b.label CONTAINS '1' RETURN a.id AS a_id, b.label AS nation ORDER BY a.id, b.label LIMIT 40"
+    return compile_pattern(statement, nodes(spark, sf_dir), edges(spark, sf_dir), {"name": "NATION_3"})
+
+
+@query("pattern_not_exists", f"{WITH} SELECT id, label FROM n WHERE node_type = 'Customer' AND NOT EXISTS (SELECT 1 FROM e JOIN n o ON o.id = target_id WHERE edge_type = 'Placed' AND source_id = n.id AND o.label = '1-URGENT')")
+def pattern_not_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    statement = "MATCH (c:Customer) WHERE NOT EXISTS { MATCH (c)-[:FROM_Placed]->(:Placed)-[:TO_Placed]->(o:Order) WHERE o.label = '1-URGENT' } RETURN c.id, c.label"
+    return compile_pattern(statement, nodes(spark, sf_dir), edges(spark, sf_dir))
+
+
+@query("pattern_union_counts", f"{WITH} SELECT b.label AS label, 'region' AS kind, count(*) AS uses FROM e JOIN n a ON a.id = source_id JOIN n b ON b.id = target_id WHERE edge_type = 'InRegion' GROUP BY ALL UNION ALL SELECT b.label, 'nation', count(*) FROM e JOIN n a ON a.id = source_id JOIN n b ON b.id = target_id WHERE edge_type = 'InNation' GROUP BY ALL ORDER BY uses DESC, label, kind LIMIT 20")
+def pattern_union_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    statement = "MATCH (a)-[:InRegion]->(b:Region) RETURN b.label AS label, 'region' AS kind, count(a) AS uses UNION ALL MATCH (a)-[:InNation]->(b) WHERE b:Nation RETURN b.label AS label, 'nation' AS kind, count(a) AS uses ORDER BY uses DESC, label, kind LIMIT 20"
+    return compile_pattern(statement, nodes(spark, sf_dir), edges(spark, sf_dir))
+
+
+@query("pattern_two_hops", f"{WITH} SELECT r.label AS region, count(*) AS customers FROM e e1 JOIN e e2 ON e1.target_id = e2.source_id JOIN n c ON c.id = e1.source_id JOIN n r ON r.id = e2.target_id WHERE e1.edge_type = 'InNation' AND e2.edge_type = 'InRegion' AND c.node_type = 'Customer' GROUP BY r.label")
+def pattern_two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compile_pattern("MATCH (c:Customer)-[:InNation]->(:Nation)-[:InRegion]->(r:Region) RETURN r.label AS region, count(c) AS customers", nodes(spark, sf_dir), edges(spark, sf_dir))
+
+
+def code_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The star schema's graph under the code graph's types and relations."""
+    swap = lambda c, names: F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col(c))
+    n = nodes(spark, sf_dir).withColumn("node_type", swap("node_type", CODE))
+    return n, edges(spark, sf_dir).withColumn("edge_type", swap("edge_type", RELATIONS))
+
+
+@query("named_catalog_counts", f"{WITH} SELECT 'repository_overview' AS name, least(100, count(*)) AS n FROM n WHERE node_type IN ('Region', 'Nation') UNION ALL SELECT 'callgraph_neighborhood', least(50, count(*)) FROM e WHERE edge_type = 'Contains' UNION ALL SELECT 'unresolved_references', least(100, count(*)) FROM n WHERE node_type = 'Order' AND id NOT IN (SELECT source_id FROM e WHERE edge_type = 'Contains') UNION ALL SELECT 'high_fan_in_definitions', 50 UNION ALL SELECT 'dependency_map', 0 UNION ALL SELECT 'graph_coverage', 1")
+def named_catalog_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, e = code_graph(spark, sf_dir)
+    out = None
+    for name in ("repository_overview", "callgraph_neighborhood", "unresolved_references", "high_fan_in_definitions", "dependency_map", "graph_coverage"):
+        part = named.ask(name, n, e).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
