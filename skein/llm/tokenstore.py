@@ -18,6 +18,7 @@ below 65,536.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -81,20 +82,26 @@ class Store:
 
     def read(self, spark: SparkSession) -> DataFrame:
         """The shards as written, cut into records: slot and ids (little-endian unsigned 16-bit)."""
-        return self._records(spark, lambda part: part).toDF("slot", "ids")
+        return self._records(spark, bytes, pa.binary(), "ids binary")
 
     def checksums(self, spark: SparkSession) -> DataFrame:
         """slot and crc32 of its ids, from the shards as written."""
-        return self._records(spark, F.crc32).toDF("slot", "ids_crc32")
+        return self._records(spark, zlib.crc32, pa.int64(), "ids_crc32 bigint")
 
-    def _records(self, spark: SparkSession, of) -> DataFrame:  # noqa: ANN001
+    def _records(self, spark: SparkSession, of, kind: pa.DataType, column: str) -> DataFrame:  # noqa: ANN001
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").load(self.path)
-        shard = F.regexp_extract("path", r"shard=(\d+)", 1).cast("bigint")
-        cut = F.transform(
-            F.sequence(F.lit(0), (F.octet_length("content") / self.record).cast("int") - 1),
-            lambda i: F.struct((shard * self.per_shard + i).alias("slot"), of(F.substring(F.col("content"), i * self.record + 1, F.lit(2 * self.stride))).alias("value")),
-        )
-        return files.where("length > 0").select(F.inline(cut))
+        record, size, per_shard, name = self.record, 2 * self.stride, self.per_shard, column.split()[0]
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for shard, content in zip(batch.column("shard").to_pylist(), batch.column("content"), strict=True):
+                    data = memoryview(content.as_buffer())
+                    n = len(data) // record
+                    values = [of(data[i * record : i * record + size]) for i in range(n)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(n) + shard * per_shard, pa.int64()), pa.array(values, kind)], names=["slot", name])
+
+        shard = F.regexp_extract("path", r"shard=(\d+)", 1).cast("bigint").alias("shard")
+        return files.where("length > 0").select(shard, "content").mapInArrow(cut, f"slot bigint, {column}")
 
 
 def token_sequences(docs: DataFrame, tokenizer_path: str, stride: int, end_id: int) -> DataFrame:
@@ -120,7 +127,7 @@ def token_sequences(docs: DataFrame, tokenizer_path: str, stride: int, end_id: i
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, piece int, n_ids int, ids binary, part bigint, at bigint")
 
 
-def build(docs: DataFrame, tokenizer_path: str, key: str, stride: int = 512, end_id: int = 1, per_shard: int = 16_384, waves: int = 4, path: str | None = None, resume: bool = False) -> Store:
+def build(docs: DataFrame, tokenizer_path: str, key: str, stride: int = 512, end_id: int = 1, per_shard: int = 4_096, waves: int = 4, path: str | None = None, resume: bool = False) -> Store:
     """Tokenize, number, permute, and write the shards under ``path`` (by default in the shared folder).
 
     Numbers follow the stored sequences: their input partition, then their order in it.
