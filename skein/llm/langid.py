@@ -91,7 +91,7 @@ def _all_positions(runs: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     with np.errstate(over="ignore"):
         for n in range(ORDER):
             older = np.zeros_like(points)
-            older[n:] = points[: len(points) - n] if n else points
+            older[n:] = points[: max(0, len(points) - n)]
             h = (h ^ (older + np.uint64(n + 1))) * _PRIME
             h = h ^ (h >> np.uint64(29))
             hashes.append(h)
