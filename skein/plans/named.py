@@ -87,10 +87,10 @@ def evidence(nodes: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     return G.hop(nodes, own, "DerivedFrom").where(F.col("a_label") == name).select("a_id", "a_label", "b_id", "b_label", "b_path").orderBy("a_id", "b_id").limit(50)
 
 
-def ask(name: str, nodes: DataFrame, edges: DataFrame, **parameters: str) -> DataFrame:
-    if name not in CATALOG:
-        raise KeyError(f"unknown query {name}; known: {', '.join(sorted(CATALOG))}")
-    return CATALOG[name][2](nodes, edges, **parameters)
+def ask(question: str, nodes: DataFrame, edges: DataFrame, /, **parameters: str) -> DataFrame:
+    if question not in CATALOG:
+        raise KeyError(f"unknown query {question}; known: {', '.join(sorted(CATALOG))}")
+    return CATALOG[question][2](nodes, edges, **parameters)
 
 
 def groups(group: str | None = None) -> dict[str, str]:

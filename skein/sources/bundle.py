@@ -14,6 +14,7 @@ ENTRY = (
     "tags array<string>, timestamp string, okf_version string, extensions string, key_lines map<string,int>, body_markdown string, body_start_line int, "
     "diagnostics array<struct<severity:string,code:string,line:int,message:string>>"
 )
+PLAIN_TAGS = {f"tag:yaml.org,2002:{k}" for k in ("str", "int", "float", "bool", "null", "timestamp", "seq", "map", "merge")}
 STANDARD = ("type", "title", "description", "resource", "timestamp", "okf_version")
 
 
@@ -53,7 +54,7 @@ def _yaml(source: str):  # noqa: ANN202
     where = {k.value: k.start_mark.line + 2 for k, _ in node.value if isinstance(k, yaml.ScalarNode)}
 
     def plain(n):  # noqa: ANN001, ANN202
-        if not n.tag.startswith("tag:yaml.org,2002:"):
+        if n.tag not in PLAIN_TAGS:
             raise ValueError(f"tag {n.tag} is not allowed")
         if isinstance(n, yaml.ScalarNode):
             kind = n.tag.rsplit(":", 1)[1]
