@@ -14,12 +14,12 @@ from skein.sources.scan import EXCLUDED, language
 
 #: Kinds of events that can change a graph (fixed values).
 KINDS = ("create", "modify", "remove", "rename", "any", "other", "close_write")
-#: Folders of generated files; an include pattern must name them (fixed values).
-GENERATED = (".astro", ".kwiki", ".scryer")
+#: Folders of generated files, a tool's own ones to be added; an include pattern must name them.
+GENERATED = (".astro",)
 MOST_PATHS, MOST_BYTES = 4096, 1 << 20
 
 
-def relevant(kind: Column, path: Column, config: list[str] = (), protected: list[str] = (), include: list[str] = (), ignore: list[str] = (), exclude: list[str] = ()) -> Column:
+def relevant(kind: Column, path: Column, config: list[str] = (), protected: list[str] = (), include: list[str] = (), ignore: list[str] = (), exclude: list[str] = (), generated: tuple[str, ...] = GENERATED) -> Column:
     """Whether an event refreshes the graph: configuration files always, protected folders never, generated
     ones only if included, then patterns and the suffix decide."""
     parts = F.split(path, "/")
@@ -27,10 +27,10 @@ def relevant(kind: Column, path: Column, config: list[str] = (), protected: list
     for root in protected:
         inside = inside | (path == root) | path.startswith(root + "/")
     included = matches_any(path, list(include)) if include else F.lit(False)
-    generated = F.arrays_overlap(parts, F.array(*[F.lit(g) for g in GENERATED]))
+    made = F.arrays_overlap(parts, F.array(*[F.lit(g) for g in generated]))
     excluded = F.arrays_overlap(parts, F.array(*[F.lit(c) for c in EXCLUDED]))
     dropped = (~included if include else F.lit(False)) | matches_any(path, [*ignore, *exclude])
-    source = ~inside & (path != "") & ~excluded & (~generated | included) & ~dropped & language(path).isNotNull()
+    source = ~inside & (path != "") & ~excluded & (~made | included) & ~dropped & language(path).isNotNull()
     return kind.isin(*KINDS) & (path.isin(*config) | source if config else source)
 
 

@@ -14,11 +14,11 @@ KIND = {"signup": "create", "purchase": "modify", "error": "remove", "view": "ac
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.element_at(F.create_map(*[F.lit(x) for kv in KIND.items() for x in kv]), F.col("event_type"))
     n = F.col("event_id")
-    path = F.element_at(F.array(F.concat(F.lit("src/f"), n % 40, F.lit(".py")), F.concat(F.lit("notes/t"), n % 9, F.lit(".txt")), F.lit("target/x.rs"), F.concat(F.lit("docs/d"), n % 5), F.lit(".kwiki/p.md"), F.lit("settings.json")), (n % 6 + 1).cast("int"))
+    path = F.element_at(F.array(F.concat(F.lit("src/f"), n % 40, F.lit(".py")), F.concat(F.lit("notes/t"), n % 9, F.lit(".txt")), F.lit("target/x.rs"), F.concat(F.lit("docs/d"), n % 5), F.lit(".astro/p.md"), F.lit("settings.json")), (n % 6 + 1).cast("int"))
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), "ts", "event_id", kind.alias("kind"), path.alias("path"))
 
 
-EVENTS = "x AS (SELECT user_id AS key, ts, event_id, CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in KIND.items()) + " END AS kind, CASE event_id % 6 WHEN 0 THEN 'src/f' || event_id % 40 || '.py' WHEN 1 THEN 'notes/t' || event_id % 9 || '.txt' WHEN 2 THEN 'target/x.rs' WHEN 3 THEN 'docs/d' || event_id % 5 WHEN 4 THEN '.kwiki/p.md' ELSE 'settings.json' END AS path FROM events)"
+EVENTS = "x AS (SELECT user_id AS key, ts, event_id, CASE event_type " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in KIND.items()) + " END AS kind, CASE event_id % 6 WHEN 0 THEN 'src/f' || event_id % 40 || '.py' WHEN 1 THEN 'notes/t' || event_id % 9 || '.txt' WHEN 2 THEN 'target/x.rs' WHEN 3 THEN 'docs/d' || event_id % 5 WHEN 4 THEN '.astro/p.md' ELSE 'settings.json' END AS path FROM events)"
 
 
 @query("event_filter", f"WITH {EVENTS} SELECT kind, path, count(*) AS n FROM x WHERE kind <> 'access' AND ((starts_with(path, 'src/') AND NOT regexp_matches(path, '^src/f1.?\\.py$')) OR path = 'settings.json') GROUP BY ALL")
@@ -62,7 +62,7 @@ def refresh_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("events"), n.alias("paths"), (F.count("*") - n).alias("coalesced"), F.count_if(~F.col("path").startswith("src/")).alias("filtered"))
 
 
-@query("change_routing", f"WITH {EVENTS} SELECT DISTINCT path, CASE WHEN starts_with(path, 'docs/') THEN 'wiki' WHEN path LIKE '%.rs' OR path LIKE '%.py' THEN 'graph' END AS consumer FROM x WHERE NOT starts_with(path, '.kwiki') AND (starts_with(path, 'docs/') OR path LIKE '%.rs' OR path LIKE '%.py')")
+@query("change_routing", f"WITH {EVENTS} SELECT DISTINCT path, CASE WHEN starts_with(path, 'docs/') THEN 'wiki' WHEN path LIKE '%.rs' OR path LIKE '%.py' THEN 'graph' END AS consumer FROM x WHERE NOT starts_with(path, '.astro') AND (starts_with(path, 'docs/') OR path LIKE '%.rs' OR path LIKE '%.py')")
 def change_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from skein.streaming.refresh import route
 

@@ -146,7 +146,7 @@ def refresher(plan: Callable[[DataFrame], DataFrame], publish: Callable[[DataFra
     return each
 
 
-def route(paths: DataFrame, roots: list[str], generated: str = ".kwiki") -> DataFrame:
+def route(paths: DataFrame, roots: list[str], generated: str = ".astro") -> DataFrame:
     """Where a path's change goes: graph, wiki, both, or nowhere for generated files."""
     inside = F.lit(False)
     for root in roots:
