@@ -2,12 +2,13 @@
 
 The word tokenizer drops white space and never joins characters across it, so a text's ids are its
 words' ids in order. A word met before costs one dictionary lookup; new words go to the tokenizer
-in one call. Texts holding control characters that Python and the tokenizer class differently go to
-the tokenizer whole.
+in one call. Texts holding control characters that Python and the tokenizer class differently, or not in
+normal form C, go to the tokenizer whole.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 
@@ -15,16 +16,21 @@ import numpy as np
 
 #: Python takes these for white space, the tokenizer does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
-_PUNCTUATED = re.compile(r"([^\W\d_]+)([.,;:!?*$#%&@()\[\]{}\"/\\|+=~^-]+)\Z")
+#: Letters, then marks (each a pre-token of its own), or anything else. No apostrophe: it may open a contraction.
+_PARTS = re.compile(r"^(?:([^\W\d_]*)([.,;:!?*$#%&@()\[\]{}\"/\\|+=~^-]*)|(.+))$", re.M)
 
 
 class WordIds:
     """``encode(texts)``: each text's ids as bytes, little-endian of ``width`` bytes an id."""
 
-    def __init__(self, path: str, width: int = 4, most_words: int = 450_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, width: int = 4, most_words: int = 200_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer.from_file(path)  # for runs, which are lower case and normal already
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.kind = np.dtype(f"<u{width}")
         self.most_words = most_words
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -32,8 +38,11 @@ class WordIds:
         for token, number in vocabulary.items():
             ends[number] = token.endswith("</w>")
         self.ends = ends
+        # two generations each: what is met again moves to the newer one, the older one is dropped when that is full
         self.by_word: dict[str, bytes] = {}
         self.by_run: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+        self.old_runs: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
@@ -42,45 +51,44 @@ class WordIds:
         """Ids of single pre-tokens; the end-of-word mark of the last id of each tells them apart."""
         for at in range(0, len(runs), 20_000):
             part = runs[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, dtype=self.kind)
+            texts = [" ".join(part[i : i + 500]) for i in range(0, len(part), 500)]
+            ids = np.concatenate([np.array(e.ids, dtype=self.kind) for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)])
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(part) or len(ids) != stops[-1]:
                 for run in part:
                     self.by_run[run] = self._whole(run)
                 continue
-            data, width, start = ids.tobytes(), self.kind.itemsize, 0
-            for run, stop in zip(part, (stops * width).tolist(), strict=True):
-                self.by_run[run] = data[start:stop]
-                start = stop
+            data, stops = ids.tobytes(), (stops * self.kind.itemsize).tolist()
+            self.by_run.update(zip(part, map(data.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
 
     def _learn(self, words: set[str]) -> None:
         if len(self.by_word) > self.most_words:
-            self.by_word.clear()
-            return self._learn_all(words)
-        self._learn_all(words - self.by_word.keys())
-        return None
-
-    def _learn_all(self, words: set[str]) -> None:
+            self.old_words, self.by_word = self.by_word, {}
         if len(self.by_run) > self.most_words:
-            self.by_run.clear()
-        plain: list[tuple[str, str, str]] = []
-        for word in words:
-            head, tail = word, ""
-            if not word.isalpha():
-                m = _PUNCTUATED.match(word)
-                head, tail = m.groups() if m else ("", "")
-            if head and head.isalpha() and "Σ" not in head and "İ" not in head and (head.isascii() or unicodedata.is_normalized("NFC", head)):
-                plain.append((word, head.lower(), tail))
-            else:
+            self.old_runs, self.by_run = self.by_run, {}
+        words = words.difference(self.by_word)
+        met = words.intersection(self.old_words)
+        self.by_word.update(zip(met, map(self.old_words.__getitem__, met), strict=True))
+        fresh = list(words - met)
+        lines = "\n".join(fresh)
+        if "Σ" in lines or "İ" in lines:  # the tokenizer lowers these by character
+            for word in [w for w in fresh if "Σ" in w or "İ" in w]:
                 self.by_word[word] = self._whole(word)
-        new = {run for _, head, tail in plain for run in (head, tail) if run} - self.by_run.keys()
-        if new:
-            self._runs(sorted(new))
-        for word, head, tail in plain:
-            self.by_word[word] = self.by_run[head] + (self.by_run[tail] if tail else b"")
+            fresh = [w for w in fresh if "Σ" not in w and "İ" not in w]
+            lines = "\n".join(fresh)
+        parts = _PARTS.findall(lines.lower()) if fresh else []
+        runs = {head for head, _, _ in parts}
+        runs.update(tail for _, tail, _ in parts)
+        runs.difference_update(self.by_run, ("",))
+        met = runs.intersection(self.old_runs)
+        self.by_run.update(zip(met, map(self.old_runs.__getitem__, met), strict=True))
+        self._runs(list(runs - met))
+        get, new = self.by_run.__getitem__, self.by_word
+        for word, (head, tail, other) in zip(fresh, parts, strict=True):
+            new[word] = self._whole(word) if other else get(head) + get(tail) if head and tail else get(head or tail)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if text and _ODD_SPACE.search(text) else (text or "").split() for text in texts]
+        split = [None if text and (_ODD_SPACE.search(text) or not unicodedata.is_normalized("NFC", text)) else (text or "").split() for text in texts]
         self._learn({word for words in split if words for word in words})
         get = self.by_word.__getitem__
         return [self._whole(text) if words is None else b"".join(map(get, words)) for text, words in zip(texts, split, strict=True)]
