@@ -142,7 +142,7 @@ def conformance(entries: DataFrame) -> DataFrame:
             rule((F.col("kind") == "log") & front, "error", "reserved_frontmatter", first),
             rule(concept & parsed & F.col("title").isNull(), "warning", "recommended_title_missing", F.coalesce(at("type"), one)),
             rule(concept & parsed & F.col("description").isNull(), "warning", "recommended_description_missing", F.coalesce(at("type"), one)),
-            rule(concept & parsed & (F.col("type") == "agent_memory") & ~F.coalesce(memory, F.lit(False)), "warning", "recommended_agent_memory_invalid", F.coalesce(at("agent_memory"), one)),
+            rule(concept & parsed & (F.col("type") == "agent-memory") & ~F.coalesce(memory, F.lit(False)), "warning", "recommended_agent_memory_invalid", F.coalesce(at("agent_memory"), one)),
             rule(root & F.col("okf_version").isNull(), "warning", "recommended_okf_version_missing", one),
         )
     )
