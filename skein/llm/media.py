@@ -5,8 +5,8 @@ bytes ends in zeros, so equal passages of different media give equal chunks. The
 digest's bytes once (compressed), bucketed by digest; a manifest lists every medium's digests in order.
 Reading joins manifest and store on the digest, regroups by medium, and checks the whole medium's digest.
 
-Media are read back in waves of their digest's hash: only one wave's bytes are in flight, and the store's
-side of the join isn't shuffled at all.
+Chunks are stored in waves of their digests, and media read back in waves of theirs: only one wave's bytes
+are in flight. The store's side of the reading join isn't shuffled at all.
 
 Defined cases: null text counts as empty and gives one padded block; repeated rows and equal texts share
 one manifest and one set of chunks; an empty table gives no rows; extra columns are ignored; a digest that
@@ -22,6 +22,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -171,29 +172,30 @@ def store(docs: DataFrame, buckets: int = 48, waves: int = 4, known: str | None
                 digests.append([d for d, _ in chunks(media)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(shas, pa.binary()), pa.array(lengths, pa.int64()), pa.array(digests, pa.list_(pa.binary()))], names=["doc_id", "n_bytes", "media_sha256", "media_bytes", "digests"])
 
-    def data(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def data(batches: Iterator[pa.RecordBatch], wave: int) -> Iterator[pa.RecordBatch]:
         pack, seen = zstandard.ZstdCompressor(level=3).compress, set()  # digests of this task's own rows
         for batch in slices(batches, "text"):
             found: dict[bytes, bytes] = {}
             for text in batch.column("text").to_pylist():
                 for digest, part in chunks(wav(payload(text))):
-                    if digest not in seen:
+                    if digest[0] % waves == wave and digest not in seen:
                         seen.add(digest)
                         found[digest] = pack(part)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["digest", "data"])
 
     manifest = materialize(texts.mapInArrow(lists, "doc_id bigint, n_bytes bigint, media_sha256 binary, media_bytes bigint, digests array<binary>"), "manifest")
-    fresh = texts.select("text").mapInArrow(data, "digest binary, data binary")
-    if known:
-        fresh = fresh.join(spark.table(known).select("digest"), "digest", "left_anti")
-    fresh = fresh.repartition(buckets, "digest").dropDuplicates(["digest"])
     table = known or f"skein_chunks_{uuid.uuid4().hex}"
-    fresh.write.option("compression", "uncompressed").mode("append").bucketBy(buckets, "digest").saveAsTable(table, format="parquet")
     if not known:
         atexit.register(_drop, spark, table)
-    del fresh
-    free_shuffles(spark)
+    for w in range(waves):  # each wave's shuffle goes before the next one's; cutting again costs little
+        fresh = texts.select("text").mapInArrow(partial(data, wave=w), "digest binary, data binary")
+        if known:
+            fresh = fresh.join(spark.table(known).select("digest"), "digest", "left_anti")
+        fresh = fresh.repartition(buckets, "digest").dropDuplicates(["digest"])
+        fresh.write.option("compression", "uncompressed").mode("append").bucketBy(buckets, "digest").saveAsTable(table, format="parquet")
+        del fresh
+        free_shuffles(spark)
     return MediaStore(manifest, table, waves)
 
 
