@@ -1,9 +1,11 @@
 """Quality, language and toxicity: exact search, odd inputs, and held-out accuracy on the driver's tables."""
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from skein.llm import common, langid, quality, queries, toxicity
@@ -109,6 +111,31 @@ def test_block_max_search_is_exact():
         assert rows.tolist() == expected[: len(rows)].tolist()
 
 
+def test_rare_toxic_words_count():
+    r = np.random.default_rng(4)
+    plain = [f"plain{i}" for i in range(200)]
+    text = lambda *more: " ".join([*r.choice(plain, 12), *more])
+    samples = [(i, text(), 0) for i in range(1000)] + [(1000 + i, text("vile" if i % 50 else "foul"), 1) for i in range(1000)]
+    index = toxicity.learn(samples, {0: 0.9, 1: 0.1})
+    assert "foul" in index.terms  # 20 of 1,000 toxic examples, never in others
+    assert toxicity.Scorer(index).score(text("foul"))[0] > 0.5 > toxicity.Scorer(index).score(text())[0]
+
+
+@pytest.mark.parametrize(("sf", "recall"), [("sf0.001", 0.35), ("sf0.01", 0.6)])
+def test_toxicity_recall_by_folds(sf, recall):
+    read = lambda name: pq.read_table(f"/root/testdata/{sf}/{name}.parquet").to_pylist()
+    texts = {r["doc_id"]: r["text"] or "" for r in read("documents")}
+    rows = [(r["doc_id"], texts[r["doc_id"]], r["toxic"]) for r in read("labels") if r["toxic"] in (0, 1) and r["doc_id"] in texts]
+    pairs = []
+    for fold in range(5):
+        known = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 5 != fold]
+        share = np.mean([y for *_, y in known])
+        scorer = toxicity.Scorer(toxicity.learn(known, {0: 1 - share, 1: share}))
+        pairs += [(y, scorer.score(text)[0] >= 0.5) for i, text, y in rows if zlib.crc32(str(i).encode()) % 5 == fold]
+    assert np.mean([found for y, found in pairs if y]) >= recall
+    assert np.mean([found for y, found in pairs if not y]) <= 0.03
+
+
 def test_odd_rows(tables, odd):
     docs, labels = tables
     scored = quality.score(odd, quality.fit(docs, labels)).collect()
