@@ -28,7 +28,7 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Kinds in the order of precedence; at one place the first that matches counts.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
-    "secret": r"(?<=(?:token|secret|password|passwd|api[_-]?key) {0,2}[=:] {0,2}[\"'])[^\"'\s]{8,}|" + EDGE + r"(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|[0-9a-f]{32,}+)" + END,
+    "secret": r"(?<=(?i:token|secret|password|passwd|api[_-]?key) {0,2}[=:] {0,2}[\"'])[^\"'\s]{8,}|" + EDGE + r"(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|[0-9a-f]{32,}+|[0-9A-F]{32,}+)" + END,
     "iban": EDGE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?" + END,
     "ip": r"(?<![\p{L}\d.])(?:" + OCTET + r"\.){3}" + OCTET + r"(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -38,7 +38,7 @@ PATTERNS = {
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these has no entity.
-HINT = rf"[@0-9]|{EDGE}(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}|(?:token|secret|password|passwd|api[_-]?key) {{0,2}}[=:]"
+HINT = rf"[@0-9]|{EDGE}(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}|(?i:token|secret|password|passwd|api[_-]?key) {{0,2}}[=:]"
 
 #: Given names by script and gender, and syllables of surnames by script: any such lists would do.
 GIVEN = {
@@ -158,7 +158,7 @@ def draw(kind: Column, form: Column, attempt: Column, key: str, draws: int) -> C
         .when(kind == "card", _card(form, s))
         .when(kind == "person", _person(form, s))
         .when(kind == "iban", F.concat(F.substring(form, 1, 2), _like(F.substring(form, 3, 100), s)))
-        .otherwise(_like(form, s, form.rlike("^[0-9a-f]+$")))
+        .otherwise(_like(form, s, form.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")))
     )
     return F.when(attempt < draws, out).otherwise(F.concat(out, F.lit("x"), F.substring(F.translate(s, "0123456789", "ghijklmnop"), 1, 16)))
 

@@ -177,6 +177,15 @@ def test_surrogates(spark):
     assert pii.surrogates(docs.where("rid < 0"), "key").count() == 0
 
 
+def test_capital_secrets(spark):
+    secrets = ["9233A8ECF7C5B09FE5949719B6B82BC439E9329B", "quietkeyword", "hush-hush-word", "ABCDEFABCDEFABCDEFABCDEFABCDEFAB"]
+    texts = [f'TOKEN = "{secrets[0]}"', f'API_KEY="{secrets[1]}"', f'Password: "{secrets[2]}"', f"bare {secrets[3]} and {secrets[0]} 1"]
+    out = {r["doc_id"]: r["text"] for r in pii.surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "key").collect()}
+    assert not [s for s in secrets[:3] for i in range(3) if s in out[i]] and secrets[0] not in out[3] and secrets[3] not in out[3]
+    new = out[0].split('"')[1]
+    assert out[0].startswith('TOKEN = "') and set(new) <= set("0123456789ABCDEF") and len(new) == 40 and new in out[3]
+
+
 def test_clashing_draws_are_redrawn(spark):
     """Two-digit forms leave little room: replacements must still be distinct and new."""
     forms = spark.createDataFrame([("card", f"{i:02d}") for i in range(30)], "kind string, form string")
