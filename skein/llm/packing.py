@@ -95,8 +95,8 @@ def _fillings(supply: _Supply, room: int, used: dict[int, int], keep: int, steps
         found.sort(key=lambda x: x[0])
         del found[keep:]
 
-    def go(room: int, top: int, chosen: list[int]) -> bool:
-        """True: enough was found."""
+    def go(room: int, top: int, chosen: list[int]) -> Iterator[tuple[int, int, list[int]]]:
+        """Yields the branches to follow; ends with True when enough was found."""
         budget[0] -= 1
         spare = left.get(room, 0) - used.get(room, 0) if room <= top else 0
         if room == 0 or spare > 0:
@@ -114,7 +114,7 @@ def _fillings(supply: _Supply, room: int, used: dict[int, int], keep: int, steps
                 break  # only smaller items follow, with more waste
             used[length] = used.get(length, 0) + 1
             chosen.append(length)
-            done = go(room - length, length, chosen)
+            done = yield room - length, length, chosen
             chosen.pop()
             used[length] -= 1
             if done:
@@ -123,7 +123,14 @@ def _fillings(supply: _Supply, room: int, used: dict[int, int], keep: int, steps
             keep_it(room, chosen)
         return False
 
-    go(room, order[-1] if order else 0, [])
+    stack, done = [go(room, order[-1] if order else 0, [])], None  # an explicit stack: a branch may be thousands of items deep
+    while stack:
+        try:
+            stack.append(go(*stack[-1].send(done)))
+            done = None
+        except StopIteration as end:
+            stack.pop()
+            done = end.value
     return found or [(room, [])]
 
 

@@ -90,6 +90,17 @@ def test_plan_is_near_the_optimum():
     assert packing.plan({}, 20) == []
 
 
+def test_plan_with_thousands_of_small_pieces():
+    counts = {3000: 10, 1: 1200}
+    placed = Counter()
+    plan = packing.plan(counts, 4096)
+    for p in plan:
+        assert sum(a * n for a, n in p.items) <= 4096
+        for a, n in p.items:
+            placed[a] += n * p.count
+    assert placed == counts and sum(p.count for p in plan) == 10
+
+
 def test_empty_tables(spark, docs):
     none = docs.where("doc_id < 0")
     assert packing.pack(none, PATH).placement.count() == 0
