@@ -38,7 +38,7 @@ PATTERNS = {
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these has no entity.
-HINT = rf"[@0-9]|{EDGE}(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}|(?i:token|secret|password|passwd|api[_-]?key) {{0,2}}[=:]"
+HINT = rf"[@0-9]|AKIA|ghp_|[0-9a-f]{{32}}|[0-9A-F]{{32}}|{EDGE}(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}|(?i:token|secret|password|passwd|api[_-]?key) {{0,2}}[=:]"
 
 #: Given names by script and gender, and syllables of surnames by script: any such lists would do.
 GIVEN = {

@@ -186,6 +186,13 @@ def test_capital_secrets(spark):
     assert out[0].startswith('TOKEN = "') and set(new) <= set("0123456789ABCDEF") and len(new) == 40 and new in out[3]
 
 
+def test_keys_without_digits(spark):
+    secrets = ["AKIA" + "QWERTYUIOPASDFGH", "ghp_" + "abcdefghijklmnopqrstuvwxyzABCDEFGHIJ", "abcdef" * 6, "ABCDEF" * 6]
+    docs = spark.createDataFrame([(i, f"see {s} here") for i, s in enumerate(secrets)], "doc_id bigint, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.surrogates(docs, "key").collect()}
+    assert not [s for i, s in enumerate(secrets) if s in out[i]]
+
+
 def test_clashing_draws_are_redrawn(spark):
     """Two-digit forms leave little room: replacements must still be distinct and new."""
     forms = spark.createDataFrame([("card", f"{i:02d}") for i in range(30)], "kind string, form string")
