@@ -104,16 +104,17 @@ def remainder(doc_id: Column, divisor: int) -> Column:
     return F.crc32(doc_id.cast("string")) % divisor
 
 
-def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, max_bytes: int, max_labels: int = 64) -> tuple[list[tuple], dict]:
+def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, max_bytes: int, cut: bool = False) -> tuple[list[tuple], dict]:
     """Texts of up to ``per_label`` labelled ids of each label, and each label's count among all ids.
 
     Counts by label give each label's share of the hash range; only ids within that share are sorted, and
     those with the smallest hashes (then ids) are kept. Their texts come by a join with that bounded list.
-    Texts over ``max_bytes`` are left out, so the driver holds at most
-    ``2 * max_labels * per_label * max_bytes`` (twice, for ids that repeat). Returns (doc_id, text, label).
+    Texts over ``max_bytes`` are left out, or with ``cut`` give their first ``max_bytes // 4`` characters, so the
+    driver holds at most ``2 * per_label * max_bytes`` for each label (twice, for ids that repeat). Every label
+    is sampled, in a job of its own. Returns (doc_id, text, label).
     """
     ids = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).alias("label")).where("label is not null and doc_id is not null")
-    counts = {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(max_labels).collect()}
+    counts = {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").collect()}
     hashed = ids.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)))
     picked: dict[int, object] = {}
     for value, n in counts.items():
@@ -123,7 +124,9 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: in
     if not picked:
         return [], counts
     listed = docs.sparkSession.createDataFrame([(i,) for i in sorted(picked)], "wanted bigint")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= max_bytes)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    short = F.octet_length("text") <= max_bytes
+    texts = texts.withColumn("text", F.when(short, F.col("text")).otherwise(F.substring("text", 1, max_bytes // 4))).where("text is not null") if cut else texts.where(short)
     found = texts.join(F.broadcast(listed), F.col("doc_id") == F.col("wanted")).select("doc_id", "text").limit(2 * len(picked)).collect()
     return [(i, text, picked[i]) for i, text in sorted((r["doc_id"], r["text"]) for r in found)], counts
 

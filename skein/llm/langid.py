@@ -212,8 +212,8 @@ class Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "lang", per_language: int = 400, max_bytes: int = 1 << 16) -> Model | None:
-    """Learn from the texts of ``docs`` with a language in ``labels``: at most ``per_language`` for each."""
-    rows, _ = bounded_sample(docs, labels, label, per_language, max_bytes)
+    """Learn from the texts of ``docs`` with a language in ``labels``: at most ``per_language`` for each, long ones cut."""
+    rows, _ = bounded_sample(docs, labels, label, per_language, max_bytes, cut=True)
     return learn([(text, lang) for _, text, lang in rows])
 
 

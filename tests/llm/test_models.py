@@ -162,3 +162,10 @@ def test_sample_is_bounded(tables):
     rows, counts = common.bounded_sample(docs, labels, "quality", 20, 1 << 14)
     assert Counter(y for *_, y in rows) <= Counter({0: 20, 1: 20}) and sum(counts.values()) == labels.count()
     assert rows == common.bounded_sample(docs.repartition(7), labels.repartition(3), "quality", 20, 1 << 14)[0]
+
+
+def test_every_label_is_sampled(spark):
+    docs = spark.createDataFrame([(i, "long " * 50 if i == 0 else f"text {i}", f"l{i}") for i in range(66)], "doc_id bigint, text string, lang string").coalesce(1)
+    rows, counts = common.bounded_sample(docs, docs, "lang", 2, 64, cut=True)
+    assert {y for *_, y in rows} == set(counts) == {f"l{i}" for i in range(66)}
+    assert max(len(text) for _, text, _ in rows) <= 64
