@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -104,14 +106,16 @@ def remainder(doc_id: Column, divisor: int) -> Column:
     return F.crc32(doc_id.cast("string")) % divisor
 
 
-def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, max_bytes: int, cut: bool = False) -> tuple[list[tuple], dict]:
+def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: int, max_bytes: int, cut: bool = False, most_bytes: int = 192 << 20) -> tuple[list[tuple], dict]:
     """Texts of up to ``per_label`` labelled ids of each label, and each label's count among all ids.
 
     Counts by label give each label's share of the hash range; only ids within that share are sorted, and
     those with the smallest hashes (then ids) are kept. Their texts come by a join with that bounded list.
-    Texts over ``max_bytes`` are left out, or with ``cut`` give their first ``max_bytes // 4`` characters, so the
-    driver holds at most ``2 * per_label * max_bytes`` for each label (twice, for ids that repeat). Every label
+    Texts over ``max_bytes`` are left out, or with ``cut`` give their first ``max_bytes // 4`` characters. Every label
     is sampled, in a job of its own. Returns (doc_id, text, label).
+
+    An id counts once: of labels that repeat for it the least, of its texts the least. ``most_bytes`` bounds
+    what the driver holds: where texts as long as allowed could exceed it, fewer ids of each label are taken.
     """
     ids = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).alias("label")).where("label is not null and doc_id is not null")
     counts = {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").collect()}
@@ -119,16 +123,36 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, per_label: in
     picked: dict[int, object] = {}
     for value, n in counts.items():
         share = min(1 << 20, int((1 << 20) * (per_label * 1.3 + 60) / n) + 1)
-        rows = hashed.where((F.col("label") == F.lit(value)) & (F.col("h") < share)).orderBy("h", "doc_id").limit(per_label).collect()
-        picked.update((r["doc_id"], value) for r in rows)
+        rows = hashed.where((F.col("label") == F.lit(value)) & (F.col("h") < share)).distinct().orderBy("h", "doc_id").limit(per_label).collect()
+        for r in rows:
+            picked[r["doc_id"]] = min(value, picked.get(r["doc_id"], value))
     if not picked:
         return [], counts
-    listed = docs.sparkSession.createDataFrame([(i,) for i in sorted(picked)], "wanted bigint")
+    spark = docs.sparkSession
+    listed = spark.createDataFrame([(i, str(rank)) for rank, i in enumerate(sorted(picked, key=lambda i: hashlib.blake2b(b"%d" % i).digest()))], "wanted bigint, rank string")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     short = F.octet_length("text") <= max_bytes
     texts = texts.withColumn("text", F.when(short, F.col("text")).otherwise(F.substring("text", 1, max_bytes // 4))).where("text is not null") if cut else texts.where(short)
-    found = texts.join(F.broadcast(listed), F.col("doc_id") == F.col("wanted")).select("doc_id", "text").limit(2 * len(picked)).collect()
-    return [(i, text, picked[i]) for i, text in sorted((r["doc_id"], r["text"]) for r in found)], counts
+    found = texts.join(F.broadcast(listed), F.col("doc_id") == F.col("wanted")).groupBy("doc_id", F.col("rank").cast("int").alias("rank")).agg(F.min("text").alias("text"))
+    rows, held_bytes = [], 0
+    for r in found.orderBy("rank").toLocalIterator():
+        held_bytes += len(r["text"]) * 2  # what a text of two-byte letters takes
+        if held_bytes > most_bytes and rows:
+            break
+        rows.append((r["doc_id"], r["text"], picked[r["doc_id"]]))
+    return sorted(rows, key=lambda x: x[0]), counts
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2_000) -> Iterator[None]:
+    """Let jobs inside send at most so many rows at a time to Python: rows with whole texts are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def held(kind: str, key: object, make):  # noqa: ANN001, ANN201

@@ -113,7 +113,7 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     if not store.n:
         return store.index.withColumns({"shard": F.col("slot"), "byte_offset": F.col("slot"), "ids_crc32": F.col("slot")})
     found = store.index.join(store.checksums(spark), "slot")
-    place = {"shard": (F.col("slot") / store.per_shard).cast("bigint"), "byte_offset": F.col("slot") % store.per_shard * store.record}
+    place = {"shard": F.floor(F.col("slot") / store.per_shard), "byte_offset": F.col("slot") % store.per_shard * store.record}
     return found.withColumns(place).select("doc_id", "piece", "n_ids", "number", "slot", "shard", "byte_offset", "ids_crc32")
 
 

@@ -1,9 +1,10 @@
-"""Token ids of whole texts, by way of a cache of words.
+"""Token ids of whole texts, by way of their distinct words.
 
 The word tokenizer drops white space and never joins characters across it, so a text's ids are its
-words' ids in order. A word met before costs one dictionary lookup; new words go to the tokenizer
-in one call. Texts holding control characters that Python and the tokenizer class differently, or not in
-normal form C, go to the tokenizer whole.
+words' ids in order. A batch's words are split and numbered by Arrow; each distinct word is parted into
+a run of letters and the marks behind it, and only runs not met before go to the tokenizer, in one call.
+Words of another shape are parted by a regular expression or encoded by themselves. Texts holding control
+characters that Python and the tokenizer class differently, or not in normal form C, go to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -13,11 +14,27 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Python takes these for white space, the tokenizer does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: Letters, then marks (each a pre-token of its own), or anything else. No apostrophe: it may open a contraction.
-_PARTS = re.compile(r"^(?:([^\W\d_]*)([.,;:!?*$#%&@()\[\]{}\"/\\|+=~^-]*)|(.+))$", re.M)
+#: Marks that are each a pre-token of their own after letters. No apostrophe: it may open a contraction.
+_MARKS = ".,;:!?*$#%&@()[]{}\"/\\|+=~^-"
+#: Lower-case Latin letters in normal form C, for the short way.
+_LATIN = "".join(c for c in map(chr, [*range(0x61, 0x7B), *range(0xDF, 0x250)]) if c.islower() and len(c.upper()) == 1 and unicodedata.category(c) == "Ll")
+_CAPITAL = "".join(c for c in map(chr, [*range(0x41, 0x5B), *range(0xC0, 0x250)]) if len(c.lower()) == 1 and c.lower() in _LATIN and c != c.lower())
+#: Python takes numbers that aren't digits for letters.
+_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("Nl", "No"))
+#: Letters, then marks, or anything else.
+_PARTS = re.compile(r"^(?:([^\W\d_" + _NUMBERS + r"]*)([" + re.escape(_MARKS) + r"]*)|(.+))$", re.M)
+
+
+def _gather(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``ids`` at ``starts`` one after another, and where each ends."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return ids[np.repeat(starts - (ends - sizes), sizes) + np.arange(total, dtype=starts.dtype)], ends
 
 
 class WordIds:
@@ -27,8 +44,7 @@ class WordIds:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.plain = Tokenizer.from_file(path)  # for runs, which are lower case and normal already
-        self.plain.normalizer = None
+        self.plain = Tokenizer(self.tokenizer.model)  # for runs, which are lower case and normal already; the vocabulary is shared
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.kind = np.dtype(f"<u{width}")
@@ -38,10 +54,8 @@ class WordIds:
         for token, number in vocabulary.items():
             ends[number] = token.endswith("</w>")
         self.ends = ends
-        # two generations each: what is met again moves to the newer one, the older one is dropped when that is full
-        self.by_word: dict[str, bytes] = {}
-        self.by_run: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
+        # two generations: what is met again moves to the newer one, the older one is dropped when that is full
+        self.by_run: dict[str, bytes] = {"": b""}
         self.old_runs: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
@@ -61,34 +75,54 @@ class WordIds:
             data, stops = ids.tobytes(), (stops * self.kind.itemsize).tolist()
             self.by_run.update(zip(part, map(data.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.by_word) > self.most_words:
-            self.old_words, self.by_word = self.by_word, {}
+    def _learn(self, runs: list[str]) -> None:
         if len(self.by_run) > self.most_words:
-            self.old_runs, self.by_run = self.by_run, {}
-        words = words.difference(self.by_word)
-        met = words.intersection(self.old_words)
-        self.by_word.update(zip(met, map(self.old_words.__getitem__, met), strict=True))
-        fresh = list(words - met)
-        lines = "\n".join(fresh)
-        if "Σ" in lines or "İ" in lines:  # the tokenizer lowers these by character
-            for word in [w for w in fresh if "Σ" in w or "İ" in w]:
-                self.by_word[word] = self._whole(word)
-            fresh = [w for w in fresh if "Σ" not in w and "İ" not in w]
-            lines = "\n".join(fresh)
-        parts = _PARTS.findall(lines.lower()) if fresh else []
-        runs = {head for head, _, _ in parts}
-        runs.update(tail for _, tail, _ in parts)
-        runs.difference_update(self.by_run, ("",))
-        met = runs.intersection(self.old_runs)
+            self.old_runs, self.by_run = self.by_run, {"": b""}
+        fresh = set(runs).difference(self.by_run)
+        met = fresh.intersection(self.old_runs)
         self.by_run.update(zip(met, map(self.old_runs.__getitem__, met), strict=True))
-        self._runs(list(runs - met))
-        get, new = self.by_run.__getitem__, self.by_word
-        for word, (head, tail, other) in zip(fresh, parts, strict=True):
-            new[word] = self._whole(word) if other else get(head) + get(tail) if head and tail else get(head or tail)
+        self._runs(list(fresh - met))
+
+    def _others(self, words: list[str]) -> list[bytes]:
+        """Words that are not Latin letters followed by marks."""
+        special = {w for w in words if "Σ" in w or "İ" in w}  # the tokenizer lowers these by character
+        parts = _PARTS.findall("\n".join("" if w in special else w for w in words).lower())
+        self._learn([x for head, tail, _ in parts for x in (head, tail)])
+        get = self.by_run.__getitem__
+        return [self._whole(word) if other or word in special else get(head) + get(tail) for word, (head, tail, other) in zip(words, parts, strict=True)]
+
+    def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of distinct words one after another, where each word's start, and how many they are."""
+        lower = pc.utf8_lower(words)
+        head, tail = pc.utf8_rtrim(lower, _MARKS), pc.utf8_ltrim(lower, _LATIN)
+        short = pc.equal(pc.add(pc.binary_length(head), pc.binary_length(tail)), pc.binary_length(lower))
+        # the capitals must be ones whose lower case is known to be the tokenizer's
+        short = pc.and_(short, pc.equal(pc.binary_length(pc.utf8_ltrim(words, _LATIN + _CAPITAL)), pc.binary_length(tail))).to_numpy(zero_copy_only=False)
+        heads, tails = (pc.if_else(pa.array(short), x, "").dictionary_encode() for x in (head, tail))
+        names = [*heads.dictionary.to_pylist(), *tails.dictionary.to_pylist()]
+        self._learn(names)
+        data = list(map(self.by_run.__getitem__, names))
+        odd = np.flatnonzero(~short)
+        parts = np.column_stack([heads.indices.to_numpy(), tails.indices.to_numpy() + np.int32(len(heads.dictionary))])
+        if len(odd):
+            nothing = len(data)
+            data.append(b"")
+            parts[odd, 0], parts[odd, 1] = nothing + 1 + np.arange(len(odd)), nothing
+            data += self._others(words.take(pa.array(odd)).to_pylist())
+        sizes = np.fromiter(map(len, data), dtype=np.int32, count=len(data)) // self.kind.itemsize
+        starts = np.cumsum(sizes, dtype=np.int32) - sizes
+        ids, ends = _gather(np.frombuffer(b"".join(data), self.kind), starts[parts.ravel()], sizes[parts.ravel()])
+        ends = ends[1::2]
+        starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+        return ids, starts, ends - starts
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [None if text and (_ODD_SPACE.search(text) or not unicodedata.is_normalized("NFC", text)) else (text or "").split() for text in texts]
-        self._learn({word for words in split if words for word in words})
-        get = self.by_word.__getitem__
-        return [self._whole(text) if words is None else b"".join(map(get, words)) for text, words in zip(texts, split, strict=True)]
+        whole = [bool(text) and (_ODD_SPACE.search(text) is not None or not unicodedata.is_normalized("NFC", text)) for text in texts]
+        words = pc.utf8_split_whitespace(pa.array(["" if own else text or "" for text, own in zip(texts, whole, strict=True)], pa.large_string()))
+        numbered = words.flatten().dictionary_encode()
+        ids, starts, sizes = self._distinct(numbered.dictionary.cast(pa.string()))
+        at = numbered.indices.to_numpy()
+        ids, ends = _gather(ids, starts[at], sizes[at])
+        ids, bounds = ids.tobytes(), np.concatenate([[0], ends])[words.offsets.to_numpy()] * self.kind.itemsize
+        cut = map(ids.__getitem__, map(slice, bounds[:-1].tolist(), bounds[1:].tolist()))
+        return [self._whole(text) if own else part for text, own, part in zip(texts, whole, cut, strict=True)]
