@@ -130,3 +130,72 @@ def test_training_order_round_trip(spark, docs, expected):
     assert seen == {i: len(v) for i, v in expected.items()}
     again = tokenstore.build(docs, PATH, "key", stride=16, per_shard=8, waves=3, path=store.path, resume=True)
     assert {r["slot"]: r["ids_crc32"] for r in again.checksums(spark).collect()} == {s: zlib.crc32(b) for s, b in ids.items()}
+
+
+def test_best_bins_equal_brute_force():
+    r = np.random.default_rng(11)
+    improved = 0
+    for _ in range(400):
+        capacity = int(r.integers(8, 40))
+        lengths = r.integers(1, capacity // 2 + 1 if r.random() < 0.7 else capacity + 1, r.integers(1, 10)).tolist()
+        solved = packing.solve(dict(Counter(lengths)), capacity)
+        least = _brute(sorted(lengths, reverse=True), capacity)
+        assert solved.proven and solved.bound <= solved.sequences == least
+        improved += sum(p.count for p in packing._best_fit(dict(Counter(lengths)), capacity)) > least
+    assert improved  # the search found better packings than best fit
+
+
+def test_search_betters_best_fit():
+    r = np.random.default_rng(3)
+    better = 0
+    for _ in range(6):
+        counts = dict(Counter(r.integers(700, 2200, 60).tolist()))
+        solved = packing.solve(counts, 4096, nodes=2000)
+        better += solved.sequences < sum(p.count for p in packing._best_fit(counts, 4096))
+        assert solved.bound <= solved.sequences
+    assert better
+
+
+@pytest.mark.parametrize(("counts", "least"), [({2049: 10, 1: 2047}, 10), ({3: 1863226}, 1366), ({4096: 5, 1: 1}, 6)])
+def test_many_equal_pieces(counts, least):
+    solved = packing.solve(counts, 4096)
+    placed = Counter()
+    for p in solved.patterns:
+        assert sum(a * n for a, n in p.items) <= 4096
+        for a, n in p.items:
+            placed[a] += n * p.count
+    assert placed == counts and solved.proven and solved.sequences == least
+
+
+def test_pieces_keep_their_columns(spark):
+    rows = spark.createDataFrame([(1, 0, 5, 7, 3, 4, 5, 6, "x")], "doc_id bigint, piece int, length bigint, ids_crc32 bigint, salt int, rank int, before int, at int, Offset string")
+    placed = packing.place(rows, 10).first()
+    assert (placed["salt"], placed["rank"], placed["before"], placed["at"], placed["offset"]) == (3, 4, 5, 6, 0)
+
+
+def test_numbers_follow_files_and_rows(spark, docs, tmp_path):
+    docs.sortWithinPartitions("doc_id").write.parquet(f"file://{tmp_path}/docs")
+    seen = []
+    for most in (128 << 20, 900):  # whole files in few partitions, then many splits
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        store = tokenstore.build(spark.read.parquet(f"file://{tmp_path}/docs"), PATH, "key", stride=16, per_shard=64)
+        seen.append({tuple(r) for r in store.index.collect()})
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0] == seen[1] and sorted(r[3] for r in seen[0]) == list(range(len(seen[0])))
+
+
+def test_resume_needs_the_same_order(spark, docs):
+    store = tokenstore.build(docs, PATH, "key", stride=16, per_shard=8)
+    for other in ({"key": "other"}, {"stride": 8}, {"per_shard": 16}):
+        with pytest.raises(ValueError, match="another order"):
+            tokenstore.build(docs, PATH, **({"key": "key", "stride": 16, "per_shard": 8} | other), path=store.path, resume=True)
+    with pytest.raises(ValueError, match="another order"):
+        tokenstore.build(docs.where("doc_id > 0"), PATH, "key", stride=16, per_shard=8, path=store.path, resume=True)
+    assert len(store.read(spark).collect()) == store.n
+
+
+def test_numbers_that_are_not_digits(spark):
+    words = ["x²", "²", "½.", "aⅧ,", "১২", "e٤"]
+    made = WordIds(PATH)
+    for text, ids in zip(words, made.encode(words), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == made.tokenizer.encode(text, add_special_tokens=False).ids
