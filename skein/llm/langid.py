@@ -5,7 +5,7 @@ A model is learned from a bounded sample of labelled rows (``per_language`` text
 log-probability depends on the run alone, so scoring caches runs. All languages' models share one sorted
 array of n-gram hashes for each order, with a column of probabilities and back-off weights per language.
 
-Defined cases: null text or text without a letter gives ``und`` with score 0; equal entropies go to the
+Defined cases: null text or text without a letter (Unicode category L) gives ``und`` with score 0; equal entropies go to the
 first language by name; repeated rows get equal answers; with no labelled row every text is ``und``;
 extra columns are ignored.
 """
@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import bounded_sample, held, slices
+from skein.llm.common import NUMBERS, bounded_sample, held, slices
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = re.compile(r"[^\W\d_" + NUMBERS + "]+")
 ORDER = 5
 DISCOUNT = 0.75
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -213,7 +213,7 @@ class Scorer:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "lang", per_language: int = 400, max_bytes: int = 1 << 16) -> Model | None:
     """Learn from the texts of ``docs`` with a language in ``labels``: at most ``per_language`` for each, long ones cut."""
-    rows, _ = bounded_sample(docs, labels, label, per_language, max_bytes, cut=True)
+    rows, _ = bounded_sample(docs, labels, label, per_language, max_bytes, cut=True, most_bytes=64 << 20)
     return learn([(text, lang) for _, text, lang in rows])
 
 

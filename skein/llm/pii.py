@@ -1,21 +1,28 @@
 """PII surrogates in DataFrame operations only.
 
-One regular expression finds entities of eight kinds. Each distinct entity, in a form without separators
-and (for mail addresses) without case, gets a replacement drawn from a keyed hash: digits for digits,
-letters for letters of the same script and case, valid octets, a card number that passes its check digit
-if the original does, hexadecimal for hexadecimal, names of the gender and script that title and letters
-show. A table of all distinct entities checks that no two get the same replacement and that none becomes an
-existing one; those that clash draw again. Equal entities thus stay equal everywhere and different
-ones different, and separators, capitals and country codes stay in place.
+One regular expression finds entities of eight kinds. Each distinct entity is taken apart into the parts that
+must stay the same wherever they stand: a person's given name and surname, a mail address' domain and local
+part, and for the other kinds the whole without separators. Each part gets a replacement drawn from a keyed
+hash: digits for digits, letters for letters of the same script and case, valid octets, a card number that
+passes its check digit if the original does, hexadecimal for hexadecimal, names built of syllables that fit the
+script and, for given names, the gender. A given name's gender is what the titles beside it say anywhere
+in the table; where they disagree or say nothing it stays neutral. "Dr. Anna Weber", "Frau Anna Weber" and "Frau Weber"
+thus share their names' replacements.
+
+A table of all distinct parts checks that no two of one kind get the same replacement and that none becomes an
+existing one; those that clash, and only those, draw again, names and domains from a pool that grows with the draws.
+Equal entities thus stay equal everywhere and different ones different, and separators, capitals, titles and
+country codes stay in place.
 
 Defined cases: null texts stay null and empty ones empty; texts without entities are unchanged; repeated
 rows get equal texts; extra columns and names that clash with the helpers' are kept; an empty table gives
-no rows. After ``draws`` clashing draws a replacement ends in hash letters: distinctness before format.
+no rows. Where a format has no room for as many distinct forms, the last ones end in hash letters:
+distinctness before format.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm.common import materialize, unique_names
@@ -40,7 +47,7 @@ ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these has no entity.
 HINT = rf"[@0-9]|AKIA|ghp_|[0-9a-f]{{32}}|[0-9A-F]{{32}}|{EDGE}(?:{MALE}|{FEMALE}|{NEUTRAL})\.? \p{{Lu}}|(?i:token|secret|password|passwd|api[_-]?key) {{0,2}}[=:]"
 
-#: Given names by script and gender, and syllables of surnames by script: any such lists would do.
+#: First given names by script and gender, endings of built ones, and syllables of names by script: any such lists would do.
 GIVEN = {
     ("Latin", "m"): "Albert Bruno Carl David Edgar Felix Georg Hugo Ivan Jonas Karl Leon Martin Nico Oscar Paul Robert Simon Thomas Victor",
     ("Latin", "f"): "Alice Bertha Clara Diana Emma Flora Greta Helen Irene Julia Karin Laura Marta Nora Olga Paula Rosa Sofia Teresa Vera",
@@ -52,6 +59,7 @@ GIVEN = {
     ("Greek", "f"): "Άννα Βασιλική Γεωργία Δήμητρα Ελένη Ζωή Θάλεια Ιωάννα Κατερίνα Μαρία",
     ("Greek", "n"): "Χαρά Φώτης Τόνια Σάκης Ρένα Πόπη Ορέστης Νέλλη Μίμης Λίνα",
 }
+ENDINGS = {("Latin", "m"): "o", ("Latin", "f"): "a", ("Latin", "n"): "i", ("Cyrillic", "m"): "слав", ("Cyrillic", "f"): "на", ("Cyrillic", "n"): "я", ("Greek", "m"): "ος", ("Greek", "f"): "α", ("Greek", "n"): "ι"}
 SYLLABLES = {"Latin": "ba ben cor dal dre fel gar han kel lam lor mar mon nel or pas ran sel tor ven wal wen zan zor", "Cyrillic": "бар бел вол гор дан зор кал лен мар нов пет рам сол тар", "Greek": "βα γα δου κα λα μα νο πα ρα σα τα φο"}
 TAILS = {"Latin": "berg dorf field ford ley man mont son stein ton well wood", "Cyrillic": "енко ич овский юк", "Greek": "ίδης άκης όπουλος"}
 LETTERS = {r"\p{IsCyrillic}": "абвгдежзиклмнопрстуфхцчшэюя", r"\p{IsGreek}": "αβγδεζηθικλμνξοπρστυφχψω", r"[à-öø-ÿ]": "àáâãäåæçèéêëìíîïñòóôõöøùúûüý"}
@@ -70,19 +78,26 @@ def name_part(entity: Column) -> Column:
     return F.regexp_replace(entity, rf"^(?:{MALE}|{FEMALE}|{NEUTRAL})\.? ", "")
 
 
-def canonical(kind: Column, entity: Column) -> Column:
-    """What makes two mentions the same: case aside in mail addresses, titles aside in names, separators aside elsewhere."""
-    return (
-        F.when(kind == "email", F.lower(entity))
-        .when(kind == "person", F.concat(_gender(entity), F.lit(":"), name_part(entity)))
-        .when(kind == "ip", entity)
-        .when(kind == "secret", entity)
-        .otherwise(F.regexp_replace(entity, r"[^\p{L}\p{N}]", ""))
-    )
+def _title_gender(entity: Column) -> Column:
+    return F.when(entity.rlike(rf"^(?:{MALE})\.? "), "m").when(entity.rlike(rf"^(?:{FEMALE})\.? "), "f")
+
 
+def parts_of(kind: Column, entity: Column) -> Column:
+    """An entity's parts (kind, space, form, hint): forms of one kind and space must stay distinct.
 
-def _gender(entity: Column) -> Column:
-    return F.when(entity.rlike(rf"^(?:{MALE})\.? "), "m").when(entity.rlike(rf"^(?:{FEMALE})\.? "), "f").otherwise("n")
+    ``hint`` is a title's gender. Letter case is set aside in mail addresses and names, separators elsewhere.
+    """
+    part = lambda k, space, form, hint=None: F.struct(F.lit(k).alias("kind") if isinstance(k, str) else k.alias("kind"), space.alias("space"), form.alias("form"), (hint if hint is not None else F.lit(None).cast("string")).alias("hint"))
+    none, low = F.lit(""), F.lower(entity)
+    domain = F.substring_index(low, "@", -1)
+    name = F.lower(name_part(entity))
+    surname, given = part("surname", none, F.substring_index(name, " ", -1)), part("given", none, F.substring_index(name, " ", 1), _title_gender(entity))
+    whole = F.when(kind.isin("ip", "secret"), entity).otherwise(F.regexp_replace(entity, r"[^\p{L}\p{N}]", ""))
+    return (
+        F.when(kind == "email", F.array(part("domain", none, domain), part("local", domain, F.substring_index(low, "@", 1))))
+        .when(kind == "person", F.when(name.contains(" "), F.array(surname, given)).otherwise(F.array(surname)))
+        .otherwise(F.array(part(kind, none, whole)))
+    )
 
 
 def _stream(key: str, kind: Column, form: Column, draw: Column) -> Column:
@@ -130,41 +145,59 @@ def _card(form: Column, stream: Column) -> Column:
     return F.when(_luhn(form) % 10 == 0, F.concat(head, check.cast("string"))).otherwise(drawn)
 
 
-def _person(form: Column, stream: Column) -> Column:
-    gender, name = F.substring(form, 1, 1), F.substring(form, 3, 1000)
-    script = F.when(name.rlike(r"\p{IsCyrillic}"), "Cyrillic").when(name.rlike(r"\p{IsGreek}"), "Greek").otherwise("Latin")
-    given = surname = None
-    for (s, g), names in GIVEN.items():
-        test = (script == s) & (gender == g)
-        given = F.when(test, _pick(names, _number(stream, F.lit(1)))) if given is None else given.when(test, _pick(names, _number(stream, F.lit(1))))
-    for s, parts in SYLLABLES.items():
-        built = F.concat(F.initcap(_pick(parts, _number(stream, F.lit(11)))), _pick(parts, _number(stream, F.lit(21))), _pick(TAILS[s], _number(stream, F.lit(31))))
-        surname = F.when(script == s, built) if surname is None else surname.when(script == s, built)
-    out = F.when(name.contains(" "), F.concat_ws(" ", given, surname)).otherwise(surname)
-    return F.concat(gender, F.lit(":"), F.when(name == F.upper(name), F.upper(out)).otherwise(out))
+def _script(name: Column) -> Column:
+    return F.when(name.rlike(r"\p{IsCyrillic}"), "Cyrillic").when(name.rlike(r"\p{IsGreek}"), "Greek").otherwise("Latin")
+
+
+def _syllables(script: str, stream: Column, count: Column) -> Column:
+    return F.array_join(F.transform(F.sequence(F.lit(1), count), lambda i: _pick(SYLLABLES[script], _number(stream, i * 7 + 20))), "")
+
+
+def _name(form: Column, stream: Column, attempt: Column, gender: Column | None = None) -> Column:
+    """A surname, or for a gender a given name, in lower case; later attempts have more syllables."""
+    script, out = _script(form), None
+    for s in SYLLABLES:
+        if gender is None:
+            made = F.concat(_syllables(s, stream, F.floor(attempt / 2).cast("int") + 2), _pick(TAILS[s], _number(stream, F.lit(9))))
+        else:
+            made = None
+            for g in "mfn":
+                built = F.concat(_syllables(s, stream, F.floor(attempt / 2).cast("int") + 1), F.lit(ENDINGS[s, g]))
+                own = F.when(attempt < 2, F.lower(_pick(GIVEN[s, g], _number(stream, F.lit(1))))).otherwise(built)
+                made = F.when(gender == g, own) if made is None else made.when(gender == g, own)
+        out = F.when(script == s, made) if out is None else out.when(script == s, made)
+    return out
+
+
+def _domain(form: Column, stream: Column, attempt: Column) -> Column:
+    """As many labels as before, the last one ``example``."""
+    above = F.regexp_replace(form, r"(?:^|\.)[^.]+\.[^.]+$", "")
+    host = F.concat(F.lit("h"), _syllables("Latin", stream, F.floor(attempt / 2).cast("int") + 2), F.lit(".example"))
+    return F.when(above == "", host).otherwise(F.concat(_like(above, stream), F.lit("."), host))
 
 
-def draw(kind: Column, form: Column, attempt: Column, key: str, draws: int) -> Column:
-    """The canonical form's replacement, itself a canonical form."""
+def draw(kind: Column, form: Column, gender: Column, attempt: Column, key: str, draws: int) -> Column:
+    """A part's replacement."""
     s = _stream(key, kind, form, attempt)
-    local, domain = F.substring_index(form, "@", 1), F.substring_index(form, "@", -1)
-    d = _stream(key, F.lit("domain"), domain, F.lit(0))
-    labels = F.size(F.split(domain, r"\."))
-    host = F.concat(F.when(labels > 2, F.concat(_like(F.regexp_replace(domain, r"\.[^.]+\.[^.]+$", ""), d), F.lit("."))).otherwise(""), F.concat(F.lit("h"), F.substring(d, 1, 6), F.lit(".example")))
     octets = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (_number(s, i * 5) % 254 + 1).cast("string")), ".")
+    letters = F.translate(s, "0123456789", "ghijklmnop")
+    longer = F.when(attempt < 8, "").otherwise(F.substring(letters, F.lit(1), F.floor(attempt / 8).cast("int")))
     out = (
-        F.when(kind == "email", F.concat(_like(local, s), F.lit("@"), host))
+        F.when(kind == "domain", _domain(form, s, attempt))
+        .when(kind == "local", F.concat(_like(form, s), longer))
+        .when(kind == "given", _name(form, s, attempt, gender))
+        .when(kind == "surname", _name(form, s, attempt))
         .when(kind == "ip", octets)
         .when(kind == "card", _card(form, s))
-        .when(kind == "person", _person(form, s))
         .when(kind == "iban", F.concat(F.substring(form, 1, 2), _like(F.substring(form, 3, 100), s)))
         .otherwise(_like(form, s, form.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")))
     )
-    return F.when(attempt < draws, out).otherwise(F.concat(out, F.lit("x"), F.substring(F.translate(s, "0123456789", "ghijklmnop"), 1, 16)))
+    return F.when(attempt < draws, out).otherwise(F.concat(out, F.lit("x"), F.substring(letters, 1, 16)))
 
 
-def pour(kind: Column, entity: Column, form: Column) -> Column:
-    """The replacement ``form`` in the entity's own shape: separators, capitals, title, country code."""
+def pour(kind: Column, entity: Column, new: Column) -> Column:
+    """The replacement of an entity's parts (a map by their kind) in its own shape: separators, capitals, title, country code."""
+    form = new[kind]
 
     def one(i: Column) -> Column:
         c = F.substring(entity, i, F.lit(1))
@@ -174,31 +207,47 @@ def pour(kind: Column, entity: Column, form: Column) -> Column:
     shaped = F.array_join(F.transform(F.sequence(F.lit(1), F.length(entity)), one), "")
     longer = F.substring(form, F.length(F.regexp_replace(entity, r"[^\p{L}\p{N}]", "")) + 1, F.lit(1000))
     code = F.regexp_extract(entity, r"^\+\d{1,3}(?=[ .(-])", 0)
-    capitals = (entity == F.upper(entity)) & (entity != F.lower(entity))
+    capitals = lambda c: (c == F.upper(c)) & (c != F.lower(c))
+    address, name = F.concat(new["local"], F.lit("@"), new["domain"]), name_part(entity)
+    person = F.initcap(F.concat_ws(" ", new["given"], new["surname"]))
     return (
-        F.when(kind == "email", F.when(capitals, F.upper(form)).otherwise(form))
+        F.when(kind == "email", F.when(capitals(entity), F.upper(address)).otherwise(address))
         .when(kind.isin("ip", "secret"), form)
-        .when(kind == "person", F.concat(F.regexp_extract(entity, rf"^(?:{MALE}|{FEMALE}|{NEUTRAL})\.? ", 0), F.substring(form, 3, 1000)))
+        .when(kind == "person", F.concat(F.regexp_extract(entity, rf"^(?:{MALE}|{FEMALE}|{NEUTRAL})\.? ", 0), F.when(capitals(name), F.upper(person)).otherwise(person)))
         .when(kind == "phone", F.concat(code, F.substring(shaped, F.length(code) + 1, F.lit(1000)), longer))
         .otherwise(F.concat(shaped, longer))
     )
 
 
-def resolve(entities: DataFrame, key: str, draws: int) -> DataFrame:
-    """From distinct (kind, form): (kind, form, new), where new forms are distinct and no existing form."""
-    now = entities.select("kind", "form", F.lit(0).alias("attempt"))
-    for _ in range(draws + 2):
-        drawn = materialize(now.withColumn("new", draw(F.col("kind"), F.col("form"), F.col("attempt"), key, draws)), "draws")
-        existing = drawn.select("kind", F.col("form").alias("new")).withColumn("taken", F.lit(True))
-        rank = F.row_number().over(Window.partitionBy("kind", "new").orderBy("attempt", "form"))
-        marked = drawn.withColumn("rank", rank).join(existing, ["kind", "new"], "left").withColumn("clash", (F.col("rank") > 1) | F.col("taken").isNotNull())
-        if marked.where("clash").isEmpty():
-            return drawn.select("kind", "form", "new")
-        now = marked.select("kind", "form", (F.col("attempt") + F.col("clash").cast("int")).alias("attempt"))
+def resolve(parts: DataFrame, key: str, draws: int = 30) -> DataFrame:
+    """From distinct parts (kind, form, and if there are such columns space and gender): kind, space, form, new.
+
+    New forms are distinct within a kind and space and equal no existing form there. Each round draws for the
+    parts still open and keeps those whose replacement is free; of equal draws the least form's stays. After
+    ``draws`` rounds a part's format has no room left: what is still open then ends in hash letters.
+    """
+    have = [F.col(c) if c in parts.columns else F.lit(other).alias(c) for c, other in (("space", ""), ("gender", "n"))]
+    every = materialize(parts.select("kind", "form", *have), "parts")
+    spread = max(every.sparkSession.sparkContext.defaultParallelism, -(-every.count() // 5_000))  # drawing is the dear step
+    taken, open_, solved = every.select("kind", "space", F.col("form").alias("new")), every, []
+    for attempt in range(draws + 8):
+        drawn = open_.repartition(spread, "kind", "space", "form").withColumn("new", draw(F.col("kind"), F.col("form"), F.col("gender"), F.lit(attempt), key, draws))
+        drawn = materialize(drawn, "draws")
+        place = ["kind", "space", "new"]
+        first = drawn.groupBy(*place).agg(F.min("form").alias("form")).join(taken, place, "left_anti")
+        good = materialize(first, "drawn")
+        solved.append(good)
+        open_ = materialize(drawn.drop("new").join(good.select("kind", "space", "form"), ["kind", "space", "form"], "left_anti"), "open")
+        if open_.isEmpty():
+            out = solved[0]
+            for more in solved[1:]:
+                out = out.unionByName(more)
+            return out.select("kind", "space", "form", "new")
+        taken = taken.unionByName(good.select(*place))
     raise RuntimeError("replacements still clash after the last draw")
 
 
-def surrogates(docs: DataFrame, key: str, draws: int = 30) -> DataFrame:
+def surrogates(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with entities replaced in ``text``, and a count of them in the last column ``n_entities``."""
     rid, ents, parts, text, new, own, count = unique_names(docs, "rid", "ents", "parts", "text_kept", "new", "own_rid", "n_entities")
     body = F.col("text").cast("string")
@@ -207,11 +256,14 @@ def surrogates(docs: DataFrame, key: str, draws: int = 30) -> DataFrame:
     held = materialize(held.withColumn("text", F.when(F.coalesce(F.size(ents), F.lit(0)) <= 0, body)), "entities")  # from here row ids are fixed
     some = held.where(F.size(ents) > 0)
     mentions = some.select(F.col(rid).alias("rid"), F.posexplode(ents).alias("pos", "entity"))
-    kind = kind_of(F.col("entity"))
-    values = mentions.select("entity").distinct().withColumn("kind", kind).withColumn("form", canonical(F.col("kind"), F.col("entity")))
-    values = materialize(values, "values")
-    solved = resolve(values.select("kind", "form").distinct(), key, draws)
-    table = values.join(solved, ["kind", "form"]).select("entity", pour(F.col("kind"), F.col("entity"), F.col("new")).alias("replacement"))
+    values = mentions.select("entity").distinct().withColumn("whole", kind_of(F.col("entity")))
+    values = materialize(values.select("entity", "whole", F.explode(parts_of(F.col("whole"), F.col("entity"))).alias("part")).select("entity", "whole", "part.*"), "values")
+    said = lambda g: F.max((F.col("hint") == g).cast("int"))
+    sure = lambda a, b: (F.coalesce(said(a), F.lit(0)) == 1) & (F.coalesce(said(b), F.lit(0)) == 0)
+    distinct = values.groupBy("kind", "space", "form").agg(F.when(sure("m", "f"), "m").when(sure("f", "m"), "f").otherwise("n").alias("gender"))
+    solved = resolve(distinct, key)
+    whole = values.join(solved, ["kind", "space", "form"]).groupBy("entity", "whole").agg(F.map_from_entries(F.collect_list(F.struct("kind", "new"))).alias("new"))  # two parts at most
+    table = whole.select("entity", pour(F.col("whole"), F.col("entity"), F.col("new")).alias("replacement"))
     replaced = mentions.join(table, "entity").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("pos", "replacement"))).alias(new)).withColumnRenamed("rid", own)
     joined = some.join(replaced, F.col(rid) == F.col(own))
     mixed = F.transform(F.sequence(F.lit(0), F.size(new)), lambda i: F.concat(F.element_at(F.col(parts), i + 1), F.when(i < F.size(new), F.try_element_at(F.col(new), i + 1)["replacement"]).otherwise("")))

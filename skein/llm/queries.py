@@ -58,8 +58,13 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 PII_KEY = "skein-surrogates"
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The key of the surrogates: the session's ``spark.skein.surrogates.key``; without one a known key, good for tests only."""
+    return spark.conf.get("spark.skein.surrogates.key", None) or spark.sparkContext.getConf().get("spark.skein.surrogates.key") or PII_KEY
+
+
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.surrogates(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return pii.surrogates(_table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,12 +64,14 @@ class Vocabulary:
     def read(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Terms of texts: the text, the term, and how often it stands there."""
         words, known = [WORDS.findall(text.lower()) if text else [] for text in texts], self.words
-        for word in set().union(*words).difference(known):
-            at = known[word] = len(known)
-            if at == len(self.terms):
+        fresh = list(set().union(*words).difference(known))
+        if fresh:
+            number, first = self.number, len(known)
+            known.update(zip(fresh, range(first, first + len(fresh)), strict=True))
+            while len(known) > len(self.terms):
                 self.terms = np.concatenate([self.terms, np.full_like(self.terms, -1)])
-            own = word_terms(word)
-            self.terms[at, : len(own)] = [self.number(t) for t in own]
+            for column, n in enumerate((None, *OPENINGS)):  # as word_terms has them
+                self.terms[first : len(known), column] = [number(w) for w in fresh] if n is None else [number(w[:n] + "*") if len(w) > n else -1 for w in fresh]
         sizes = np.array([len(own) for own in words], dtype=np.int64)
         doc = np.repeat(np.arange(len(texts)), sizes)
         ids = np.fromiter((known[w] for own in words for w in own), np.int64, sizes.sum())

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from skein.llm.common import NUMBERS
+
 #: Python takes these for white space, the tokenizer does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Marks that are each a pre-token of their own after letters. No apostrophe: it may open a contraction.
@@ -24,10 +26,8 @@ _MARKS = ".,;:!?*$#%&@()[]{}\"/\\|+=~^-"
 #: Lower-case Latin letters in normal form C, for the short way.
 _LATIN = "".join(c for c in map(chr, [*range(0x61, 0x7B), *range(0xDF, 0x250)]) if c.islower() and len(c.upper()) == 1 and unicodedata.category(c) == "Ll")
 _CAPITAL = "".join(c for c in map(chr, [*range(0x41, 0x5B), *range(0xC0, 0x250)]) if len(c.lower()) == 1 and c.lower() in _LATIN and c != c.lower())
-#: Python takes numbers that aren't digits for letters.
-_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("Nl", "No"))
 #: Letters, then marks, or anything else.
-_PARTS = re.compile(r"^(?:([^\W\d_" + _NUMBERS + r"]*)([" + re.escape(_MARKS) + r"]*)|(.+))$", re.M)
+_PARTS = re.compile(r"^(?:([^\W\d_" + NUMBERS + r"]*)([" + re.escape(_MARKS) + r"]*)|(.+))$", re.M)
 
 
 def _gather(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -265,3 +265,17 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in rows} == kept and len(kept) > 100
     text = " ".join(r["text"] for r in twice.collect())
     assert not any(decontaminate.normalized(b["text"]) in decontaminate.normalized(text) for b in spark.read.parquet(f"{sf}/benchmark.parquet").collect())
+
+
+def test_people_keep_their_names(spark):
+    texts = ["Frau Anna Weber and Dr. Anna Weber met Frau Weber, FRAU X.", "Mr John Smith and Mr Smith and Mr John Weber; Mr ANNA", "Mr Kim Lee, Mrs Kim Lee", *[f"Mr Given{chr(97 + i % 26)}{chr(97 + i // 26)} Surname{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)], *[f"a@host{i}.com" for i in range(300)], "b@host1.com a@HOST1.com"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.surrogates(docs, "key").collect()}
+    first, second = re.match(r"Frau (\w+ \w+) and Dr\. (\w+ \w+) met Frau (\w+),", out[0]), re.match(r"Mr (\w+) (\w+) and Mr (\w+) and Mr (\w+) (\w+);", out[1])
+    assert first[1] == first[2] and first[1].split()[1] == first[3] == second[5] and first[1].split()[0] in pii.GIVEN["Latin", "f"].lower().title().split()
+    assert second[2] == second[3] and second[1] == second[4] and second[2] != second[5]
+    people = {out[i] for i in range(3, 303)}
+    assert len(people) == 300 and all(re.fullmatch(r"Mr [A-Z][a-z]+ [A-Z][a-z]+", p) for p in people)
+    hosts = [out[i].split("@")[1] for i in range(303, 603)]
+    assert len(set(hosts)) == 300 and all(h.endswith(".example") for h in hosts)
+    assert out[603].split()[0].split("@")[1] == out[603].split()[1].split("@")[1].lower() == hosts[1]
