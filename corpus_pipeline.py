@@ -34,7 +34,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets become surrogates in ``text``; n_chars follows where there is such a column."""
     columns = docs.columns
-    out = pii.surrogates(docs, queries.PII_KEY).select(*columns)
+    out = pii.surrogates(docs, queries.pii_key(spark)).select(*columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
 
 
