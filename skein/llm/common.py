@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import hashlib
 import tempfile
-import unicodedata
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -15,9 +14,6 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Numbers that aren't digits: Python's ``\\w`` without ``\\d`` and ``_`` takes them for letters.
-NUMBERS = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) in ("Nl", "No"))
-
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 

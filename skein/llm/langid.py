@@ -22,16 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import NUMBERS, bounded_sample, held, slices
+from skein.llm.common import bounded_sample, held, slices
 
-LETTERS = re.compile(r"[^\W\d_" + NUMBERS + "]+")
+LETTERS = re.compile(r"[^\W\d_]+")
 ORDER = 5
 DISCOUNT = 0.75
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _runs(text: str | None) -> list[str]:
-    return LETTERS.findall(text.lower()) if text else []
+    runs = LETTERS.findall(text.lower()) if text else []
+    if runs and not "".join(runs).isalpha():  # Python's class takes numbers that aren't digits for letters
+        runs = "".join(c if c.isalpha() else " " for c in " ".join(runs)).split()
+    return runs
 
 
 def _grams(runs: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:

@@ -17,8 +17,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from skein.llm.common import NUMBERS
-
 #: Python takes these for white space, the tokenizer does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Marks that are each a pre-token of their own after letters. No apostrophe: it may open a contraction.
@@ -27,7 +25,7 @@ _MARKS = ".,;:!?*$#%&@()[]{}\"/\\|+=~^-"
 _LATIN = "".join(c for c in map(chr, [*range(0x61, 0x7B), *range(0xDF, 0x250)]) if c.islower() and len(c.upper()) == 1 and unicodedata.category(c) == "Ll")
 _CAPITAL = "".join(c for c in map(chr, [*range(0x41, 0x5B), *range(0xC0, 0x250)]) if len(c.lower()) == 1 and c.lower() in _LATIN and c != c.lower())
 #: Letters, then marks, or anything else.
-_PARTS = re.compile(r"^(?:([^\W\d_" + NUMBERS + r"]*)([" + re.escape(_MARKS) + r"]*)|(.+))$", re.M)
+_PARTS = re.compile(r"^(?:([^\W\d_]*)([" + re.escape(_MARKS) + r"]*)|(.+))$", re.M)
 
 
 def _gather(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +87,8 @@ class WordIds:
         parts = _PARTS.findall("\n".join("" if w in special else w for w in words).lower())
         self._learn([x for head, tail, _ in parts for x in (head, tail)])
         get = self.by_run.__getitem__
-        return [self._whole(word) if other or word in special else get(head) + get(tail) for word, (head, tail, other) in zip(words, parts, strict=True)]
+        # numbers that aren't digits are letters to Python's expression, not to the tokenizer
+        return [self._whole(word) if other or word in special or head and not head.isalpha() else get(head) + get(tail) for word, (head, tail, other) in zip(words, parts, strict=True)]
 
     def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids of distinct words one after another, where each word's start, and how many they are."""
