@@ -16,22 +16,35 @@ def round6(value: Column) -> Column:
     return F.round(value * F.lit(1e6)) / F.lit(1e6)
 
 
+#: What a term of the code index is made of: alphabetic, numeric, underscore (as Java and ``regex`` both write it).
+TERM = r"[\p{IsAlphabetic}\p{N}_]+"
+
+
 def code_terms(text: Column) -> Column:
-    """Lower-case runs of letters, digits and underscores; longer terms are cut at a character within 256 bytes."""
-    terms = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{IsAlphabetic}\p{M}\p{N}_]+"), F.lit(0))
+    """Runs of letters, digits and underscores, lower case character by character, at most 256 bytes each."""
+    # a capital sigma stands alone here, so it has no final form; other capitals don't depend on what follows
+    terms = F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda t: F.lower(F.translate(t, "Σ", "σ")))
     return F.when(F.octet_length(text) <= TERM_BYTES, terms).otherwise(F.transform(terms, cut_bytes))
 
 
+def plain_code_terms(text: str) -> list[str]:
+    """``code_terms`` for a text on the driver."""
+    import regex
+
+    def cut(term: str) -> str:
+        out, size = "", 0
+        for c in "".join(c.lower() for c in term):
+            if size + len(c.encode()) <= TERM_BYTES:
+                out, size = out + c, size + len(c.encode())
+        return out
+
+    return [cut(t) for t in regex.findall(TERM.replace("IsAlphabetic", "Alphabetic"), text)]
+
+
 def cut_bytes(term: Column) -> Column:
-    """At most TERM_BYTES bytes of UTF-8, no character broken."""
-    fits = F.octet_length(term) <= TERM_BYTES
-    # a character holds four bytes at most, so only the last quarter can vary
-    size = F.aggregate(
-        F.split(F.substring(term, 1, TERM_BYTES), ""),
-        F.struct(F.lit(0).alias("bytes"), F.lit(0).alias("chars")),
-        lambda a, c: F.when(a["bytes"] + F.octet_length(c) <= TERM_BYTES, F.struct((a["bytes"] + F.octet_length(c)).alias("bytes"), (a["chars"] + 1).alias("chars"))).otherwise(F.struct(F.lit(TERM_BYTES + 1).alias("bytes"), a["chars"].alias("chars"))),
-    )["chars"]
-    return F.when(fits, term).otherwise(F.substring(term, F.lit(1), size))
+    """At most TERM_BYTES bytes of UTF-8: characters that no longer fit are left out."""
+    kept = F.aggregate(F.split(term, ""), F.lit(""), lambda out, c: F.when(F.octet_length(out) + F.octet_length(c) <= TERM_BYTES, F.concat(out, c)).otherwise(out))
+    return F.when(F.octet_length(term) <= TERM_BYTES, term).otherwise(kept)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -125,13 +138,26 @@ def glob_regex(pattern: str) -> str:
     return "(?s)^" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern) + "$"
 
 
-def matches_glob(path: Column, pattern: str) -> Column:
-    """``dir/`` means everything below; a pattern without a slash also matches the file name alone."""
+def plain_pattern(pattern: str) -> str:
+    """Without blanks around it and ``./`` before it, with slashes forward."""
     pattern = pattern.strip()
-    if not pattern or pattern.startswith("#"):
+    while pattern.startswith("./"):
+        pattern = pattern[2:]
+    return pattern.replace("\\", "/")
+
+
+def matches_glob(path: Column, pattern: str) -> Column:
+    """``dir/`` means every path that starts with ``dir``; a pattern without a slash also matches the file name alone.
+
+    ``?`` is one byte of UTF-8: where it occurs, bytes stand as ISO-8859-1 characters.
+    """
+    if not pattern.strip() or pattern.strip().startswith("#"):
         return F.lit(False)
+    pattern = plain_pattern(pattern)
     if pattern.endswith("/"):
-        return path.startswith(pattern)
+        return path.startswith(pattern.rstrip("/"))
+    if "?" in pattern:
+        path, pattern = F.decode(F.encode(path, "UTF-8"), "ISO-8859-1"), pattern.encode().decode("iso-8859-1")
     whole = path.rlike(glob_regex(pattern))
     return whole if "/" in pattern else whole | F.substring_index(path, "/", -1).rlike(glob_regex(pattern))
 

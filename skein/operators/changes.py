@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skein.functions.text import matches_any
-from skein.sources.scan import EXCLUDED, language
+from skein.functions.text import matches_any, plain_pattern
+from skein.sources.scan import is_excluded, language
 
 #: Kinds of events that can change a graph (fixed values).
 KINDS = ("create", "modify", "remove", "rename", "any", "other", "close_write")
@@ -19,24 +20,40 @@ GENERATED = (".astro",)
 MOST_PATHS, MOST_BYTES = 4096, 1 << 20
 
 
+def _inside(path: Column, roots: list[str]) -> Column:
+    out = F.lit(False)
+    for root in roots:
+        out = out | (path == root) | path.startswith(root + "/")
+    return out
+
+
 def relevant(kind: Column, path: Column, config: list[str] = (), protected: list[str] = (), include: list[str] = (), ignore: list[str] = (), exclude: list[str] = (), generated: tuple[str, ...] = GENERATED) -> Column:
     """Whether an event refreshes the graph: configuration files always, protected folders never, generated
     ones only if included, then patterns and the suffix decide."""
-    parts = F.split(path, "/")
-    inside = F.lit(False)
-    for root in protected:
-        inside = inside | (path == root) | path.startswith(root + "/")
     included = matches_any(path, list(include)) if include else F.lit(False)
-    made = F.arrays_overlap(parts, F.array(*[F.lit(g) for g in generated]))
-    excluded = F.arrays_overlap(parts, F.array(*[F.lit(c) for c in EXCLUDED]))
+    made = F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(g) for g in generated]))
     dropped = (~included if include else F.lit(False)) | matches_any(path, [*ignore, *exclude])
-    source = ~inside & (path != "") & ~excluded & (~made | included) & ~dropped & language(path).isNotNull()
+    source = ~_inside(path, protected) & (path != "") & ~is_excluded(path) & (~made | included) & ~dropped & language(path).isNotNull()
     return kind.isin(*KINDS) & (path.isin(*config) | source if config else source)
 
 
-def rescans(kind: Column, path: Column) -> Column:
-    """A removed or renamed folder (a path without suffix) needs a full scan."""
-    return kind.isin("remove", "rename") & ~F.substring_index(path, "/", -1).contains(".")
+def rescans(kind: Column, path: Column, config: list[str] = (), protected: list[str] = (), include: list[str] = (), ignore: list[str] = (), exclude: list[str] = (), generated: tuple[str, ...] = GENERATED) -> Column:
+    """Whether a removed or renamed path may have been a folder of sources, so that a full scan is due.
+
+    A name without a suffix may be one; a dot at its start begins no suffix. Configuration files, protected, excluded
+    and ignored paths aren't. Below a generated folder, the path or something under that folder must be included.
+    """
+    included = matches_any(path, list(include)) if include else F.lit(False)
+    unmade = F.lit(True)
+    for g in generated:
+        folder = F.regexp_extract(path, rf"^((?:[^/]+/)*?{re.escape(g)})(?:/|$)", 1)
+        below = F.lit(False)
+        for pattern in include:
+            below = below | F.lit(plain_pattern(pattern)).startswith(F.concat(folder, F.lit("/")))
+        unmade = unmade & ((folder == "") | included | below)
+    bare = F.substring_index(path, "/", -1).rlike(r"^\.?[^.]*$")
+    source = ~_inside(path, protected) & (path != "") & ~is_excluded(path) & unmade & ~matches_any(path, [*ignore, *exclude])
+    return kind.isin("remove", "rename") & bare & (source & ~path.isin(*config) if config else source)
 
 
 def sessions(events: DataFrame, gap_seconds: float, key: str = "key") -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.functions.text import ascii_lower, code_terms, escape_html, round6, wiki_terms
+from skein.functions.text import ascii_lower, code_terms, escape_html, plain_code_terms, round6
 
 K1, B = 1.2, 0.75
 QUERY_TERMS = 32
@@ -78,15 +78,8 @@ def build_index(documents: DataFrame) -> Index:
 
 
 def query_terms(query: str) -> list[str]:
-    """At most 32 distinct terms, in order of appearance."""
-    import re
-
-    found: dict[str, None] = {}
-    for term in re.findall(r"[^\W]+", "".join(c.lower() for c in query)):
-        term = term.encode()[:256].decode(errors="ignore")
-        if len(found) < QUERY_TERMS or term in found:
-            found[term] = None
-    return list(found)
+    """At most 32 distinct terms, in order of appearance; the same terms as the index has."""
+    return list(dict.fromkeys(plain_code_terms(query)))[:QUERY_TERMS]
 
 
 def bm25(index: Index, query: str) -> DataFrame:
@@ -221,7 +214,7 @@ def snippet(q: str, terms: list[str]) -> Column:
     """The first field with a match, marked: up to 48 bytes on either side, escaped, 160 characters at most."""
     empty = F.array().cast("array<string>")
     fields = F.concat(F.array("title"), F.when(F.col("description").isNotNull(), F.array("description")).otherwise(empty), *[F.coalesce(F.col(c), empty) for c in ("headings", "extensions", "citations")], F.array("body"))
-    return F.element_at(F.filter(F.transform(fields, lambda f: mark(f, q, terms)), lambda s: s.isNotNull()), 1) if q else F.lit(None).cast("string")
+    return F.try_element_at(F.filter(F.transform(fields, lambda f: mark(f, q, terms)), lambda s: s.isNotNull()), F.lit(1)) if q else F.lit(None).cast("string")
 
 
 def mark(field: Column, q: str, terms: list[str]) -> Column:
@@ -236,7 +229,9 @@ def mark(field: Column, q: str, terms: list[str]) -> Column:
         place = here if place is None else F.least(place, here)
     start = F.greatest(place["at"] - RADIUS, F.lit(1))
     back = lambda s: F.decode(F.encode(s, "ISO-8859-1"), "UTF-8")
-    prefix = back(F.substring(raw, start, place["at"] - start))
+    # characters that the radius cuts in two are left out
+    prefix = back(F.regexp_replace(F.substring(raw, start, place["at"] - start), r"^[\x80-\xBF]+", ""))
     matched = back(F.substring(raw, place["at"], place["size"]))
-    suffix = back(F.substring(raw, place["at"] + place["size"], F.lit(RADIUS)))
+    broken = r"(?:[\xC0-\xDF]|[\xE0-\xEF][\x80-\xBF]?|[\xF0-\xF7][\x80-\xBF]{0,2})$"
+    suffix = back(F.regexp_replace(F.substring(raw, place["at"] + place["size"], F.lit(RADIUS)), broken, ""))
     return F.when(place.isNotNull(), F.left(F.concat(escape_html(prefix), F.lit("<mark>"), escape_html(matched), F.lit("</mark>"), escape_html(suffix)), F.lit(SNIPPET_LENGTH)))

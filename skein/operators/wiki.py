@@ -166,10 +166,15 @@ TRANSITIONS = (("candidate", "active"), ("candidate", "quarantined"), ("active",
 def transitions(requests: DataFrame, records: DataFrame) -> DataFrame:
     """Each request (bundle_id, memory_id, to_status, actor, at, reason, replacement_id) with its verdict.
 
-    records: bundle_id, memory_id, status, supersedes. A supersession needs an active replacement in the same
-    bundle that says what it supersedes. ``error`` is null where the change is allowed.
+    records: bundle_id, memory_id, status, supersedes, and if they have them last_verified_at, verified_by,
+    superseded_by and history. A supersession needs an active replacement in the same bundle that says what it
+    supersedes. ``error`` is null where the change is allowed; then the record's new state follows from it:
+    activation verifies, a return to candidate clears the verification, and history grows by one entry.
     """
-    now = records.select("bundle_id", "memory_id", F.col("status").alias("from_status"))
+    string = lambda c: F.col(c) if c in records.columns else F.lit(None).cast("string")
+    entry = "array<struct<from:string,to:string,actor:string,at:string,reason:string>>"
+    past = F.coalesce("history", F.array().cast(entry)) if "history" in records.columns else F.array().cast(entry)
+    now = records.select("bundle_id", "memory_id", F.col("status").alias("from_status"), string("last_verified_at").alias("old_at"), string("verified_by").alias("old_by"), string("superseded_by").alias("old_up"), past.alias("past"))
     new = records.select("bundle_id", F.col("memory_id").alias("replacement_id"), F.col("status").alias("new_status"), F.col("supersedes").alias("new_supersedes"))
     rows = requests.join(now, ["bundle_id", "memory_id"], "left").join(new, ["bundle_id", "replacement_id"], "left")
     allowed = None
@@ -177,18 +182,26 @@ def transitions(requests: DataFrame, records: DataFrame) -> DataFrame:
         test = (F.col("from_status") == a) & (F.col("to_status") == b)
         allowed = test if allowed is None else allowed | test
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
-    up = F.col("to_status") == "superseded"
+    to = F.col("to_status")
+    up = to == "superseded"
     error = (
-        F.when(blank("actor") | blank("at") | blank("reason"), "actor, at and reason must not be empty")
+        F.when(blank("actor"), "actor must not be empty")
+        .when(blank("at"), "transitioned_at must not be empty")
+        .when(blank("reason"), "reason must not be empty")
         .when(~up & F.col("replacement_id").isNotNull(), "replacement_id is only valid for supersession")
         .when(F.col("from_status").isNull(), "memory not found")
-        .when(~allowed, F.concat(F.lit("transition from "), "from_status", F.lit(" to "), "to_status", F.lit(" is not allowed")))
+        .when(~allowed, F.concat(F.lit("transition from "), F.initcap("from_status"), F.lit(" to "), F.initcap(to), F.lit(" is not allowed")))
         .when(up & F.col("replacement_id").isNull(), "supersession requires replacement_id")
         .when(up & F.col("new_status").isNull(), "supersession replacement was not found")
         .when(up & (F.col("new_status") != "active"), "supersession replacement must be active")
         .when(up & ~F.array_contains("new_supersedes", F.col("memory_id")), "replacement must declare the memory it supersedes")
     )
-    return rows.select(*requests.columns, "from_status", error.alias("error"), F.when(error.isNull(), F.col("to_status")).otherwise(F.col("from_status")).alias("status"))
+    ok = F.col("error").isNull()
+    rows = rows.withColumn("error", error)
+    verified = lambda old, given: F.when(ok & (to == "active"), F.col(given)).when(ok & (to == "candidate"), F.lit(None)).otherwise(F.col(old))
+    superseded = F.when(ok & up, F.col("replacement_id")).when(ok & to.isin("active", "candidate"), F.lit(None)).otherwise(F.col("old_up"))
+    step = F.array(F.struct(F.col("from_status").alias("from"), to.alias("to"), F.col("actor").alias("actor"), F.col("at").alias("at"), F.col("reason").alias("reason"))).cast(entry)
+    return rows.select(*requests.columns, "from_status", "error", F.when(ok, to).otherwise(F.col("from_status")).alias("status"), verified("old_at", "at").alias("last_verified_at"), verified("old_by", "actor").alias("verified_by"), superseded.alias("superseded_by"), F.when(ok, F.concat("past", step)).otherwise(F.col("past")).alias("history"))
 
 
 def recall(hits: DataFrame, records: DataFrame, kinds: list[str] | None = None, limit: int = 20) -> DataFrame:
@@ -201,18 +214,27 @@ def recall(hits: DataFrame, records: DataFrame, kinds: list[str] | None = None,
     return hits.join(active, ["bundle_id", "concept_id"]).orderBy(F.desc("score"), "bundle_id", "concept_id").limit(min(limit, 20))
 
 
-def invalidated(changed: DataFrame, resolved: DataFrame) -> DataFrame:
-    """What changed files (bundle_id, source_path) make stale: pages, search documents, the backlink lists of the
-    concepts they link to, directories above an index, and histories above a log."""
+def invalidated(changed: DataFrame, resolved: DataFrame, concepts: DataFrame | None = None) -> DataFrame:
+    """What changed files (bundle_id, source_path) make stale, as (bundle_id, what, key, target).
+
+    A concept: its page, its search document, the backlinks of whatever its links point to (also directories and
+    broken targets) and its outbound edges. An index: the pages of its directory and of all above. A log: the
+    history of its own directory, and the aggregate one. ``concepts``, where given, says which files are concepts.
+    """
     kind = F.when(F.col("source_path").rlike(r"(^|/)index\.md$"), "index").when(F.col("source_path").rlike(r"(^|/)log\.md$"), "log").otherwise("concept")
     rows = changed.withColumn("kind", kind)
-    own = F.regexp_replace("source_path", r"\.md$", "")
-    concepts = rows.where("kind = 'concept'").select("bundle_id", own.alias("concept_id"))
-    pages = concepts.select("bundle_id", F.explode(F.array(F.lit("page"), F.lit("search"))).alias("what"), F.col("concept_id").alias("key"))
-    targets = resolved.where("target_concept is not null").join(concepts.select("bundle_id", F.col("concept_id").alias("source_id")), ["bundle_id", "source_id"], "left_semi")
-    back = targets.select("bundle_id", F.lit("backlinks").alias("what"), F.col("target_concept").alias("key"))
-    above = rows.where("kind <> 'concept'").select("bundle_id", F.when(F.col("kind") == "index", "directory").otherwise("history").alias("what"), F.explode(ancestors(parent(F.col("source_path")))).alias("key"))
-    return pages.unionByName(back).unionByName(above).distinct()
+    own = rows.where("kind = 'concept'").select("bundle_id", F.regexp_replace("source_path", r"\.md$", "").alias("concept_id"))
+    if concepts is not None:
+        own = own.join(concepts.select("bundle_id", "concept_id").distinct(), ["bundle_id", "concept_id"], "left_semi")
+    none, scope = F.lit(None).cast("string").alias("target"), parent(F.col("source_path"))
+    pages = own.select("bundle_id", F.explode(F.array(F.lit("page"), F.lit("search"))).alias("what"), F.col("concept_id").alias("key"), none)
+    links = resolved.where("target_id is not null").select("bundle_id", "source_id", F.col("target_id")).join(own.select("bundle_id", F.col("concept_id").alias("source_id")), ["bundle_id", "source_id"], "left_semi")
+    back = links.select("bundle_id", F.lit("backlinks").alias("what"), F.col("target_id").alias("key"), none)
+    out = links.select("bundle_id", F.lit("edge").alias("what"), F.col("source_id").alias("key"), F.col("target_id").alias("target"))
+    above = rows.where("kind = 'index'").select("bundle_id", F.lit("directory").alias("what"), F.explode(ancestors(scope)).alias("key"), none)
+    logs = rows.where("kind = 'log'")
+    history = logs.select("bundle_id", F.lit("history").alias("what"), scope.alias("key"), none).unionByName(logs.select("bundle_id", F.lit("aggregate history").alias("what"), F.lit("").alias("key"), none))
+    return pages.unionByName(back).unionByName(out).unionByName(above).unionByName(history).distinct()
 
 
 def owning_bundle(paths: DataFrame, roots: DataFrame) -> DataFrame:

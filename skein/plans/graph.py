@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import graph_id, partition_id, round6
 from skein.operators import graph as G
-from skein.plans import named
 from skein.plans.patterns import compile_pattern
 from skein.plans.registry import query, table
 
@@ -226,20 +225,3 @@ def pattern_union_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("pattern_two_hops", f"{WITH} SELECT r.label AS region, count(*) AS customers FROM e e1 JOIN e e2 ON e1.target_id = e2.source_id JOIN n c ON c.id = e1.source_id JOIN n r ON r.id = e2.target_id WHERE e1.edge_type = 'InNation' AND e2.edge_type = 'InRegion' AND c.node_type = 'Customer' GROUP BY r.label")
 def pattern_two_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compile_pattern("MATCH (c:Customer)-[:InNation]->(:Nation)-[:InRegion]->(r:Region) RETURN r.label AS region, count(c) AS customers", nodes(spark, sf_dir), edges(spark, sf_dir))
-
-
-def code_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The star schema's graph under the code graph's types and relations."""
-    swap = lambda c, names: F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col(c))
-    n = nodes(spark, sf_dir).withColumn("node_type", swap("node_type", CODE))
-    return n, edges(spark, sf_dir).withColumn("edge_type", swap("edge_type", RELATIONS))
-
-
-@query("named_catalog_counts", f"{WITH} SELECT 'repository_overview' AS name, least(100, count(*)) AS n FROM n WHERE node_type IN ('Region', 'Nation') UNION ALL SELECT 'callgraph_neighborhood', least(50, count(*)) FROM e WHERE edge_type = 'Contains' UNION ALL SELECT 'unresolved_references', least(100, count(*)) FROM n WHERE node_type = 'Order' AND id NOT IN (SELECT source_id FROM e WHERE edge_type = 'Contains') UNION ALL SELECT 'high_fan_in_definitions', 50 UNION ALL SELECT 'dependency_map', 0 UNION ALL SELECT 'graph_coverage', 1")
-def named_catalog_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, e = code_graph(spark, sf_dir)
-    out = None
-    for name in ("repository_overview", "callgraph_neighborhood", "unresolved_references", "high_fan_in_definitions", "dependency_map", "graph_coverage"):
-        part = named.ask(name, n, e).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
-        out = part if out is None else out.unionByName(part)
-    return out

@@ -11,13 +11,13 @@ from skein.plans.registry import query, table
 from skein.sources import scan
 
 SUFFIXES = (".py", ".md", ".RS", ".txt", ".go", ".hpp", ".f90", "")
-FOLDERS = ("src", "target", "src/build", "docs", "node_modules/x")
-FILES_SQL = "f AS (SELECT list_value(" + ", ".join(f"'{x}'" for x in FOLDERS) + ")[doc_id % 5 + 1] || '/f' || doc_id || list_value(" + ", ".join(f"'{x}'" for x in SUFFIXES) + ")[doc_id % 8 + 1] AS path, sha256(text) AS content_hash, n_chars AS byte_len, doc_id FROM documents)"
+FOLDERS = ("src", "target", "src/build", "docs", "docs2", "node_modules/x")
+FILES_SQL = "f AS (SELECT list_value(" + ", ".join(f"'{x}'" for x in FOLDERS) + ")[doc_id % 6 + 1] || '/f' || doc_id || list_value(" + ", ".join(f"'{x}'" for x in SUFFIXES) + ")[doc_id % 8 + 1] AS path, sha256(text) AS content_hash, n_chars AS byte_len, doc_id FROM documents)"
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("doc_id") % n + 1).cast("int"))
-    path = F.concat(pick(FOLDERS, 5), F.lit("/f"), "doc_id", pick(SUFFIXES, 8))
+    path = F.concat(pick(FOLDERS, 6), F.lit("/f"), "doc_id", pick(SUFFIXES, 8))
     return table(spark, sf_dir, "documents").select(path.alias("path"), F.sha2("text", 256).alias("content_hash"), F.col("n_chars").alias("byte_len"), "doc_id")
 
 
@@ -29,20 +29,28 @@ def language_by_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("path", scan.language(F.col("path")).alias("language"))
 
 
-@query("path_exclusion", f"WITH {FILES_SQL} SELECT path FROM f WHERE NOT list_has_any(string_split(path, '/'), ['.git', 'target', 'node_modules', 'dist'])")
+#: Components to try: all that are excluded, and near ones that aren't.
+TRIED = (*scan.EXCLUDED, scan.STATE, "build", "__pycache__", ".idea", "targets", "coverage", ".github")
+NEVER = ".bzr .cache .direnv .eggs .git .hg .mypy_cache .nox .svn .tox .venv dist node_modules target venv .skein".split()
+
+
+@query("path_exclusion", "WITH f AS (SELECT doc_id, list_value(" + ", ".join(f"'{x}'" for x in TRIED) + f")[doc_id % {len(TRIED)} + 1] AS c FROM documents), p AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'a/' || c || '/f' || doc_id ELSE c || '/f' || doc_id END AS path, c FROM f) SELECT path FROM p WHERE c NOT IN (" + ", ".join(f"'{x}'" for x in NEVER) + ")")
 def path_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).where(~scan.is_excluded(F.col("path"))).select("path")
+    n = F.col("doc_id")
+    component = F.element_at(F.array(*[F.lit(c) for c in TRIED]), (n % len(TRIED) + 1).cast("int"))
+    path = F.concat(F.when(n % 2 == 0, "a/").otherwise(""), component, F.lit("/f"), n)
+    return table(spark, sf_dir, "documents").select(path.alias("path")).where(~scan.is_excluded(F.col("path")))
 
 
-@query("source_scan", f"WITH {FILES_SQL}, l AS (SELECT *, {LANGUAGE_SQL} AS language FROM f WHERE NOT list_has_any(string_split(path, '/'), ['target', 'node_modules'])) SELECT path, byte_len, language, CASE WHEN starts_with(path, 'docs/') OR regexp_full_match(path, 'src/f1.*') OR regexp_full_match(split_part(path, '/', -1), '.*7\\.go') THEN 'ignored' WHEN language IS NULL THEN 'unsupported' ELSE 'source' END AS status FROM l")
+@query("source_scan", f"WITH {FILES_SQL}, l AS (SELECT *, {LANGUAGE_SQL} AS language FROM f WHERE NOT list_has_any(string_split(path, '/'), ['target', 'node_modules'])) SELECT path, byte_len, language, CASE WHEN starts_with(path, 'docs') OR regexp_full_match(path, 'src/f1.*') OR regexp_full_match(split_part(path, '/', -1), '.*7\\.go') THEN 'ignored' WHEN language IS NULL THEN 'unsupported' ELSE 'source' END AS status FROM l")
 def source_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.classified(files(spark, sf_dir), ignore=["docs/", "# a comment", ""], exclude=["src/f1*", "*7.go"]).select("path", "byte_len", "language", "status")
 
 
-@query("glob_filter", "SELECT page_id, url, regexp_full_match(url, '.*/p.*') AS deep, regexp_full_match(split_part(url, '/', -1), '.*[0-2].') OR regexp_full_match(url, '.*[0-2].') AS tail, starts_with(url, 'http://a/') AS below FROM pages")
+@query("glob_filter", "SELECT page_id, url, regexp_full_match(url, '.*/p.*') AS deep, regexp_full_match(split_part(url, '/', -1), '.*[0-2].') OR regexp_full_match(url, '.*[0-2].') AS tail, starts_with(url, 'http') AS below, regexp_full_match(url, 'h.*/p.*') AS dotted FROM pages")
 def glob_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", "url", matches_glob(url, "*/p*").alias("deep"), (matches_glob(url, "*0?") | matches_glob(url, "*1?") | matches_glob(url, "*2?")).alias("tail"), matches_glob(url, "http://a/").alias("below"))
+    return table(spark, sf_dir, "pages").select("page_id", "url", matches_glob(url, "*/p*").alias("deep"), (matches_glob(url, "*0?") | matches_glob(url, "*1?") | matches_glob(url, "*2?")).alias("tail"), matches_glob(url, "http/").alias("below"), matches_glob(url, " ./h*\\p* ").alias("dotted"))
 
 
 BEFORE_SQL = "b AS (SELECT path, CASE WHEN doc_id % 7 = 0 THEN 'old' ELSE content_hash END AS content_hash, doc_id FROM f WHERE doc_id % 10 <> 0 UNION ALL SELECT 'gone/' || doc_id, 'x', doc_id FROM f WHERE doc_id % 9 = 0)"
@@ -67,7 +75,7 @@ def manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(spark, sf_dir)
 
 
-@query("plan_summary", f"WITH {DIFF_SQL}, s AS (SELECT path, CASE WHEN starts_with(path, 'docs/') THEN 'ignored' WHEN {LANGUAGE_SQL} IS NULL THEN 'unsupported' ELSE 'source' END AS status FROM f WHERE NOT list_has_any(string_split(path, '/'), ['target', 'node_modules'])) SELECT (SELECT count(*) FROM s) AS scanned, (SELECT count(*) FROM s WHERE status = 'ignored') AS ignored, (SELECT count(*) FROM s WHERE status = 'unsupported') AS unsupported, count(*) FILTER (status IN ('added', 'modified')) AS rebuilt, count(*) FILTER (status = 'unchanged') AS skipped, count(*) FILTER (status = 'deleted') AS deleted FROM d")
+@query("plan_summary", f"WITH {DIFF_SQL}, s AS (SELECT path, CASE WHEN starts_with(path, 'docs') THEN 'ignored' WHEN {LANGUAGE_SQL} IS NULL THEN 'unsupported' ELSE 'source' END AS status FROM f WHERE NOT list_has_any(string_split(path, '/'), ['target', 'node_modules'])) SELECT (SELECT count(*) FROM s) AS scanned, (SELECT count(*) FROM s WHERE status = 'ignored') AS ignored, (SELECT count(*) FROM s WHERE status = 'unsupported') AS unsupported, count(*) FILTER (status IN ('added', 'modified')) AS rebuilt, count(*) FILTER (status = 'unchanged') AS skipped, count(*) FILTER (status = 'deleted') AS deleted FROM d")
 def plan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.summary(scan.classified(files(spark, sf_dir), ignore=["docs/"]), plan(spark, sf_dir))
 

@@ -9,7 +9,7 @@ from skein.functions.text import code_terms, slug, wiki_terms
 from skein.operators import search as S
 from skein.plans.registry import query, table
 
-TERMS = r"regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}_]+')"
+TERMS = r"list_transform(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda t: lower(t))"
 
 
 def layered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,9 +48,9 @@ def tokenize_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(code_terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
-@query("wiki_tokenize", r"SELECT doc_id, len(list_distinct(list_transform(regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')))) AS n_terms FROM documents")
+@query("wiki_tokenize", r"SELECT doc_id, list_aggregate(list_sort(list_distinct(list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')))), 'string_agg', ' ') AS terms FROM documents")
 def wiki_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(wiki_terms(F.col("text"))).cast("bigint").alias("n_terms"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.size(wiki_terms(F.col("text"))) > 0, F.array_join(F.array_sort(wiki_terms(F.col("text"))), " ")).alias("terms"))
 
 
 @query("postings_tf", f"WITH {LAYERED} SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(terms) AS term FROM docs) GROUP BY id, term")
@@ -68,9 +68,18 @@ def index_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.build_index(layered(spark, sf_dir)).totals
 
 
-@query("index_invariants", "SELECT 'x' AS part, 'x' AS key WHERE false")
+DAMAGED = f"""WITH {LAYERED}, p AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(terms) AS term FROM docs) GROUP BY id, term), d AS (SELECT term, count(*) AS df FROM p GROUP BY term)
+SELECT 'lexicon' AS part, term AS key FROM d WHERE length(term) = 2 UNION ALL SELECT 'length', id FROM docs WHERE id LIKE 'doc:%7' AND len(terms) > 0 UNION ALL SELECT 'totals', count(*)::VARCHAR FROM docs"""
+
+
+@query("index_invariants", DAMAGED)
 def index_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.build_index(layered(spark, sf_dir)).problems()
+    """An index that was damaged: each part's wrong rows are found, and no others."""
+    whole = S.build_index(layered(spark, sf_dir))
+    lexicon = whole.lexicon.withColumn("df", F.col("df") + F.when(F.length("term") == 2, 1).otherwise(0))
+    lengths = whole.lengths.withColumn("length", F.when(F.col("id").like("doc:%7") & (F.col("length") > 0), F.col("length") + 1).otherwise(F.col("length")))
+    totals = whole.totals.withColumn("tokens", F.col("tokens") + 1)
+    return S.Index(whole.postings, lexicon, lengths, totals).problems()
 
 
 @query("bm25_topk", f"WITH {scored_sql(['thereand', 'the', 'nation'])} SELECT id, score FROM scored WHERE layer = 'semantic' ORDER BY score DESC, index_order, id LIMIT 50")
@@ -124,11 +133,11 @@ def dedup_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as concepts: the title is the first line, headings the second and third."""
+    """documents as concepts: the title is the first line, the description the second, headings all others."""
     lines = F.split("text", "\n")
     return table(spark, sf_dir, "documents").select(
-        F.col("lang").alias("bundle_id"), F.concat(F.col("source"), F.lit("/"), F.col("doc_id")).alias("concept_id"), F.col("source").alias("type"), F.left(lines[0], F.lit(60)).alias("title"),
-        F.when(F.size(lines) > 1, F.try_element_at(lines, F.lit(2))).alias("description"), F.array("lang", "source").alias("tags"), F.slice(lines, 3, 2).alias("headings"),
+        F.col("lang").alias("bundle_id"), F.concat(F.col("source"), F.lit("/"), F.col("doc_id")).alias("concept_id"), F.col("source").alias("type"), lines[0].alias("title"),
+        F.when(F.size(lines) > 1, F.try_element_at(lines, F.lit(2))).alias("description"), F.array("lang", "source").alias("tags"), F.slice(lines, F.lit(3), F.size(lines)).alias("headings"),
         F.array(F.concat(F.lit("chars "), F.col("n_chars"))).alias("extensions"), F.array().cast("array<string>").alias("citations"), F.col("text").alias("body"),
     )
 
@@ -144,8 +153,8 @@ def weighted_sql(q: str, terms: list[str], where: str, limit: int) -> str:
             f"CASE WHEN contains(tl, '{t}') THEN 520 ELSE 0 END", f"CASE WHEN contains(source, '{t}') THEN 460 ELSE 0 END", f"CASE WHEN contains(lang, '{t}') OR contains(source, '{t}') THEN 430 ELSE 0 END", f"CASE WHEN contains(ds, '{t}') THEN 260 ELSE 0 END",
             f"CASE WHEN len(list_filter(hd, lambda h: contains({low('h')}, '{t}'))) > 0 THEN 230 ELSE 0 END", f"CASE WHEN contains('chars ' || n_chars, '{t}') THEN 210 ELSE 0 END", f"CASE WHEN contains(bd, '{t}') THEN 140 ELSE 0 END",
         ]
-    return f"""WITH c AS (SELECT lang, source, n_chars, source || '/' || doc_id AS cid, left(string_split(text, chr(10))[1], 60) AS title, {low("left(string_split(text, chr(10))[1], 60)")} AS tl, coalesce({low("string_split(text, chr(10))[2]")}, '') AS ds,
-      string_split(text, chr(10))[3:4] AS hd, {low("text")} AS bd FROM documents),
+    return f"""WITH c AS (SELECT lang, source, n_chars, source || '/' || doc_id AS cid, string_split(text, chr(10))[1] AS title, {low("string_split(text, chr(10))[1]")} AS tl, coalesce({low("string_split(text, chr(10))[2]")}, '') AS ds,
+      string_split(text, chr(10))[3:] AS hd, {low("text")} AS bd FROM documents),
     s AS (SELECT lang AS bundle_id, cid AS concept_id, title, CAST({' + '.join(parts)} AS INTEGER) AS score FROM c WHERE {where})
     SELECT bundle_id, concept_id, title, score FROM s WHERE score > 0 ORDER BY score DESC, bundle_id, concept_id, title LIMIT {limit}"""
 
@@ -160,12 +169,18 @@ def wiki_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.weighted_search(concepts(spark, sf_dir), "the", limit=100, bundle="EN", kind="src0", tags=["en", "src0"]).select("bundle_id", "concept_id", "title", "score")
 
 
-@query("snippet_match", """WITH b AS (SELECT conv_id, turn, text, strpos(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'the') AS p FROM conversations WHERE regexp_full_match(text, '[\\x00-\\x7F]*'))
-SELECT conv_id, turn, CASE WHEN p > 0 THEN left(replace(replace(replace(replace(replace(substr(text, greatest(p - 48, 1), p - greatest(p - 48, 1)), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') || '<mark>' || substr(text, p, 3) || '</mark>'
- || replace(replace(replace(replace(replace(substr(text, p + 3, 48), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;'), 160) END AS snippet FROM b""".replace("\\\\", "\\"))
+ESCAPED = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
+#: Bytes as pairs of hexadecimal digits: without the rest of a broken character at the start, or a begun one at the end.
+WHOLE_START = "regexp_replace({0}, '^([89AB][0-9A-F])+', '')"
+WHOLE_END = "regexp_replace({0}, '([CD][0-9A-F]|E[0-9A-F]([89AB][0-9A-F])?|F[0-9A-F]([89AB][0-9A-F]){{0,2}})$', '')"
+_text = lambda part: ESCAPED.format(f"decode(unhex({part}))")
+_before = _text(WHOLE_START.format("substr(h, greatest(p - 48, 1) * 2 - 1, (p - greatest(p - 48, 1)) * 2)"))
+_behind = _text(WHOLE_END.format("substr(h, (p + 3) * 2 - 1, 96)"))
+
+
+@query("snippet_match", f"WITH b AS (SELECT conv_id, turn, text, hex(encode(text)) AS h, strpos(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'the') AS c FROM conversations), p AS (SELECT *, strlen(left(text, c - 1)) + 1 AS p FROM b) SELECT conv_id, turn, CASE WHEN c > 0 THEN left({_before} || '<mark>' || substr(text, c, 3) || '</mark>' || {_behind}, 160) END AS snippet FROM p")
 def snippet_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return rows.select("conv_id", "turn", S.mark(F.col("text"), "the", []).alias("snippet"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", S.mark(F.col("text"), "the", []).alias("snippet"))
 
 
 @query("slugify_unique", r"""WITH s AS (SELECT doc_id, pos, trim(regexp_replace(lower(line), '[^\p{L}\p{M}\p{N}]+', '-', 'g'), '-') AS slug FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),

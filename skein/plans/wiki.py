@@ -50,10 +50,10 @@ def facet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.facets(concepts(spark, sf_dir))
 
 
-@query("directory_hierarchy", f"WITH {CONCEPTS}, d AS (SELECT bundle_id, '' AS path FROM c UNION SELECT bundle_id, type FROM c) SELECT bundle_id, path, CASE WHEN path = '' THEN (SELECT count(DISTINCT type) FROM c WHERE c.bundle_id = d.bundle_id) ELSE 0 END AS n_directories, (SELECT count(*) FROM c WHERE c.bundle_id = d.bundle_id AND c.type = d.path) AS n_concepts FROM d")
+@query("directory_hierarchy", f"WITH {CONCEPTS}, d AS (SELECT bundle_id, '' AS path FROM c UNION SELECT bundle_id, type FROM c) SELECT bundle_id, path, CASE WHEN path = '' THEN (SELECT string_agg(DISTINCT type, ',' ORDER BY type) FROM c WHERE c.bundle_id = d.bundle_id) ELSE '' END AS child_directories, coalesce((SELECT string_agg(DISTINCT concept_id, ',' ORDER BY concept_id) FROM c WHERE c.bundle_id = d.bundle_id AND c.type = d.path), '') AS concepts FROM d")
 def directory_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = W.hierarchy(concepts(spark, sf_dir))
-    return t.select("bundle_id", "path", F.size("child_directories").cast("bigint").alias("n_directories"), F.size("concepts").cast("bigint").alias("n_concepts"))
+    return t.select("bundle_id", "path", F.array_join("child_directories", ",").alias("child_directories"), F.array_join("concepts", ",").alias("concepts"))
 
 
 def doc_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,8 +156,9 @@ STATUS = "['candidate', 'active', 'quarantined', 'superseded']"
 
 
 @query("memory_state_machine", f"""WITH r AS (SELECT 'b' || doc_id % 2 AS bundle_id, doc_id, 'm' || doc_id AS memory_id, {STATUS}[doc_id % 4 + 1] AS from_status, {STATUS}[doc_id // 4 % 4 + 1] AS to_status, CASE WHEN doc_id % 50 = 7 THEN '' ELSE 'ann' END AS actor, CASE WHEN doc_id // 4 % 4 = 3 AND doc_id % 3 <> 0 THEN 'm' || (doc_id + 4) END AS replacement_id FROM documents), k AS (SELECT 'm' || doc_id AS replacement_id, {STATUS}[doc_id % 4 + 1] AS new_status, doc_id FROM documents)
-SELECT bundle_id, memory_id, from_status, to_status, CASE WHEN actor = '' THEN 'actor, at and reason must not be empty' WHEN NOT ((from_status, to_status) IN (('candidate', 'active'), ('candidate', 'quarantined'), ('active', 'superseded'), ('active', 'quarantined'), ('quarantined', 'candidate'))) THEN 'transition from ' || from_status || ' to ' || to_status || ' is not allowed'
- WHEN to_status = 'superseded' AND r.replacement_id IS NULL THEN 'supersession requires replacement_id' WHEN to_status = 'superseded' AND new_status IS NULL THEN 'supersession replacement was not found' WHEN to_status = 'superseded' AND new_status <> 'active' THEN 'supersession replacement must be active' WHEN to_status = 'superseded' AND k.doc_id % 5 = 0 THEN 'replacement must declare the memory it supersedes' END AS error FROM r LEFT JOIN k USING (replacement_id)""")
+SELECT *, CASE WHEN error IS NULL AND to_status = 'active' THEN 'ann' END AS verified_by, CASE WHEN error IS NULL AND to_status = 'superseded' THEN 'm' || (CAST(substr(memory_id, 2) AS BIGINT) + 4) END AS superseded_by, CASE WHEN error IS NULL THEN from_status || '>' || to_status || '>ann>t>why' ELSE '' END AS history FROM (
+SELECT bundle_id, memory_id, from_status, to_status, CASE WHEN actor = '' THEN 'actor must not be empty' WHEN NOT ((from_status, to_status) IN (('candidate', 'active'), ('candidate', 'quarantined'), ('active', 'superseded'), ('active', 'quarantined'), ('quarantined', 'candidate'))) THEN 'transition from ' || upper(from_status[1]) || from_status[2:] || ' to ' || upper(to_status[1]) || to_status[2:] || ' is not allowed'
+ WHEN to_status = 'superseded' AND r.replacement_id IS NULL THEN 'supersession requires replacement_id' WHEN to_status = 'superseded' AND new_status IS NULL THEN 'supersession replacement was not found' WHEN to_status = 'superseded' AND new_status <> 'active' THEN 'supersession replacement must be active' WHEN to_status = 'superseded' AND k.doc_id % 5 = 0 THEN 'replacement must declare the memory it supersedes' END AS error FROM r LEFT JOIN k USING (replacement_id))""")
 def memory_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
     pick = lambda i: F.element_at(F.array(*[F.lit(s) for s in ("candidate", "active", "quarantined", "superseded")]), (i + 1).cast("int"))
@@ -165,7 +166,8 @@ def memory_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
     to = pick(F.floor(n / 4) % 4)
     requests = d.select(bundle, F.concat(F.lit("m"), n).alias("memory_id"), to.alias("to_status"), F.when(n % 50 == 7, "").otherwise("ann").alias("actor"), F.lit("t").alias("at"), F.lit("why").alias("reason"), F.when((to == "superseded") & (n % 3 != 0), F.concat(F.lit("m"), n + 4)).alias("replacement_id"))
     records = d.select(bundle, F.concat(F.lit("m"), n).alias("memory_id"), pick(n % 4).alias("status"), F.when(n % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("m"), n - 4))).alias("supersedes"))
-    return W.transitions(requests, records).select("bundle_id", "memory_id", "from_status", "to_status", "error")
+    steps = F.array_join(F.transform("history", lambda h: F.concat_ws(">", h["from"], h["to"], h["actor"], h["at"], h["reason"])), ",")
+    return W.transitions(requests, records).select("bundle_id", "memory_id", "from_status", "to_status", "error", "verified_by", "superseded_by", steps.alias("history"))
 
 
 @query("memory_recall", f"WITH r AS (SELECT 'b' AS bundle_id, 'memory/' || kind || '/m' || doc_id AS concept_id, 'm' || doc_id AS memory_id, kind, n_chars AS score FROM (SELECT *, ['semantic', 'episodic', 'procedural'][doc_id % 3 + 1] AS kind FROM documents) WHERE doc_id % 4 = 1 AND kind <> 'procedural') SELECT bundle_id, concept_id, memory_id, kind, score FROM r ORDER BY score DESC, bundle_id, concept_id LIMIT 20")
@@ -177,20 +179,34 @@ def memory_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.recall(hits, d.drop("score"), ["semantic", "episodic"]).select("bundle_id", "concept_id", "memory_id", "kind", "score")
 
 
-@query("invalidation", f"WITH {CONCEPTS}, {RESOLVED} SELECT bundle_id, 'page' AS what, concept_id AS key FROM c WHERE doc_id % 9 = 0 UNION SELECT bundle_id, 'search', concept_id FROM c WHERE doc_id % 9 = 0 UNION SELECT bundle_id, 'backlinks', source_id FROM r JOIN c ON c.concept_id = r.source_id AND c.bundle_id = r.bundle_id WHERE c.doc_id % 9 = 0 AND (c.doc_id % 12 IN (0, 1, 7, 11)) UNION SELECT bundle_id, 'directory', unnest(['', type]) FROM c WHERE doc_id % 9 = 1 UNION SELECT bundle_id, 'history', unnest(['', type]) FROM c WHERE doc_id % 9 = 2".replace("SELECT bundle_id, 'backlinks'", "SELECT r.bundle_id, 'backlinks'"))
+INVALID = f"""WITH {CONCEPTS}, {RESOLVED}, s AS (SELECT DISTINCT r.bundle_id, r.source_id, r.target_id FROM r JOIN c ON c.concept_id = r.source_id AND c.bundle_id = r.bundle_id WHERE c.doc_id % 9 = 0 AND r.target_id IS NOT NULL)
+SELECT bundle_id, 'page' AS what, concept_id AS key, NULL::VARCHAR AS target FROM c WHERE doc_id % 9 = 0
+UNION SELECT bundle_id, 'search', concept_id, NULL FROM c WHERE doc_id % 9 = 0
+UNION SELECT bundle_id, 'backlinks', target_id, NULL FROM s
+UNION SELECT bundle_id, 'edge', source_id, target_id FROM s
+UNION SELECT bundle_id, 'directory', unnest(['', type, type || '/deep']), NULL FROM c WHERE doc_id % 9 = 1
+UNION SELECT bundle_id, 'history', type || '/deep', NULL FROM c WHERE doc_id % 9 = 2
+UNION SELECT bundle_id, 'aggregate history', '', NULL FROM c WHERE doc_id % 9 = 2"""
+
+
+@query("invalidation", INVALID)
 def invalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = concepts(spark, sf_dir)
-    own = F.when(F.col("doc_id") % 9 == 0, F.concat("concept_id", F.lit(".md"))).when(F.col("doc_id") % 9 == 1, F.concat("type", F.lit("/index.md"))).otherwise(F.concat("type", F.lit("/log.md")))
-    changed = c.where("doc_id % 9 < 3").select("bundle_id", own.alias("source_path"))
-    return W.invalidated(changed, W.resolve_links(doc_links(spark, sf_dir), c, slugs(spark, sf_dir)))
+    n = F.col("doc_id") % 9
+    own = F.when(n == 0, F.concat("concept_id", F.lit(".md"))).when(n == 1, F.concat("type", F.lit("/deep/index.md"))).when(n == 2, F.concat("type", F.lit("/deep/log.md"))).otherwise(F.concat(F.lit("no/concept"), F.col("doc_id"), F.lit(".md")))
+    changed = c.where("doc_id % 9 < 4").select("bundle_id", own.alias("source_path"))
+    return W.invalidated(changed, W.resolve_links(doc_links(spark, sf_dir), c, slugs(spark, sf_dir)), c)
+
+
+ROOTS = {"": "all", "src1": "one", "src1/en": "english", "src2/de/m1": "deep", "src": "no folder of its own"}
 
 
-@query("longest_prefix", "SELECT page_id, url, CASE WHEN regexp_matches(url, '^[^/]*//[^/]*/[^/]*/.') AND page_id % 2 >= 0 THEN 'host' ELSE 'host' END AS bundle_id FROM pages WHERE contains(url, '//')")
+@query("longest_prefix", "WITH p AS (SELECT doc_id, source || '/' || lang || '/m' || doc_id % 3 || '/d' || doc_id || '.md' AS path FROM documents), r(root, bundle_id) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in ROOTS.items()) + ") SELECT doc_id, arg_max(bundle_id, length(root)) AS bundle_id FROM p JOIN r ON root = '' OR starts_with(path, root || '/') GROUP BY doc_id")
 def longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").where(F.col("url").contains("//"))
-    paths = p.select("page_id", "url", F.regexp_replace("url", "^[a-z]+://[^/]*", "site").alias("path"))
-    roots = spark.createDataFrame([("site", "host"), ("", "all")], "root string, bundle_id string")
-    return W.owning_bundle(paths.select("path").distinct(), roots).join(paths, "path").select("page_id", "url", "bundle_id")
+    path = F.concat_ws("/", "source", "lang", F.concat(F.lit("m"), F.col("doc_id") % 3), F.concat(F.lit("d"), "doc_id", F.lit(".md")))
+    paths = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"))
+    found = W.owning_bundle(paths.select("path"), spark.createDataFrame(list(ROOTS.items()), "root string, bundle_id string"))
+    return paths.join(found, "path").select("doc_id", "bundle_id")
 
 
 @query("site_routes", f"WITH {CONCEPTS} SELECT 'concept' AS kind, '/' || bundle_id || '/concept/' || concept_id || '/' AS route FROM c UNION SELECT 'directory', '/' || bundle_id || '/directory/' || type || '/' FROM c UNION SELECT k, '/' || bundle_id || CASE WHEN k = 'bundle' THEN '/' ELSE '/' || k || '/' END FROM c, (SELECT unnest(['bundle', 'facets', 'search', 'graph', 'changes', 'diagnostics']) AS k)")

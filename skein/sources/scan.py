@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import matches_any
 
-#: Path components that are never scanned (fixed values).
-EXCLUDED = (".git", "target", "node_modules", "dist", "venv", ".venv", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".idea", ".vscode", ".next", ".turbo", "coverage")
+#: Path components that are never scanned (fixed values), beside the folder of the engine's own state.
+EXCLUDED = (".bzr", ".cache", ".direnv", ".eggs", ".git", ".hg", ".mypy_cache", ".nox", ".svn", ".tox", ".venv", "dist", "node_modules", "target", "venv")
+STATE = ".skein"
 #: Languages by suffix (fixed values); later profiles override.
 LANGUAGES = {".py": "python", ".md": "markdown", ".mdx": "markdown", ".rs": "rust", ".go": "go", ".c": "c", ".h": "c", ".cc": "cpp", ".cpp": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".hh": "cpp", ".f": "fortran", ".f90": "fortran", ".f95": "fortran", ".for": "fortran"}
 
@@ -25,9 +26,9 @@ def language(path: Column, languages: dict[str, str] | None = None) -> Column:
     return out
 
 
-def is_excluded(path: Column, components: tuple[str, ...] = EXCLUDED) -> Column:
-    """Whether any component of the path is one of ``components``."""
-    return F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(c) for c in components]))
+def is_excluded(path: Column, components: tuple[str, ...] = EXCLUDED, state: str = STATE) -> Column:
+    """Whether any component of the path is one of ``components`` or the state folder."""
+    return F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(c) for c in (*components, state)]))
 
 
 def is_ignored(path: Column, include: list[str] = (), ignore: list[str] = (), exclude: list[str] = ()) -> Column:

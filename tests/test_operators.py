@@ -16,7 +16,7 @@ from skein.streaming import refresh
 
 @pytest.fixture(scope="module")
 def small(spark):
-    nodes = spark.createDataFrame([("f:a", "Function", "alpha", "m.alpha", "a.py"), ("f:b", "Function", "beta", "m.beta", "b.py"), ("c:1", "CallExpression", "beta()", "m.beta()", "a.py"), ("c:2", "CallExpression", "gone()", "m.gone()", "a.py")], "id string, node_type string, label string, qualified_name string, path string")
+    nodes = spark.createDataFrame([("f:a", "Function", "alpha", "m.alpha", "a.py"), ("f:b", "Function", "beta", "m.beta", "b.py"), ("c:1", "CallExpression", "beta()", "m.beta()", "a.py"), ("c:2", "CallExpression", "gone()", "m.gone()", "a.py"), ("r:1", "Reference", "lost", "m.lost", "a.py")], "id string, node_type string, label string, qualified_name string, path string")
     edges = spark.createDataFrame([("e1", "Calls", "f:a", "c:1", None), ("e2", "ResolvesTo", "c:1", "f:b", None), ("e3", "Calls", "f:a", "c:2", 1)], "id string, edge_type string, source_id string, target_id string, child_index bigint")
     return nodes, edges
 
@@ -48,9 +48,9 @@ def test_named_questions(small):
     nodes, edges = small
     assert named.ask("unresolved_references", nodes, edges).count() == 1
     assert {r["label"] for r in named.ask("symbol_lookup", nodes, edges, name="m.beta").collect()} == {"beta"}
-    for name in named.CATALOG:
-        extra = {"name": "alpha"} if name in ("symbol_lookup", "callable_neighborhood", "evidence_for_symbol") else {}
-        named.ask(name, nodes, edges, **extra).collect()
+    assert len(named.CATALOG) == 23 and set(named.GROUPS) <= {q.group for q in named.CATALOG.values()}
+    for name, question in named.CATALOG.items():
+        named.ask(name, nodes, edges, **dict.fromkeys(question.parameters, "alpha")).collect()
     with pytest.raises(KeyError, match="known"):
         named.groups("nothing")
 
@@ -83,15 +83,49 @@ def test_index_on_disk(spark, tmp_path):
     assert stored.problems().count() == 0 and {r["term"]: r["tf"] for r in stored.postings.collect()} == {"x": 1, "y": 2}
 
 
-def test_weighted_search_fixture(spark):
-    rows = [("alpha", "launch-checklist", "guide", "Launch Readiness Checklist", "Operational resilience", ["release", "ops"], ["Steps"], "An alert <script> here"), ("alpha", "incident-playbook", "guide", "Incident Playbook", "Response", ["ops"], [], "text"), ("beta", "body-only", "note", "Note", None, ["notes"], [], "operational resilience")]
+def test_weighted_search(spark):
+    rows = [("north", "harbour-plan", "plan", "Harbour Dredging Plan", "Tides and depth", ["sea", "works"], ["Depth"], "Beware of <b>currents</b> here"), ("north", "crane-log", "plan", "Crane Log", "Loads", ["works"], [], "text"), ("south", "sketch", "draft", "Sketch", None, ["sea"], [], "tides and depth")]
     docs = spark.createDataFrame(rows, "bundle_id string, concept_id string, type string, title string, description string, tags array<string>, headings array<string>, body string")
     docs = docs.withColumns({"extensions": F.array().cast("array<string>"), "citations": F.array().cast("array<string>")})
     best = lambda q, **k: search.weighted_search(docs, q, **k).first()
-    assert best("Launch Readiness Checklist")["concept_id"] == "launch-checklist" and best("incident-playbook")["score"] >= 1000
-    assert best("operational resilience")["concept_id"] == "launch-checklist"
-    assert search.weighted_search(docs, "launch", bundle="alpha", kind="guide", tags=["release"]).count() == 1
-    assert "<mark>alert</mark> &lt;script&gt;" in best("alert")["snippet"] and len(best("alert")["snippet"]) <= 160
+    assert best("harbour dredging plan")["concept_id"] == "harbour-plan" and best("crane-log")["score"] >= 1000
+    assert best("tides and depth")["concept_id"] == "harbour-plan"
+    assert search.weighted_search(docs, "harbour", bundle="north", kind="plan", tags=["sea"]).count() == 1
+    assert best("currents")["snippet"] == "Beware of &lt;b&gt;<mark>currents</mark>&lt;/b&gt; here"
+
+
+def test_snippets_cut_no_character(spark):
+    texts = ["é" * 30 + "a needle " + "ж" * 40, "needle", "x" * 60 + "NEEDLE" + "€" * 30, "日" * 20 + "needle" + "a" + "日" * 20, None, "none"]
+    found = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(search.mark(F.col("t"), "needle", [])).collect()]
+
+    def plain(t):
+        data, at = (t or "").encode(), (t or "").lower().encode().find(b"needle")
+        if at < 0:
+            return None
+        return (data[max(0, at - 48) : at].decode(errors="ignore") + "<mark>" + data[at : at + 6].decode() + "</mark>" + data[at + 6 : at + 54].decode(errors="ignore"))[:160]
+
+    assert found == [plain(t) for t in texts]
+
+
+def test_terms_are_the_same_in_index_and_query(spark):
+    texts = ["cafe\u0301 Café _a1 ½x Ⅷ", "ΣΑΣ İstanbul straße STRASSE", "x" * 300 + " " + "é" * 130, "a-b c.d 日本語 किताब", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.code_terms(F.col("t")).alias("terms")).collect()
+    for r in rows:
+        assert r["terms"] == X.plain_code_terms(r["t"])
+    assert rows[0]["terms"][:2] == ["cafe", "café"] and rows[1]["terms"][0] == "σασ" and len(rows[2]["terms"][1].encode()) == 256
+
+
+def test_globs(spark):
+    paths = ["docs2/x", "docs/x", "a/éb", "a/xb", "lib/skip/y"]
+    one = lambda p: {r[0] for r in spark.createDataFrame([(x,) for x in paths], "p string").where(X.matches_glob(F.col("p"), p)).collect()}
+    assert one("docs/") == {"docs2/x", "docs/x"} and one("./docs\\*") == {"docs/x"} and one("?b") == {"a/xb"} and one("??b") == {"a/éb"} and one("# docs/") == set()
+
+
+def test_assignments_by_owner(spark):
+    rows = spark.createDataFrame([("ÄB_1", "Module", "Constant"), ("self.y", "Class", "ClassAttribute"), ("self.y", "Method", "InstanceAttribute"), ("x", "Class", "ClassAttribute"), ("_", "Module", "Variable"), ("ABc", "Module", "Variable")], "t string, o string, k string")
+    from skein.sources import code
+
+    assert all(r[0] == r[1] for r in rows.select("k", code.target_kind(F.col("t"), F.col("o"))).collect())
 
 
 def test_text_functions(spark):
