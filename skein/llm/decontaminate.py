@@ -7,7 +7,8 @@ distance of the item to any substring.
 
 Items and texts are compared as lower-case words with single spaces, closed by spaces at both ends, so
 short items match whole words only. Items come in blocks of bounded size; each block is broadcast and read
-against all documents.
+against all documents. At most BLOCKS blocks are broadcast for one pass over the documents: where there are
+more, the rows found so far are stored, and their blocks given up, before the next ones are taken.
 
 Defined cases: null and empty texts hold nothing; items without a letter or digit match nothing; repeated
 items are reported under each id; repeated rows are reported each; equal distances give the leftmost end;
@@ -24,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import held, slices, unique_names
+from skein.llm.common import held, materialize, slices, unique_names
 
 WORD = re.compile(r"[^\W_]+")
 #: Bytes of item text in a block.
 BLOCK_BYTES = 4 << 20
+#: Blocks that are broadcast at one time.
+BLOCKS = 8
 
 
 def normalized(text: str | None) -> str:
@@ -166,9 +169,14 @@ def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def matches(docs: DataFrame, items: DataFrame, rate: float = 0.06) -> DataFrame:
     """A row per document and item it holds: doc_id, item_id, distance, start, stop (places in the text)."""
     schema, context = "doc_id bigint, item_id bigint, distance int, start int, stop int", docs.sparkSession.sparkContext
-    texts, found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), None
+    texts, found, live = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), None, []
     for block in item_blocks(items):
+        if len(live) == BLOCKS:
+            found = materialize(found, "matches")
+            while live:
+                live.pop().unpersist()
         shared, key = context.broadcast(block), uuid.uuid4().hex
+        live.append(shared)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             matcher = held("pieces", key, lambda: Matcher(shared.value, rate))
@@ -185,9 +193,14 @@ def matches(docs: DataFrame, items: DataFrame, rate: float = 0.06) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, rate: float = 0.06) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
-    (flag,) = unique_names(docs, "holds_item")
+    (flag,), live = unique_names(docs, "holds_item"), []
     for block in item_blocks(items):
+        if len(live) == BLOCKS:
+            docs = materialize(docs, "clean")
+            while live:
+                live.pop().unpersist()
         shared, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+        live.append(shared)
 
         @F.pandas_udf("boolean")
         def holds(texts, shared=shared, key=key):  # noqa: ANN001, ANN202

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import free_shuffles, materialize, slices
+from skein.llm.common import free_shuffles, materialize, plan_bytes, slices
 
 BLOCK, FILL = 576, b"\xff"
 SMALLEST, LARGEST, MASK = 512, 8192, (1 << 11) - 1
@@ -154,11 +154,20 @@ class MediaStore:
         return ordered.mapInArrow(run, ", ".join(["media_sha256 binary", *[f"{name} {kind}" for name, _, kind in fields]]))
 
 
-def store(docs: DataFrame, buckets: int = 48, waves: int = 4, known: str | None = None) -> MediaStore:
-    """Store the texts of ``docs`` as media. ``known``: a chunk table of before; its digests aren't stored again."""
+#: The plan's bytes to a bucket of chunks, and the fewest buckets.
+BUCKET_BYTES, BUCKETS = 256 << 20, 48
+
+
+def store(docs: DataFrame, buckets: int | None = None, waves: int = 4, known: str | None = None) -> MediaStore:
+    """Store the texts of ``docs`` as media. ``known``: a chunk table of before; its digests aren't stored again.
+
+    Buckets follow the plan's own estimate of its bytes, 48 at least.
+    """
     import zstandard
 
     spark = docs.sparkSession
+    if buckets is None:
+        buckets = max(BUCKETS, plan_bytes(docs) // BUCKET_BYTES)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

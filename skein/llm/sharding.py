@@ -4,7 +4,8 @@ A row's place is the first bits of its key's hash. The directory is found from s
 buckets at a fine depth are rolled up to every coarser depth, and a bucket stands at the first depth at
 which it fits the limit: only buckets that don't fit have been split on another bit. Leaves that are still
 too large go through another round at a greater depth, alone. The directory is as large as the number of
-shards, never as the number of rows, and rows meet it by a join on their leaf.
+shards, never as the number of rows, and rows meet it by a join on their leaf: a broadcast while it has at most
+BROADCAST_LEAVES leaves, a shuffle beyond.
 
 Defined cases: null sizes count as 0; a row larger than the limit ends alone in its bucket; rows of one key
 that together exceed the limit (no bit tells them apart) are paged by running size; null keys hash as the
@@ -19,10 +20,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import materialize
+from skein.llm.common import materialize, unique_names
 
 #: Bits of the key's hash that can be used.
 BITS = 60
+#: Leaves up to which the directory is broadcast (some 40 bytes each).
+BROADCAST_LEAVES = 1 << 18
 #: Depth of a round beyond what even buckets would need.
 SPARE = 4
 
@@ -45,9 +48,9 @@ def _resolve(rows: DataFrame, limit: int, low: int, high: int) -> DataFrame:
     every = every.withColumn("prefix", F.expr(f"shiftright(leaf, {high} - depth)"))
     sums = every.groupBy("depth", "prefix").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("rows"))
     fits = sums.where((F.col("bytes") <= limit) | (F.col("rows") == 1))
-    found = every.select("leaf", "depth", "prefix").join(fits, ["depth", "prefix"])
+    found = every.select("leaf", "depth", "prefix").join(fits.hint("merge"), ["depth", "prefix"])
     first = found.groupBy("leaf").agg(F.min_by(F.struct("depth", "bytes", "rows"), "depth").alias("b"))
-    return leaves.select("leaf").join(first, "leaf", "left").select("leaf", "b.depth", "b.bytes", "b.rows")
+    return leaves.select("leaf").join(first.hint("merge"), "leaf", "left").select("leaf", "b.depth", "b.bytes", "b.rows")
 
 
 def assign(df: DataFrame, key: str, size: Column, limit: int) -> DataFrame:
@@ -58,7 +61,8 @@ def assign(df: DataFrame, key: str, size: Column, limit: int) -> DataFrame:
     low, out, rest = 0, [], rows
     while True:
         directory = materialize(_resolve(rest, limit, low, depth), "directory")
-        placed = rest.withColumn("leaf", _leaf(F.col("h"), depth)).join(directory, "leaf")
+        small = directory.count() <= BROADCAST_LEAVES  # else rows and directory meet by a shuffle
+        placed = rest.withColumn("leaf", _leaf(F.col("h"), depth)).join(F.broadcast(directory) if small else directory.hint("merge"), "leaf")
         out.append(placed.where("depth is not null").select("key", "h", "size", "depth", F.lit("0").alias("page"), "bytes", "rows"))
         if directory.where("depth is null").isEmpty():
             break
@@ -90,9 +94,12 @@ def _pages(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def write_shards(df: DataFrame, key: str, size: Column, limit: int, path: str) -> DataFrame:
-    """Write ``df`` as Parquet, a folder per shard; returns the assignment. Keys must be unique."""
-    placed = assign(df, key, size, limit)
-    shard = F.concat_ws("-", F.col("depth"), F.lpad(F.conv(F.col("prefix").cast("string"), 10, 16), 15, "0"), F.col("page")).alias("shard")
-    rows = df.join(placed.select(F.col("key").alias("shard_key"), shard), F.col(key).eqNullSafe(F.col("shard_key"))).drop("shard_key")
-    rows.repartition("shard").write.partitionBy("shard").parquet(path)
-    return placed
+    """Write ``df`` as Parquet, a folder per shard; returns the assignment. Keys must be unique (null is one key)."""
+    shard, own = unique_names(df, "shard", "shard_key")
+    placed = materialize(assign(df, key, size, limit), "assigned")
+    name = F.concat_ws("-", F.col("depth"), F.lpad(F.conv(F.col("prefix").cast("string"), 10, 16), 15, "0"), F.col("page")).alias(shard)
+    if placed.groupBy("key").count().where("count > 1").isEmpty():
+        rows = df.join(placed.select(F.col("key").alias(own), name), F.col(key).eqNullSafe(F.col(own))).drop(own)
+        rows.repartition(shard).write.partitionBy(shard).parquet(path)
+        return placed
+    raise ValueError(f"{key} repeats: its rows cannot be told apart when they are written")

@@ -5,7 +5,8 @@ code, whose balls of radius 3 fill the space. A fingerprint's home is its one ne
 to every anchor within the covering radius plus the threshold (on several slices: wherever the distances
 beyond the radius sum to the threshold at most). Two fingerprints that differ in at most ``threshold`` bits
 thus meet at each other's home. One slice gives 4,096 anchors, two give 16.7 million; the slices follow
-from the number of distinct fingerprints, and the result doesn't depend on them.
+from the number of distinct fingerprints, and the result doesn't depend on them. A 64-bit fingerprint has room for
+no third slice: beyond some 10**12 distinct fingerprints two slices' anchors grow with the table.
 
 At an anchor the fingerprints at home are held, in groups of bounded size, and the visitors stream past
 them. What leaves an anchor is a spanning forest of its links, never all pairs; components of the forests
@@ -34,8 +35,10 @@ SLICE = 23
 GENERATOR = 0b110001110101
 #: At most so many home fingerprints are held at once; an anchor with more is split.
 HELD = 1 << 16
-#: Distinct fingerprints up to which one slice is used.
+#: Distinct fingerprints up to which one slice is used: it has fewer visits, two slices have smaller anchors.
 ONE_SLICE = 1 << 21
+#: Fingerprints in a task that replicates them.
+DEALT = 100_000
 
 
 def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
@@ -194,11 +197,12 @@ class Anchor:
 
 def links(distinct: DataFrame, threshold: int = 3, parts: int | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints: a spanning forest at every anchor."""
+    n = distinct.count()
     if parts is None:
-        parts = 1 if distinct.count() <= ONE_SLICE else 2
-    spread = replicate(distinct, threshold, parts)
-    if parts > 1:
-        spread = materialize(spread, "anchors")
+        parts = 1 if n <= ONE_SLICE else 2
+    # a fingerprint becomes some seventy visits (hundreds on two slices): deal them out by their number first
+    tasks = max(distinct.sparkSession.sparkContext.defaultParallelism, -(-n // DEALT))
+    spread = materialize(replicate(distinct.select("fp").repartition(tasks), threshold, parts), "anchors")
     at_home = spread.where("visitor = 0").groupBy("anchor").agg(F.sum(F.octet_length("fps") / 8).alias("n"))
     crowded = at_home.where(F.col("n") > HELD).select("anchor", F.ceil(F.col("n") * 2 / HELD).cast("int").alias("groups"))
     dealt = spread.join(crowded, "anchor", "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
@@ -241,7 +245,7 @@ def links(distinct: DataFrame, threshold: int = 3, parts: int | None = None) ->
 def near_duplicates(docs: DataFrame, words: int = 3, seed: int = 42, threshold: int = 3) -> DataFrame:
     """Per row of ``docs``: doc_id, fp and component_id, the smallest doc_id reachable over links."""
     prints = materialize(fingerprints(docs, words, seed), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(distinct, threshold))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -279,3 +279,65 @@ def test_people_keep_their_names(spark):
     hosts = [out[i].split("@")[1] for i in range(303, 603)]
     assert len(set(hosts)) == 300 and all(h.endswith(".example") for h in hosts)
     assert out[603].split()[0].split("@")[1] == out[603].split()[1].split("@")[1].lower() == hosts[1]
+
+
+def test_shards_are_written(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, i % 40 + 1, "s", "k") for i in range(200)] + [(None, 7, None, None)], "doc_id bigint, n int, shard string, shard_key string")
+    placed = sharding.write_shards(docs, "doc_id", F.col("n"), 150, f"file://{tmp_path}/shards")
+    read = spark.read.parquet(f"file://{tmp_path}/shards")
+    assert read.count() == 201 and {"shard", "shard_key", "shard_"} <= set(read.columns)
+    sums = {r["shard_"]: r["n"] for r in read.groupBy("shard_").agg(F.sum("n").alias("n")).collect()}
+    assert max(sums.values()) <= 150 and len(sums) == placed.select("depth", "prefix", "page").distinct().count()
+    with pytest.raises(ValueError, match="repeats"):
+        sharding.write_shards(docs.union(docs.limit(1)), "doc_id", F.col("n"), 150, f"file://{tmp_path}/again")
+
+
+def test_directories_of_any_size_give_the_same(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, i % 50 + 1) for i in range(300)], "doc_id bigint, n int")
+    broadcast = {tuple(r) for r in sharding.assign(docs, "doc_id", F.col("n"), 200).collect()}
+    monkeypatch.setattr(sharding, "BROADCAST_LEAVES", 0)
+    assert {tuple(r) for r in sharding.assign(docs, "doc_id", F.col("n"), 200).collect()} == broadcast
+
+
+def test_many_blocks_of_items(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 60)
+    items = spark.createDataFrame([(i, f"item number {i} has {i * 37} words and {i * 91} letters") for i in range(20)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, f"before item number {i} has {i * 37} words and {i * 91} letters after") for i in range(0, 20, 2)] + [(99, "clean")], "doc_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, items, rate=0.02).where("distance = 0").collect()} == {(i, i) for i in range(0, 20, 2)}
+    assert [r["doc_id"] for r in decontaminate.clean(docs, items, rate=0.02).collect()] == [99]
+
+
+def test_query_functions_on_odd_rows(spark, tmp_path):
+    """The thin queries of op1, 2, 4, 5, 6, 9 and 10 over null, empty, long and repeated rows, and over empty tables."""
+    from skein.llm import queries
+
+    long = "word " * 30_000
+    rows = [(0, None), (1, ""), (2, " \n"), (3, "one two"), (4, long), (5, long), (5, long), (6, "ab " * 700 + "x@y.example 4111 1111 1111 1111"), (7, "the item that must not be in any text at all")]
+    for name, docs in (("some", rows), ("none", [])):
+        spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, "item that must not be in any text"), (2, None)], "item_id bigint, text string").write.parquet(f"file://{tmp_path}/{name}/benchmark.parquet")
+    run = lambda name, folder="some": queries.QUERIES[name](spark, f"file://{tmp_path}/{folder}").collect()
+    assert [(r["doc_id"], r["item_id"]) for r in run("op1_benchmark_decontamination")] == [(7, 1)]
+    media_rows = {r["doc_id"]: r for r in run("op2_media_columns")}
+    for i, text in rows:
+        data = (text or "").encode()
+        payload = data.ljust(max(1, -(-len(data) // 576)) * 576, b"\xff")
+        r = media_rows[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert r["media_sha256"] == hashlib.sha256(media.wav(payload)).hexdigest() and r["media_bytes"] == len(media.wav(payload))
+    groups = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in run("op4_simhash_near_dedup")}
+    for i, text in rows:
+        assert groups[i][0] == f"{plain_fingerprint(text):016x}"
+    assert groups[0][1] == groups[1][1] == groups[2][1] == 0 and groups[5][1] == 4
+    assert {r["doc_id"]: r["n_entities"] for r in run("op5_pii_surrogates")} == {**dict.fromkeys(range(8), 0), 6: 2}
+    packed = run("op6_best_fit_packing")
+    assert len({(r["sequence_id"], r["offset"]) for r in packed}) == len(packed) and {r["doc_id"] for r in packed} == set(range(8))
+    assert sorted(r["doc_id"] for r in run("op9_sharding")) == sorted(i for i, _ in rows)
+    ordered = run("op10_training_order")
+    assert sorted(r["slot"] for r in ordered) == list(range(len(ordered)))
+    for name in ("op1_benchmark_decontamination", "op2_media_columns", "op4_simhash_near_dedup", "op5_pii_surrogates", "op6_best_fit_packing", "op9_sharding", "op10_training_order"):
+        assert run(name, "none") == []
