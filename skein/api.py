@@ -50,7 +50,7 @@ class Graph:
         return changes, manifest.summary(scanned, changes)
 
     def materialize(self, source: str, ignore: list[str] = (), exclude: list[str] = (), include: list[str] = (), repository: str = "repository") -> dict:
-        """Scan, parse, build, validate and publish; an unchanged source publishes nothing."""
+        """Scan, parse, build, index, validate and publish; an unchanged source publishes nothing."""
         scanned = scan.scan(self.spark, source, include, ignore, exclude).where("status = 'source'")
         files = scanned.select("path", "content_hash", "language")
         digest = generations.table_digest(files)
@@ -60,7 +60,8 @@ class Graph:
         parsed = code.parse_files(scanned.select("path", "language", "content")).persist()  # each file is parsed once
         try:
             nodes, edges = code.build_graph(parsed, repository, source)
-            return self.store.publish({"nodes": nodes, "edges": edges, "manifest": files}, digest=digest, validate=generations.check_bundle, partition_by={"nodes": "node_type", "edges": "edge_type"})
+            tables = {"nodes": nodes, "edges": edges, "manifest": files, **search.index_tables(lambda written: self.documents(written["nodes"]))}
+            return self.store.publish(tables, digest=digest, validate=generations.check_bundle, partition_by={"nodes": "node_type", "edges": "edge_type"})
         finally:
             parsed.unpersist()
 
@@ -70,10 +71,11 @@ class Graph:
             return {"ready": False}
         return {"ready": True, "generation": entry["generation"]} | graph.counts(self.nodes(), self.edges()).first().asDict()
 
-    def documents(self) -> DataFrame:
+    @staticmethod
+    def documents(nodes: DataFrame) -> DataFrame:
         """Nodes as search documents of two layers."""
         layer = F.when(F.col("node_type") == "SyntaxCapture", "syntax").otherwise("semantic")
-        return self.nodes().select("id", layer.alias("layer"), F.when(layer == "syntax", 1).otherwise(0).alias("index_order"), search.indexed_text(["label", "qualified_name", "path", "summary"]).alias("text"))
+        return nodes.select("id", layer.alias("layer"), F.when(layer == "syntax", 1).otherwise(0).alias("index_order"), search.indexed_text(["label", "qualified_name", "path", "summary"]).alias("text"))
 
     def search(self, query: str, layer: str = "semantic", limit: int = 3) -> DataFrame:
         if not query.strip():
@@ -82,7 +84,8 @@ class Graph:
             raise ApiError("invalid_graph_layer", f"layer must be one of {', '.join(LAYERS)}")
         if not 1 <= limit <= 1000:
             raise ApiError("invalid_limit", "limit must be from 1 to 1000")
-        return search.search(search.build_index(self.documents()), self.nodes(), query, layer, limit)
+        index = search.Index(*(self.store.read(self.spark, part) for part in search.PARTS))
+        return search.search(index, self.nodes(), query, layer, limit)
 
     def context(self, node_id: str, profile: str = "brief", layer: str = "semantic", limit: int = 3, max_depth: int | None = None) -> DataFrame:
         if profile not in PROFILES:

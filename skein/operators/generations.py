@@ -1,22 +1,27 @@
-"""Generations: immutable folders of tables and a pointer to the current one.
+"""Generations: immutable folders of tables, and which of them is current.
 
-A generation is written aside, validated, and becomes current when the pointer file is replaced. The pointer
-names a sequence; a writer that started from an older one is refused. Readers hold a generation by lease.
+Everything is a file under the root, on any Hadoop file system, and what decides between writers is the creation of
+a file that must not exist yet. A ticket is such a file and gives a sequence number. A generation is written aside,
+validated, and becomes current when the file of its sequence number is created; the highest number is current, and a
+writer with a ticket older than another's is refused. Readers hold a generation by a lease file, whichever ``Store``
+object made it, so that collecting leaves it alone.
 """
 
 from __future__ import annotations
 
 import json
-import os
-import shutil
 import time
 import uuid
-from dataclasses import dataclass, field
-from pathlib import Path
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.operators.storage import Files
+
+TICKETS, ACTIVE, LEASES = "tickets", "active", "leases"
+
 
 class StaleGeneration(RuntimeError):
     """Another writer has published since this one began."""
@@ -26,95 +31,113 @@ class StaleGeneration(RuntimeError):
 class Store:
     root: str
     keep: int = 2
-    leases: dict[str, int] = field(default_factory=dict)
 
     @property
-    def pointer(self) -> Path:
-        return Path(self.root) / "active.json"
+    def files(self) -> Files:
+        return Files(SparkSession.getActiveSession() or SparkSession.builder.getOrCreate(), self.root)
 
     def current(self) -> dict | None:
-        return json.loads(self.pointer.read_text()) if self.pointer.exists() else None
+        files = self.files
+        names = files.names(ACTIVE)
+        return json.loads(files.read(f"{ACTIVE}/{names[-1]}")) if names else None
 
     def next_sequence(self) -> int:
         """A ticket for a new generation, larger than all before."""
-        path = Path(self.root) / "issued"
-        path.parent.mkdir(parents=True, exist_ok=True)
-        n = int(path.read_text()) + 1 if path.exists() else 1
-        path.write_text(str(n))
+        files, n = self.files, self._issued() + 1
+        while not files.create(f"{TICKETS}/{n:012d}"):
+            n += 1
         return n
 
-    def publish(self, tables: dict[str, DataFrame], sequence: int | None = None, digest: str | None = None, validate=None, partition_by: dict[str, str] | None = None) -> dict:  # noqa: ANN001
-        """Write ``tables``, check them, and point to them. Equal digests publish nothing (a cache hit)."""
+    def publish(self, tables: dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]], sequence: int | None = None, digest: str | None = None, validate: Callable[[dict[str, DataFrame]], None] | None = None, partition_by: dict[str, str] | None = None) -> dict:
+        """Write ``tables``, check them, and make them current. Equal digests publish nothing (a cache hit).
+
+        A table may be a function of those written before it, so that one derived from another reads it from its files.
+        """
         now = self.current()
         if digest is not None and now and now["digest"] == digest:
             return now | {"cache": "hit"}
         sequence = self.next_sequence() if sequence is None else sequence
-        if sequence < self._issued():
-            raise StaleGeneration(f"sequence {sequence} is older than {self._issued()}")
-        name = f"gen-{sequence:06d}-{uuid.uuid4().hex[:8]}"
-        folder = Path(self.root) / name
+        self._refuse_stale(sequence)
+        files, name = self.files, f"gen-{sequence:012d}-{uuid.uuid4().hex[:8]}"
+        written: dict[str, DataFrame] = {}
         try:
-            for table, df in tables.items():
-                writer = df.write
+            for table, made in tables.items():
+                df = made(written) if callable(made) else made
+                writer, path = df.write, f"{self.root}/{name}/{table}"
                 if partition_by and table in partition_by:
                     writer = writer.partitionBy(partition_by[table])
-                writer.parquet(str(folder / table))
+                writer.parquet(path)
+                written[table] = df.sparkSession.read.schema(df.schema).parquet(path)
             if validate is not None:
-                validate({t: df.sparkSession.read.schema(df.schema).parquet(str(folder / t)) for t, df in tables.items()})
+                validate(written)
+            self._refuse_stale(sequence)
+            entry = {"generation": name, "sequence": sequence, "digest": digest, "published_at": f"unix:{int(time.time() * 1000)}"}
+            if not files.create(f"{ACTIVE}/{sequence:012d}.json", json.dumps(entry)):
+                raise StaleGeneration(f"sequence {sequence} has been published")
         except BaseException:
-            shutil.rmtree(folder, ignore_errors=True)
+            files.delete(name)
             raise
-        if sequence < self._issued():
-            shutil.rmtree(folder, ignore_errors=True)
-            raise StaleGeneration(f"sequence {sequence} is older than {self._issued()}")
-        entry = {"generation": name, "sequence": sequence, "digest": digest, "published_at": f"unix:{int(time.time() * 1000)}"}
-        aside = self.pointer.with_suffix(".new")
-        aside.write_text(json.dumps(entry))
-        os.replace(aside, self.pointer)
         self.collect()
         return entry | {"cache": "miss"}
 
     def _issued(self) -> int:
-        path = Path(self.root) / "issued"
-        return int(path.read_text()) if path.exists() else 0
+        names = self.files.names(TICKETS)
+        return int(names[-1]) if names else 0
+
+    def _refuse_stale(self, sequence: int) -> None:
+        if sequence < self._issued():
+            raise StaleGeneration(f"sequence {sequence} is older than {self._issued()}")
 
     def read(self, spark: SparkSession, table: str) -> DataFrame:
         entry = self.current()
         if entry is None:
             raise FileNotFoundError("nothing has been published")
-        return spark.read.parquet(str(Path(self.root) / entry["generation"] / table))
+        return spark.read.parquet(f"{self.root}/{entry['generation']}/{table}")
 
     def lease(self) -> str:
-        name = self.current()["generation"]
-        self.leases[name] = self.leases.get(name, 0) + 1
-        return name
-
-    def release(self, name: str) -> None:
-        self.leases[name] -= 1
-        if not self.leases[name]:
-            del self.leases[name]
+        """Hold the current generation; returns what ``release`` takes."""
+        held = f"{self.current()['generation']}/{uuid.uuid4().hex}"
+        self.files.create(f"{LEASES}/{held}")
+        return held
+
+    def release(self, held: str) -> None:
+        files = self.files
+        files.delete(f"{LEASES}/{held}")
+        generation = held.split("/")[0]
+        if not files.names(f"{LEASES}/{generation}"):
+            files.delete(f"{LEASES}/{generation}")
 
     def collect(self) -> list[str]:
-        """Delete all but the newest ``keep`` generations, the current and the leased ones."""
-        names = sorted(p.name for p in Path(self.root).glob("gen-*"))
-        gone = [n for n in names[: -self.keep] if n not in self.leases and n != self.current()["generation"]]
+        """Delete all but the newest ``keep`` generations, the current and the leased ones; and the marks of those gone."""
+        files, now = self.files, self.current()
+        names = [n for n in files.names("") if n.startswith("gen-")]
+        leased = {n for n in files.names(LEASES) if files.names(f"{LEASES}/{n}")}
+        gone = [n for n in names[: -self.keep] if n not in leased and n != now["generation"]]
         for n in gone:
-            shutil.rmtree(Path(self.root) / n)
+            files.delete(n)
+        for mark in files.names(ACTIVE)[:-1]:
+            if json.loads(files.read(f"{ACTIVE}/{mark}"))["generation"] in gone:
+                files.delete(f"{ACTIVE}/{mark}")
         return gone
 
 
 def check_bundle(tables: dict[str, DataFrame]) -> None:
-    """A graph's generation: ids are unique, and every edge's ends exist."""
+    """A graph's generation: ids are unique, every edge's ends exist, and an index agrees with itself."""
+    from skein.operators.graph import missing_endpoints
+    from skein.operators.search import PARTS, Index
+
     nodes, edges = tables["nodes"], tables["edges"]
     for name, df in (("node", nodes), ("edge", edges)):
         twice = df.groupBy("id").count().where("count > 1").limit(1).collect()
         if twice:
             raise ValueError(f"{name} {twice[0]['id']} stands twice")
-    from skein.operators.graph import missing_endpoints
-
     lost = missing_endpoints(nodes, edges).limit(1).collect()
     if lost:
         raise ValueError(lost[0]["message"])
+    if all(p in tables for p in PARTS):
+        wrong = Index(*(tables[p] for p in PARTS)).problems().limit(1).collect()
+        if wrong:
+            raise ValueError(f"the index's {wrong[0]['part']} is wrong at {wrong[0]['key']}")
 
 
 def table_digest(df: DataFrame) -> str:

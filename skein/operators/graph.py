@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import last_segment, symbol_key
 from skein.ontology import DECLARATIONS, RELATION_ENDS, SYMBOL_TARGETS
+from skein.operators.storage import materialize
 
 __all__ = ["DECLARATIONS", "SYMBOL_TARGETS"]
 NODE_ORDER = ("neighbor_type", "neighbor_id")
@@ -110,15 +111,18 @@ def context(nodes: DataFrame, edges: DataFrame, start: str, relations: list[str]
 def reach(edges: DataFrame, starts: DataFrame, max_depth: int, both_ways: bool = True) -> DataFrame:
     """(id, depth): every node within ``max_depth`` hops of ``starts`` (id), with the least number of hops.
 
-    Each level joins only the newest nodes and drops those met before, so paths don't multiply."""
+    Each level joins only the newest nodes and drops those met before, so paths don't multiply. Links and levels are
+    stored, so a plan reads them instead of holding all levels before it."""
     links = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
     if both_ways:
         links = links.union(links.select(F.col("b"), F.col("a")))
-    links = links.distinct()
+    links = materialize(links.distinct(), "links") if max_depth > 1 else links
     found = newest = starts.select("id", F.lit(0).alias("depth")).distinct()
     for depth in range(1, max_depth + 1):
         upcoming = links.join(newest.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct()
-        newest = upcoming.join(found, "id", "left_anti").select("id", F.lit(depth).alias("depth"))
+        newest = upcoming.join(found.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"))
+        if depth < max_depth:
+            newest = materialize(newest, "frontier")
         found = found.unionByName(newest)
     return found
 

@@ -8,6 +8,7 @@ and sums per document with partial aggregation before the one shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -40,12 +41,11 @@ class Index:
 
     def write(self, path: str) -> Index:
         """Store the tables, postings clustered by term so that a query's terms touch few files."""
-        spark = self.postings.sparkSession
-        self.postings.repartitionByRange("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-        self.lexicon.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/lexicon")
+        clustered(self.postings).write.mode("overwrite").parquet(f"{path}/postings")
+        clustered(self.lexicon).write.mode("overwrite").parquet(f"{path}/lexicon")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
         self.totals.write.mode("overwrite").parquet(f"{path}/totals")
-        return read_index(spark, path)
+        return read_index(self.postings.sparkSession, path)
 
     def problems(self) -> DataFrame:
         """Rows that break an invariant: document frequencies, lengths and totals must agree with the postings."""
@@ -58,8 +58,54 @@ class Index:
         return wrong_df.union(wrong_length).union(wrong_totals)
 
 
+#: An index's tables, in the order in which each follows from those before it.
+PARTS = ("postings", "lexicon", "lengths", "totals")
+
+
+def clustered(df: DataFrame) -> DataFrame:
+    keys = [c for c in ("term", "id") if c in df.columns]
+    return df.repartitionByRange("term").sortWithinPartitions(*keys)
+
+
 def read_index(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lexicon", "lengths", "totals")))
+    return Index(*(spark.read.parquet(f"{path}/{t}") for t in PARTS))
+
+
+def index_tables(documents: DataFrame | Callable[[dict[str, DataFrame]], DataFrame]) -> dict[str, Callable[[dict[str, DataFrame]], DataFrame]]:
+    """The index's tables for a store that writes them one by one: texts are tokenized for the postings alone.
+
+    ``documents`` may be a function of the tables written before.
+    """
+    of = documents if callable(documents) else lambda written: documents
+    return {
+        "postings": lambda written: clustered(postings_of(of(written))),
+        "lexicon": lambda written: clustered(written["postings"].groupBy("term").agg(F.count("*").alias("df"))),
+        "lengths": lambda written: _lengths(of(written), written["postings"]),
+        "totals": lambda written: _totals(written["lengths"]),
+    }
+
+
+def store_index(documents: DataFrame, path: str) -> Index:
+    """Build and store an index, each table from those stored before it."""
+    spark, written = documents.sparkSession, {}
+    for name, made in index_tables(documents).items():
+        made(written).write.mode("overwrite").parquet(f"{path}/{name}")
+        written[name] = spark.read.parquet(f"{path}/{name}")
+    return Index(*written.values())
+
+
+def postings_of(documents: DataFrame) -> DataFrame:
+    occurrences = documents.select("id", F.explode(code_terms(F.coalesce("text", F.lit("")))).alias("term"))
+    return occurrences.groupBy("term", "id").agg(F.count("*").alias("tf"))
+
+
+def _lengths(documents: DataFrame, postings: DataFrame) -> DataFrame:
+    sums = postings.groupBy("id").agg(F.sum("tf").alias("length"))
+    return documents.select("id", "layer", "index_order").join(sums, "id", "left").select("id", "layer", "index_order", F.coalesce("length", F.lit(0)).alias("length"))
+
+
+def _totals(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"))
 
 
 def indexed_text(fields: list[str]) -> Column:
@@ -69,12 +115,10 @@ def indexed_text(fields: list[str]) -> Column:
 
 def build_index(documents: DataFrame) -> Index:
     """From (id, layer, index_order, text): term frequencies by document, and the counts over all documents."""
-    occurrences = documents.select("id", F.explode(code_terms(F.coalesce("text", F.lit("")))).alias("term"))
-    postings = occurrences.groupBy("term", "id").agg(F.count("*").alias("tf"))
+    postings = postings_of(documents)
     lexicon = postings.groupBy("term").agg(F.count("*").alias("df"))
     lengths = documents.select("id", "layer", "index_order", F.size(code_terms(F.coalesce("text", F.lit("")))).cast("bigint").alias("length"))
-    totals = lengths.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"))
-    return Index(postings, lexicon, lengths, totals)
+    return Index(postings, lexicon, lengths, _totals(lengths))
 
 
 def query_terms(query: str) -> list[str]:

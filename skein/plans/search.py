@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import code_terms, slug, wiki_terms
 from skein.operators import search as S
+from skein.operators.storage import new_path
 from skein.plans.registry import query, table
 
 TERMS = r"list_transform(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda t: lower(t))"
@@ -19,6 +20,17 @@ def layered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
+_STORED: dict[tuple[str, str], S.Index] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> S.Index:
+    """The index of ``layered``: built and stored by the first search of a session, read by all."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        _STORED[key] = S.store_index(layered(spark, sf_dir), new_path(spark, "index"))
+    return _STORED[key]
+
+
 LAYERED = f"""
 docs AS (
   SELECT 'doc:' || doc_id AS id, 'semantic' AS layer, 0 AS index_order, {TERMS} AS terms, lang AS label, lang || '.' || source AS qualified_name, source AS path,
@@ -84,13 +96,13 @@ def index_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("bm25_topk", f"WITH {scored_sql(['thereand', 'the', 'nation'])} SELECT id, score FROM scored WHERE layer = 'semantic' ORDER BY score DESC, index_order, id LIMIT 50")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = S.bm25(S.build_index(layered(spark, sf_dir)), "thereand The NATION")
+    scored = S.bm25(stored(spark, sf_dir), "thereand The NATION")
     return S.top(scored.where("layer = 'semantic'"), 50).select("id", "score")
 
 
 @query("search_multi_term", f"WITH {scored_sql(['and', 'de', 'la', 'ou', 'die'])} SELECT id, layer, index_order, score FROM scored")
 def search_multi_term(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.bm25(S.build_index(layered(spark, sf_dir)), "and de la ou die die")
+    return S.bm25(stored(spark, sf_dir), "and de la ou die die")
 
 
 RANKED = f"""{scored_sql(['en', 'that', 'with'])},
@@ -106,7 +118,7 @@ ranked AS (
 @query("rank_blend", f"WITH {RANKED} SELECT id, layer, score, rank_score FROM ranked")
 def rank_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = layered(spark, sf_dir)
-    best = S.bm25(S.build_index(docs), "en that with")
+    best = S.bm25(stored(spark, sf_dir), "en that with")
     best = best.withColumn("place", F.row_number().over(Window.partitionBy("layer").orderBy(F.desc("score"), "index_order", "id"))).where("place <= 20")
     return S.rank(docs.drop("layer", "index_order", "text").join(best, "id"), "en that with").select("id", "layer", "score", "rank_score")
 
@@ -114,7 +126,7 @@ def rank_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("layer_hybrid_merge", f"WITH {RANKED}, o AS (SELECT *, row_number() OVER (ORDER BY CASE layer WHEN 'semantic' THEN 0 ELSE 1 END, rank_score DESC, index_order, path, line_start NULLS FIRST, id) AS position FROM ranked) SELECT id, layer, rank_score, CAST(position AS INTEGER) AS position FROM o WHERE position <= 30")
 def layer_hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = layered(spark, sf_dir)
-    best = S.bm25(S.build_index(docs), "en that with")
+    best = S.bm25(stored(spark, sf_dir), "en that with")
     best = best.withColumn("place", F.row_number().over(Window.partitionBy("layer").orderBy(F.desc("score"), "index_order", "id"))).where("place <= 20")
     ranked = S.drop_adjacent(S.rank(docs.drop("layer", "index_order", "text").join(best, "id"), "en that with"))
     return S.merge_layers(ranked, "hybrid", 30).select("id", "layer", "rank_score", "position")
@@ -123,7 +135,7 @@ def layer_hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("search_pipeline", f"WITH {RANKED.replace('place <= 20', 'place <= 25')} SELECT id, layer, rank_score, CAST(row_number() OVER (ORDER BY rank_score DESC, index_order, path, line_start NULLS FIRST, id) AS INTEGER) AS position FROM ranked WHERE layer = 'semantic' ORDER BY position LIMIT 25")
 def search_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = layered(spark, sf_dir)
-    return S.search(S.build_index(docs), docs.drop("layer", "index_order", "text"), "en that with", layer="semantic", limit=25).select("id", "layer", "rank_score", "position")
+    return S.search(stored(spark, sf_dir), docs.drop("layer", "index_order", "text"), "en that with", layer="semantic", limit=25).select("id", "layer", "rank_score", "position")
 
 
 @query("dedup_adjacent", "WITH h AS (SELECT 'doc:' || (doc_id // 3) AS id, 'semantic' AS layer, 0 AS index_order, source AS path, doc_id % 7 AS line_start, round(n_chars / 500.0::DOUBLE) AS rank_score FROM documents), w AS (SELECT *, lag(id) OVER (PARTITION BY layer ORDER BY rank_score DESC, index_order, path, line_start NULLS FIRST, id) AS prev FROM h) SELECT id, path, line_start, rank_score FROM w WHERE prev IS NULL OR prev <> id")

@@ -171,8 +171,27 @@ def test_generations(spark, tmp_path):
     with pytest.raises(ZeroDivisionError):
         store.publish({"nodes": spark.range(9)}, validate=lambda tables: 1 / 0)
     assert store.read(spark, "nodes").count() == 5
+    other = generations.Store(str(tmp_path), keep=1)
+    other.publish({"nodes": spark.range(6)}, digest="c")
+    assert (tmp_path / first["generation"]).exists()  # leased by another object
     store.release(held)
-    assert first["generation"] in store.collect()
+    assert first["generation"] in store.collect() and other.read(spark, "nodes").count() == 6
+
+
+def test_tables_from_tables(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "semantic", 0, "x y y"), ("b", "syntax", 1, None)], "id string, layer string, index_order int, text string")
+    store = generations.Store(str(tmp_path))
+    store.publish({"docs": docs, **search.index_tables(lambda written: written["docs"])})
+    index = search.Index(*(store.read(spark, p) for p in search.PARTS))
+    assert index.problems().count() == 0 and {(r["id"], r["length"]) for r in index.lengths.collect()} == {("a", 3), ("b", 0)}
+    assert search.store_index(docs, f"file://{tmp_path}/index").problems().count() == 0
+    nodes = spark.createDataFrame([("a", "File")], "id string, node_type string")
+    edges = spark.createDataFrame([], "id string, source_id string, target_id string")
+    broken = {p: store.read(spark, p) for p in search.PARTS} | {"nodes": nodes, "edges": edges}
+    generations.check_bundle(broken)
+    broken["totals"] = broken["totals"].withColumn("n", F.col("n") + 1)
+    with pytest.raises(ValueError, match="totals"):
+        generations.check_bundle(broken)
 
 
 FRONT = "---\ntype: decision\ntitle: One\ntags: [rust, okf]\nscore: 7\ncustom:\n  owner: ann\n---\n# Body\n"
