@@ -169,3 +169,61 @@ def test_every_label_is_sampled(spark):
     rows, counts = common.bounded_sample(docs, docs, "lang", 2, 64, cut=True)
     assert {y for *_, y in rows} == set(counts) == {f"l{i}" for i in range(66)}
     assert max(len(text) for _, text, _ in rows) <= 64
+
+
+def test_votes_equal_plain_cosines(tables):
+    docs, labels = tables
+    model = quality.fit(docs, labels)
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(60).collect()] + [t for t in ODD if t]
+    vectors = model.embed(texts).astype(float)
+    for v, got in zip(vectors, model.score(texts), strict=True):
+        cosines = [float(np.dot(v, w)) for w in model.vectors.astype(float)]
+        near = sorted(range(len(cosines)), key=lambda i: -cosines[i])[: model.neighbours]
+        votes = [(max(cosines[i], 0.0) ** 8 * model.weights[i], model.labels[i]) for i in near]
+        expected = (sum(w * y for w, y in votes) + 0.05 * model.prior) / (sum(w for w, _ in votes) + 0.05) if np.abs(v).sum() else model.prior
+        assert got == pytest.approx(expected, abs=2e-3)
+
+
+def test_entropies_equal_plain_kneser_ney():
+    samples = [("banana bandana ban", "a"), ("nab a cab", "a"), ("papaya pa pa", "b"), ("happy pap", "b")]
+    model = langid._fit([(langid._runs(text), lang) for text, lang in samples])
+    alphabet = {c for text, _ in samples for c in text if c != " "}
+    for j, lang in enumerate(model.languages):
+        counts = [Counter() for _ in range(langid.ORDER)]
+        for text, own in samples:
+            for run in text.split() if own == lang else []:
+                s = f"\x02{run}\x03"
+                for at in range(1, len(s)):
+                    for n in range(min(at + 1, langid.ORDER)):
+                        counts[n][s[at - n : at + 1]] += 1
+        for n in range(langid.ORDER - 1):
+            before = Counter(g[1:] for g in counts[n + 1])
+            counts[n] = Counter({g: before[g] or min(c, 1) for g, c in counts[n].items()})
+        for run in ("banana", "pap", "zz", "happyban", "a"):
+            s, cost = f"\x02{run}\x03", 0.0
+            for at in range(1, len(s)):
+                p = 1 / (len(alphabet) + 2)
+                for n in range(min(at + 1, langid.ORDER)):
+                    own = {g: c for g, c in counts[n].items() if g[:-1] == s[at - n : at]}
+                    if own:
+                        total = sum(own.values())
+                        p = max(own.get(s[at - n : at + 1], 0) - langid.DISCOUNT, 0) / total + langid.DISCOUNT * len(own) / total * p
+                cost -= math.log(p)
+            assert model.entropies([run])[0][0][j] == pytest.approx(cost)
+
+
+def test_letters_are_unicode_letters(spark):
+    model = langid.learn([("wort haus", "de"), ("word house", "en")] * 4)
+    texts = ["½ ² Ⅷ", "x²y", "١٢٣", "日本", None]
+    rows = langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), model).collect()
+    assert [r["lang_pred"] == "und" for r in sorted(rows, key=lambda r: r["doc_id"])] == [True, False, True, False, True]
+    assert langid._runs("x²y ab") == ["x", "y", "ab"]
+
+
+def test_repeated_ids_count_once(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(9)] + [(0, "text 0"), (1, "another")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)] + [(0, 0), (3, 0)], "doc_id bigint, y int")
+    rows, _ = common.bounded_sample(docs, labels, "y", 20, 100)
+    assert rows == [(0, "text 0", 0), (1, "another", 1), (2, "text 2", 0), (3, "text 3", 0), *[(i, f"text {i}", i % 2) for i in range(4, 9)]]
+    few, _ = common.bounded_sample(docs, labels, "y", 20, 100, most_bytes=40)
+    assert 0 < len(few) < len(rows)
