@@ -76,6 +76,16 @@ def last_segment(name: Column) -> Column:
     return F.substring_index(name, ".", -1)
 
 
+def clean_label(text: Column) -> Column:
+    """Without blanks around it, on one line."""
+    return F.replace(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit("\n"), F.lit(" "))
+
+
+def parameter_label(text: Column) -> Column:
+    """A parameter's name: what stands before its annotation or default, without stars."""
+    return F.regexp_replace(F.trim(F.substring_index(F.substring_index(clean_label(text), ":", 1), "=", 1)), r"^\*+", "")
+
+
 def is_iso_date(text: Column) -> Column:
     """By shape only."""
     return text.rlike(r"^\d{4}-\d{2}-\d{2}$")

@@ -290,3 +290,10 @@ def test_refresh_helpers(spark):
     each(spark.range(2), 1)
     each(spark.range(2), 1)
     assert published == [2] and status == {"suppressed": 1, "published": 1, "epoch": 1}
+
+
+def test_labels(spark):
+    rows = spark.createDataFrame([(" a\nb ", "a b"), ("x", "x")], "t string, c string")
+    assert all(r[0] == r[1] for r in rows.select(X.clean_label(F.col("t")), "c").collect())
+    rows = spark.createDataFrame([("a: int = 3", "a"), ("b=1", "b"), ("*rest", "rest"), ("**more: dict", "more"), ("plain", "plain"), (" c : int ", "c")], "t string, p string")
+    assert all(r[0] == r[1] for r in rows.select(X.parameter_label(F.col("t")), "p").collect())
