@@ -59,12 +59,17 @@ class Graph:
             return now | {"cache": "hit"}
         parsed = code.parse_files(scanned.select("path", "language", "content")).persist()  # each file is parsed once
         try:
-            nodes, edges = code.build_graph(parsed, repository, source)
+            nodes, edges = code.build_graph(parsed, repository, source, files)
             tables = {"nodes": nodes, "edges": edges, "manifest": files, **search.index_tables(lambda written: self.documents(written["nodes"]))}
             return self.store.publish(tables, digest=digest, validate=generations.check_bundle, partition_by={"nodes": "node_type", "edges": "edge_type"})
         finally:
             parsed.unpersist()
 
+    def diagnostics(self, source: str, ignore: list[str] = (), exclude: list[str] = (), include: list[str] = ()) -> DataFrame:
+        """(path, message) of files that a build leaves out, or knows by their path only."""
+        scanned = scan.scan(self.spark, source, include, ignore, exclude).drop("content")
+        return scan.diagnostics(scanned).unionByName(code.unparsed(scanned.where("status = 'source'")))
+
     def health(self) -> dict:
         entry = self.store.current()
         if entry is None:

@@ -183,24 +183,30 @@ def first_type(nodes: DataFrame, order: str) -> DataFrame:
     return nodes.groupBy("id").agg(F.min_by("node_type", order).alias("node_type"))
 
 
+def latest_definitions(references: DataFrame, definitions: DataFrame, key: str) -> DataFrame:
+    """``references`` (path, at, ``key``, ...) with ``found``: the def_id of the latest definition (path, key, at, def_id) above.
+
+    An as-of join without a range condition: both tables are stacked, and the last definition seen so far is
+    carried forward within the key. At one position the reference comes first.
+    """
+    rest = [c for c in references.columns if c not in ("path", "at", key)]
+    nothing = F.lit(None).cast("string")
+    left = references.select("path", F.col(key).alias("_key"), "at", F.lit(1).alias("_kind"), F.struct(*rest).alias("_rest"), nothing.alias("_def"))
+    right = definitions.select("path", F.col("key").alias("_key"), "at", F.lit(0).alias("_kind"), F.lit(None).cast(left.schema["_rest"].dataType).alias("_rest"), F.col("def_id").alias("_def"))
+    carried = F.last("_def", ignorenulls=True).over(Window.partitionBy("path", "_key").orderBy("at", F.desc("_kind"), "_def").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    stacked = left.unionByName(right).withColumn("found", carried).where("_kind = 1")
+    return stacked.select("path", "at", F.col("_key").alias(key), *[F.col("_rest")[c].alias(c) for c in rest], "found")
+
+
 def resolve_labels(references: DataFrame, definitions: DataFrame) -> DataFrame:
     """The latest earlier definition of each reference's label in its file, tried whole and then after the last dot.
 
     references: path, ref_id, label, at. definitions: path, def_id, label, at. A reference without one gets a
-    placeholder symbol. Each reference meets, by a range-free as-of join, one row per key: both tables are
-    stacked, and the last definition seen so far is carried forward within the key.
+    placeholder symbol.
     """
-
-    def latest(refs: DataFrame, key: Column) -> DataFrame:
-        stacked = refs.select("path", key.alias("key"), "at", F.lit(1).alias("kind"), "ref_id", F.lit(None).cast("string").alias("def_id")).unionByName(
-            definitions.select("path", symbol_key(F.col("label")).alias("key"), "at", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("ref_id"), "def_id")
-        )
-        # at one position the reference comes first: only strictly earlier definitions count
-        carried = F.last("def_id", ignorenulls=True).over(Window.partitionBy("path", "key").orderBy("at", F.desc("kind"), "def_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return stacked.withColumn("found", carried).where("kind = 1").select("ref_id", "found")
-
-    whole = latest(references, symbol_key(F.col("label"))).withColumnRenamed("found", "whole")
-    tail = latest(references, symbol_key(last_segment(F.col("label")))).withColumnRenamed("found", "tail")
-    joined = references.join(whole, "ref_id").join(tail, "ref_id")
+    keyed = definitions.select("path", symbol_key(F.col("label")).alias("key"), "def_id", "at")
+    refs = references.withColumn("whole_key", symbol_key(F.col("label"))).withColumn("tail_key", symbol_key(last_segment(F.col("label"))))
+    joined = latest_definitions(refs, keyed, "whole_key").withColumnRenamed("found", "whole")
+    joined = latest_definitions(joined, keyed, "tail_key").withColumnRenamed("found", "tail")
     target = F.coalesce("whole", "tail")
     return joined.select("path", "ref_id", "label", F.coalesce(target, F.concat(F.lit("Symbol:"), "path", F.lit("|"), "label")).alias("target_id"), target.isNull().alias("placeholder"))
