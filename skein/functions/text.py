@@ -209,3 +209,30 @@ def block_value(value: Column) -> Column:
 
 def block_span(start: Column, end: Column) -> Column:
     return F.when(start.isNotNull(), F.concat(F.lit("L"), start.cast("string"), F.lit("-L"), F.coalesce(end, start).cast("string")))
+
+
+def truncated(text: Column, most: int) -> Column:
+    """At most ``most`` characters, and an ellipsis where more were cut."""
+    return F.when(F.char_length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("…"))).otherwise(text)
+
+
+def is_safe_path(path: Column) -> Column:
+    """Relative, not of a drive, and without ``..`` between slashes of either kind."""
+    return (path != "") & ~path.rlike(r"^[/\\]") & ~path.rlike("^[A-Za-z]:") & ~path.rlike(r"(^|[/\\])\.\.([/\\]|$)")
+
+
+def repository_path(path: Column) -> Column:
+    """With forward slashes and without ``.`` components; null if it is absolute, climbs or holds a colon."""
+    plain = F.replace(path, F.lit("\\"), F.lit("/"))
+    parts = F.filter(F.split(plain, "/"), lambda p: ~p.isin("", "."))
+    return F.when(~plain.startswith("/") & ~F.array_contains(parts, "..") & ~F.contains(F.array_join(parts, "/"), F.lit(":")), F.array_join(parts, "/"))
+
+
+def extension_terms(extensions: Column) -> Column:
+    """``key value`` of each string, number and truth value of a JSON object, also of those in its arrays; sorted."""
+    entries = F.map_entries(F.parse_json(extensions).cast("map<string,variant>"))
+    kind = lambda v: F.call_function("schema_of_variant", v)
+    scalar = lambda v: kind(v).rlike(r"^(STRING|BIGINT|DOUBLE|FLOAT|DECIMAL.*|BOOLEAN)$")
+    values = lambda v: F.when(scalar(v), F.array(v)).when(kind(v).startswith("ARRAY"), F.call_function("try_variant_get", v, F.lit("$"), F.lit("array<variant>"))).otherwise(F.array().cast("array<variant>"))
+    terms = F.transform(entries, lambda e: F.transform(F.filter(values(e["value"]), scalar), lambda v: F.concat(e["key"], F.lit(" "), v.cast("string"))))
+    return F.array_sort(F.flatten(terms))

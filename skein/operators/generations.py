@@ -94,6 +94,10 @@ class Store:
             raise FileNotFoundError("nothing has been published")
         return spark.read.parquet(f"{self.root}/{entry['generation']}/{table}")
 
+    def sizes(self) -> dict[str, int]:
+        """Bytes of the current generation's tables, as stored."""
+        return self.files.sizes(self.current()["generation"])
+
     def lease(self) -> str:
         """Hold the current generation; returns what ``release`` takes."""
         held = f"{self.current()['generation']}/{uuid.uuid4().hex}"

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.functions.text import ascii_lower, code_terms, escape_html, plain_code_terms, round6
+from skein.functions.text import ascii_lower, code_terms, escape_html, is_safe_path, plain_code_terms, round6, truncated
 
 K1, B = 1.2, 0.75
 QUERY_TERMS = 32
@@ -203,6 +203,16 @@ def search(index: Index, nodes: DataFrame, query: str, layer: str = "semantic",
     return merge_layers(drop_adjacent(rank(hydrated, query)), layer, limit)
 
 
+MOST_ITEMS, ITEM_SUMMARY = 10, 240
+
+
+def context_items(hits: DataFrame, limit: int = MOST_ITEMS, order: list[Column] | None = None) -> DataFrame:
+    """Graph hits as the items a knowledge page shows: 1 to 10 of them, summaries cut, paths that leave the repository nulled."""
+    limit = max(1, min(limit, MOST_ITEMS))
+    rows = (hits.orderBy(*order) if order else hits).limit(limit).where(F.col("id").isNotNull() & F.col("label").isNotNull())
+    return rows.select("id", F.coalesce("node_type", F.lit("unknown")).alias("kind"), "label", F.when(is_safe_path(F.col("path")), F.col("path")).alias("path"), truncated(F.col("summary"), ITEM_SUMMARY).alias("summary"))
+
+
 def weighted_search(documents: DataFrame, query: str, limit: int = 20, bundle: str | None = None, kind: str | None = None, tags: list[str] | None = None) -> DataFrame:
     """Knowledge search over (bundle_id, concept_id, type, title, description, tags, headings, extensions,
     citations, body): sums of boosts, the fields that matched, and a marked snippet."""

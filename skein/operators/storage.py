@@ -48,6 +48,21 @@ class Files:
             stream.close()
         return True
 
+    def replace(self, name: str, text: str) -> None:
+        """Write a file beside ``name``, then rename it over that in one step."""
+        aside = f"{name.rpartition('/')[0]}/.{name.rpartition('/')[2]}.{uuid.uuid4().hex}".lstrip("/")
+        self.create(aside, text)
+        hadoop = self.jvm.org.apache.hadoop.fs
+        over = getattr(hadoop, "Options$Rename")
+        options = SparkSession.getActiveSession().sparkContext._gateway.new_array(over, 1)
+        options[0] = over.OVERWRITE
+        path = self.fs.makeQualified(self._path(name))
+        hadoop.FileContext.getFileContext(path.toUri(), self.fs.getConf()).rename(self.fs.makeQualified(self._path(aside)), path, options)
+
+    def sizes(self, folder: str) -> dict[str, int]:
+        """Bytes of each part of a folder, as stored."""
+        return {n: self.fs.getContentSummary(self._path(f"{folder}/{n}")).getLength() for n in self.names(folder)}
+
     def names(self, folder: str) -> list[str]:
         if not self.exists(folder):
             return []

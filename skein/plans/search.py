@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.functions import text as X
 from skein.functions.text import code_terms, slug, wiki_terms
 from skein.operators import search as S
 from skein.operators.storage import new_path
@@ -202,3 +203,28 @@ def slugify_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("slug", slug(F.col("line")))
     k = F.row_number().over(Window.partitionBy("doc_id", "slug").orderBy("pos"))
     return lines.withColumn("k", k).select("doc_id", "pos", F.when(F.col("k") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), "k")).alias("slug"))
+
+
+ITEMS = "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '/abs/' WHEN 1 THEN '../' WHEN 2 THEN 'c:' WHEN 3 THEN 'a/b..c/' ELSE 'a\\..\\' END || doc_id AS path, text FROM documents"
+
+
+@query("context_items", f"SELECT 'n' || doc_id AS id, 'unknown' AS kind, 'd' || doc_id AS label, CASE WHEN doc_id % 5 = 3 THEN path END AS path, CASE WHEN length(text) > 240 THEN left(text, 240) || '…' ELSE text END AS summary FROM ({ITEMS}) ORDER BY doc_id DESC LIMIT 10")
+def context_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top ten items as a knowledge page shows them."""
+    n = F.col("doc_id").cast("string")
+    folder = F.element_at(F.array(*[F.lit(x) for x in ("/abs/", "../", "c:", "a/b..c/", "a\\..\\")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    hits = table(spark, sf_dir, "documents").select(F.concat(F.lit("n"), n).alias("id"), F.lit(None).cast("string").alias("node_type"), F.concat(F.lit("d"), n).alias("label"), F.concat(folder, n).alias("path"), F.col("text").alias("summary"), "doc_id")
+    return S.context_items(hits, order=[F.desc("doc_id")])
+
+
+TERMS_SQL = "SELECT doc_id, list_sort(list_filter(['audience ' || source, 'n ' || doc_id, 'ok ' || CASE WHEN doc_id % 2 = 0 THEN 'true' ELSE 'false' END, 'tags ' || lang, 'tags ' || (doc_id % 7)], lambda x: x IS NOT NULL)) AS terms FROM documents"
+
+
+@query("extension_terms", TERMS_SQL)
+def extension_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of a page's further fields: scalars and those in lists count, nested objects don't."""
+    fields = F.struct(
+        F.col("source").alias("audience"), F.col("doc_id").alias("n"), (F.col("doc_id") % 2 == 0).alias("ok"), F.struct(F.lit(1).alias("deep")).alias("object"),
+        F.lit(None).cast("string").alias("nothing"), F.array(F.col("lang"), (F.col("doc_id") % 7).cast("string")).alias("tags"),
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", X.extension_terms(F.to_json(fields)).alias("terms"))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skein.operators.changes import MOST_BYTES, MOST_PATHS
+from skein.operators.manifest import snapshot_changes
+from skein.operators.storage import materialize
 
 OUTPUT = "key string, started timestamp, closed timestamp, event_count bigint, paths array<string>, full_rescan boolean, overflow_count bigint"
 STATE = "opened bigint, last bigint, event_count bigint, paths array<string>, bytes bigint, full_rescan boolean, overflow_count bigint"
@@ -156,3 +158,46 @@ def route(paths: DataFrame, roots: list[str], generated: str = ".astro") -> Data
     source = F.col("path").rlike(r"\.(py|rs|go|c|h|cc|cpp|cxx|hpp|hh|f|f90|f95|for)$")
     to = F.when(made, None).when(inside & markdown, "both").when(inside, "wiki").when(source | markdown, "graph")
     return paths.select("path", to.alias("consumer")).where("consumer is not null")
+
+
+#: What messages of errors that pass by themselves say (fixed values).
+TRANSIENT = ("could not set lock", "lock is held", "database is locked", "database busy", "resource busy", "couldn't replay shadow pages", "read-only mode")
+
+
+def is_transient(error: Exception) -> bool:
+    """Whether another attempt may succeed, by the error's message."""
+    message = str(error).lower()
+    return any(part in message for part in TRANSIENT)
+
+
+class Poller:
+    """Changes found by comparing listings, debounced like events are.
+
+    ``listing`` gives (path, mtime, byte_len) of the relevant files; each one is written to the shared folder once.
+    A batch ends when nothing changed for ``debounce`` seconds, or ``max_wait`` seconds after its first change.
+    """
+
+    def __init__(self, listing: Callable[[], DataFrame], interval: float, debounce: float, max_wait: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.listing, self.interval, self.debounce, self.max_wait, self.clock, self.sleep = listing, interval, debounce, max_wait, clock, sleep
+        self.before = materialize(listing(), "listing")
+
+    def _changed(self) -> DataFrame | None:
+        now = materialize(self.listing(), "listing")
+        paths = materialize(snapshot_changes(now, self.before).select("path"), "changes")
+        self.before = now
+        return None if paths.isEmpty() else paths
+
+    def batch(self) -> tuple[DataFrame, int]:
+        """Wait for changes; their distinct paths, and in how many listings they showed."""
+        found = None
+        while found is None:
+            self.sleep(self.interval)
+            found = self._changed()
+        events, started = 1, self.clock()
+        last = started
+        while (waited := self.clock() - started) < self.max_wait and (quiet := self.clock() - last) < self.debounce:
+            self.sleep(min(self.interval, self.debounce - quiet, self.max_wait - waited))
+            more = self._changed()
+            if more is not None:
+                found, events, last = found.unionByName(more), events + 1, self.clock()
+        return found.distinct(), events

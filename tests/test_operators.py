@@ -10,7 +10,7 @@ from skein.functions import text as X
 from skein.operators import changes, generations, graph, manifest, search, wiki
 from skein.plans import named
 from skein.plans.patterns import PatternError, check_read_only, compile_pattern, run_pattern
-from skein.sources import bundle, markdown, scan
+from skein.sources import bundle, chunks, markdown, scan
 from skein.streaming import refresh
 
 
@@ -297,3 +297,51 @@ def test_labels(spark):
     assert all(r[0] == r[1] for r in rows.select(X.clean_label(F.col("t")), "c").collect())
     rows = spark.createDataFrame([("a: int = 3", "a"), ("b=1", "b"), ("*rest", "rest"), ("**more: dict", "more"), ("plain", "plain"), (" c : int ", "c")], "t string, p string")
     assert all(r[0] == r[1] for r in rows.select(X.parameter_label(F.col("t")), "p").collect())
+
+
+def test_poller(spark):
+    """Listings at given times; the clock moves only by sleeping."""
+    now = [0.0]
+    states = [(0, {"a": 1}), (3, {"a": 2}), (5, {"a": 2, "b": 1}), (20, {"b": 1})]
+
+    def listing():
+        files = [f for at, f in states if at <= now[0]][-1]
+        return spark.createDataFrame([(p, m, 1) for p, m in files.items()], "path string, mtime int, byte_len int")
+
+    def sleep(seconds):
+        now[0] += seconds
+
+    poller = refresh.Poller(listing, 1, 4, 10, lambda: now[0], sleep)
+    paths, events = poller.batch()
+    assert {r["path"] for r in paths.collect()} == {"a", "b"} and events == 2 and now[0] == 9
+    paths, events = poller.batch()
+    assert [r["path"] for r in paths.collect()] == ["a"] and events == 1
+    assert refresh.is_transient(OSError("Resource busy: lock")) and not refresh.is_transient(ValueError("bad"))
+
+
+def test_chunks(spark, tmp_path):
+    assert chunks.chunk_names(["n__000002.json", "n.json", "m.json", "n__000001.json", "n__1.json"], "n") == ["n.json", "n__000001.json", "n__000002.json"]
+    with pytest.raises(ValueError, match="lacks chunk 1"):
+        chunks.chunk_names(["n.json", "n__000002.json"], "n")
+    (tmp_path / "n.json").write_text('[{"id": "a"}, {"id": "b"}]')
+    (tmp_path / "n__000001.json").write_text('[{"id": "c"}]')
+    assert sorted(r["id"] for r in chunks.read_chunks(spark, str(tmp_path), "n", "id string").collect()) == ["a", "b", "c"]
+    assert chunks.read_chunks(spark, str(tmp_path), "none", "id string").count() == 0
+
+
+def test_artifact_store(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    made = lambda *rows: spark.createDataFrame([(k, v.encode()) for k, v in rows], "artifact_key string, payload binary")
+    content = lambda df: {r["artifact_key"]: bytes(r["payload"]) for r in df.collect()}
+    assert content(manifest.store_artifacts(made(("a", "1"), ("a", "1"), ("b", "2")), path)) == {"a": b"1", "b": b"2"}
+    assert content(manifest.store_artifacts(made(("a", "other"), ("c", "3")), path)) == {"a": b"1", "b": b"2", "c": b"3"}
+    damaged = spark.createDataFrame([("d", b"x", "wrong")], "artifact_key string, payload binary, payload_hash string")
+    damaged.write.mode("append").parquet(path)
+    assert content(manifest.store_artifacts(made(("d", "4")), path))["d"] == b"4"
+
+
+def test_paths_are_checked(spark):
+    rows = spark.createDataFrame([("a/b", True, "a/b"), ("/a", False, None), ("\\a", False, None), ("c:x", False, None), ("a/../b", False, None), ("a..b/c", True, "a..b/c"), ("./a//b/.", True, "a/b"), ("a\\b", True, "a/b"), ("x/c:d", True, None)], "p string, safe boolean, inside string")
+    assert all(r[0] == r["safe"] and r[1] == r["inside"] for r in rows.select(X.is_safe_path(F.col("p")), X.repository_path(F.col("p")), "safe", "inside").collect())
+    one = spark.createDataFrame([('{"b": "x", "a": [1, "y", {"q": 1}, true, [2], null], "n": 1.5, "o": {"z": 1}, "t": null}',)], "e string")
+    assert one.select(X.extension_terms(F.col("e"))).first()[0] == ["a 1", "a true", "a y", "b x", "n 1.5"]
