@@ -169,3 +169,13 @@ def held(kind: str, key: object, make):  # noqa: ANN001, ANN201
     if kept.get(kind, (None,))[0] != key:
         kept[kind] = (key, make())
     return kept[kind][1]
+
+
+def give_back() -> None:
+    """Return what Arrow and the C library keep of freed memory to the system, where the library can."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

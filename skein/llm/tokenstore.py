@@ -33,7 +33,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import drop_path, free_shuffles, held, materialize, new_path, slices, small_batches
+from skein.llm.common import drop_path, free_shuffles, give_back, held, materialize, new_path, slices, small_batches
 from skein.llm.words import WordIds
 
 ROUNDS = 6
@@ -135,6 +135,7 @@ def token_sequences(docs: DataFrame, tokenizer_path: str, stride: int, end_id: i
         part, step = TaskContext.get().partitionId(), 2 * stride
         own_run, at, open_file, next_row = -1, 0, None, None
         for batch in slices(batches, "text"):
+            give_back()
             out: list[list] = [[] for _ in range(9)]
             texts = encoder.encode(batch.column("text").to_pylist())
             for doc_id, file, row, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "file", "row")), texts, strict=True):
