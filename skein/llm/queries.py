@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import decontaminate, langid, media, packing, pii, quality, sharding, simhash, tokenstore, toxicity
+from skein.llm import decontaminate, funnels, infill, langid, media, packing, pii, quality, sharding, simhash, tokencount, tokenstore, toxicity
 from skein.llm.common import materialize, remainder
 
 ORACLES: dict[str, str] = {}
@@ -122,6 +122,77 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns(place).select("doc_id", "piece", "n_ids", "number", "slot", "shard", "byte_offset", "ids_crc32")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.token_counts(_table(spark, sf_dir, "documents"), _vocabulary(), limit=2048)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(_table(spark, sf_dir, "documents"), seed=42, fim_percent=50, spm_percent=80)
+
+
+ORACLES["op12_fill_in_middle"] = r"""
+WITH cut AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+           sha256('42:' || CAST(doc_id AS VARCHAR)) AS h FROM documents
+), drawn AS (
+    SELECT *, len(units) AS n, [('0x' || h[1:8])::BIGINT % (len(units) + 1), ('0x' || h[9:16])::BIGINT % (len(units) + 1)] AS ends,
+           regexp_matches(text, '<[PSM]>') OR text = '' OR ('0x' || h[17:24])::BIGINT % 100 >= 50 AS plain, ('0x' || h[25:32])::BIGINT % 100 < 80 AS spm FROM cut
+), placed AS (
+    SELECT *, list_aggregate(units[:list_min(ends)], 'string_agg', '') AS p, list_aggregate(units[list_min(ends) + 1:list_max(ends)], 'string_agg', '') AS m,
+           list_aggregate(units[list_max(ends) + 1:], 'string_agg', '') AS s FROM drawn
+), parted AS (SELECT * EXCLUDE (p, m, s), coalesce(p, '') AS p, coalesce(m, '') AS m, coalesce(s, '') AS s FROM placed)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+       CASE WHEN NOT plain THEN length(p) END AS prefix_chars, CASE WHEN NOT plain THEN length(m) END AS middle_chars,
+       sha256(CASE WHEN plain THEN text WHEN spm THEN concat('<S>', s, '<P>', p, '<M>', m) ELSE concat('<P>', p, '<S>', s, '<M>', m) END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parted
+"""
+
+
+FUNNELS = (
+    funnels.Funnel("A", ("view", "click", "view", "purchase"), ("error",)),
+    funnels.Funnel("B", ("signup", "view", "click", "purchase"), ("error",)),
+    funnels.Funnel("C", ("click", "click", "purchase", "view"), ("signup",)),
+)
+
+
+def op13_ordered_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = funnels.funnel_counts(_table(spark, sf_dir, "clicks"), FUNNELS, window=5 * funnels.MINUTE, percent=25)
+    return found.select("funnel", F.col("client").alias("client_id"), "n1", "n2", "n3", "n4", "deepest", "t2", "t3", "t4", "same_depth")
+
+
+def _funnel_sql() -> str:
+    """Every event time knows the next later time of each kind; attempts follow these links step by step."""
+    kinds = sorted({k for f in FUNNELS for k in (*f.steps, *f.excluding)})
+    nexts = ", ".join(f"min(t) FILTER ({k}) OVER w AS next_{k}" for k in kinds)
+    has = ", ".join(f"bool_or(kind = '{k}') AS {k}" for k in kinds)
+
+    def steps(f: funnels.Funnel) -> str:
+        joins, reached = "", []
+        for k, (step, out) in enumerate(zip(f.steps[1:], [f.excluding[0]] * 3, strict=True), start=2):
+            allowed = f"e{k - 1}.next_{step} <= e1.t + INTERVAL 5 MINUTE AND (e{k - 1}.next_{out} IS NULL OR e{k - 1}.next_{out} > e{k - 1}.next_{step})"
+            joins += f" LEFT JOIN linked e{k} ON e{k}.client_id = e1.client_id AND e{k}.t = e{k - 1}.next_{step} AND {allowed}"
+            reached.append(f"epoch_us(e{k}.t) - epoch_us(e{k - 1}.t) AS d{k}")
+        return f"SELECT '{f.name}' AS funnel, e1.client_id, {', '.join(reached)} FROM linked e1{joins} WHERE e1.{f.steps[0]}"
+
+    waits = ", ".join(f"list_sort(list(d{k}) FILTER (d{k} IS NOT NULL))[((25 * count(d{k}) + 99) // 100)::BIGINT] AS t{k}" for k in (2, 3, 4))
+    return f"""
+WITH places AS (
+    SELECT client_id, arrived_at AS t, {has} FROM clicks WHERE client_id IS NOT NULL AND kind IS NOT NULL AND arrived_at IS NOT NULL GROUP BY ALL
+), linked AS (
+    SELECT *, {nexts} FROM places WINDOW w AS (PARTITION BY client_id ORDER BY t ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)
+), attempts AS ({' UNION ALL '.join(map(steps, FUNNELS))}), counted AS (
+    SELECT funnel, client_id, count(*) AS n1, count(d2) AS n2, count(d3) AS n3, count(d4) AS n4,
+           CASE WHEN count(d4) > 0 THEN 4 WHEN count(d3) > 0 THEN 3 WHEN count(d2) > 0 THEN 2 ELSE 1 END AS deepest, {waits}
+    FROM attempts GROUP BY funnel, client_id
+)
+SELECT *, count(*) OVER (PARTITION BY funnel, deepest) AS same_depth FROM counted
+"""
+
+
+ORACLES["op13_ordered_funnels"] = _funnel_sql()
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_media_columns": op2_media_columns,
@@ -133,4 +204,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_training_order": op10_training_order,
+    "op11_token_counts": op11_token_counts,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_ordered_funnels": op13_ordered_funnels,
 }
