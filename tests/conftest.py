@@ -1,20 +1,27 @@
-"""One local Spark session for all tests."""
+"""One local Spark session for all tests; its workers start in a folder of their own, without a path to the package."""
+
+import os
 
 import pytest
 from pyspark.sql import SparkSession
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = (
-        SparkSession.builder.master("local[4]")
-        .config("spark.sql.shuffle.partitions", "4")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "4g")
-        .getOrCreate()
-    )
+def spark(tmp_path_factory):
+    here = os.getcwd()
+    os.chdir(tmp_path_factory.mktemp("session"))
+    try:
+        session = (
+            SparkSession.builder.master("local[4]")
+            .config("spark.sql.shuffle.partitions", "4")
+            .config("spark.sql.session.timeZone", "UTC")
+            .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
+            .config("spark.driver.memory", "4g")
+            .getOrCreate()
+        )
+    finally:
+        os.chdir(here)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
