@@ -171,6 +171,21 @@ def held(kind: str, key: object, make):  # noqa: ANN001, ANN201
     return kept[kind][1]
 
 
+def by_value(spark: SparkSession, model: object):  # noqa: ANN201
+    """A function that gives ``model`` in any task: broadcast with its classes, so that workers need no copy of this package.
+
+    A worker keeps one model of each class, the last one used.
+    """
+    from pyspark import cloudpickle
+
+    shared, key, kind = spark.sparkContext.broadcast(cloudpickle.dumps(model)), uuid.uuid4().hex, type(model).__module__
+
+    def get():  # noqa: ANN202
+        return held(kind, key, lambda: cloudpickle.loads(shared.value))
+
+    return get
+
+
 def give_back() -> None:
     """Return what Arrow and the C library keep of freed memory to the system, where the library can."""
     import ctypes

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import bounded_sample, held, slices
+from skein.llm.common import bounded_sample, by_value, held, slices
 
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDER = 5
@@ -222,11 +222,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "lang", per_language: i
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """Per row of ``docs``: doc_id, lang_pred, score (posterior of that language), entropy, rejected."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample's size
+    shared = by_value(docs.sparkSession, model)  # bounded by the sample's size
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared()
         scorer = held("langid", key, lambda: Scorer(model)) if model else None
         for batch in slices(batches, "text", 2_000_000):
             n = batch.num_rows

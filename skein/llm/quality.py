@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import bounded_sample, slices
+from skein.llm.common import bounded_sample, by_value, slices
 
 #: Features of each sort, and the weight of characters beside classes: chosen on held-out rows of sf0.01 and sf0.1.
 EACH, CONTENT = 4096, 0.25
@@ -130,10 +130,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", per_label: i
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """Per row of ``docs``: doc_id and score (0 to 1, higher: label 1 likelier)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: the axes and at most 2 x per_label vectors
+    shared = by_value(docs.sparkSession, model)  # bounded: the axes and at most 2 x per_label vectors
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared()
         for big in slices(batches, "text", 2_000_000):
             for at in range(0, big.num_rows, 256):  # a block of cosines is 256 x the sample
                 batch = big.slice(at, 256)
@@ -145,13 +145,13 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def scorer(spark: SparkSession, model: Model | None):  # noqa: ANN201
     """``score`` as a function of a text column."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = by_value(spark, model)
 
     @F.pandas_udf("double")
     def of(texts):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        model, values = shared.value, texts.tolist()
+        model, values = shared(), texts.tolist()
         found = [model.score(values[at : at + 256]) if model else np.full(len(values[at : at + 256]), 0.5) for at in range(0, len(values), 256)]
         return pd.Series(np.concatenate(found) if found else np.zeros(0))
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import bounded_sample, held, slices
+from skein.llm.common import bounded_sample, by_value, held, slices
 
 WORDS = re.compile(r"[^\W\d_]+")
 OPENINGS = (4, 6)
@@ -379,11 +379,11 @@ class Scorer:
 
 def score(docs: DataFrame, index: Index | None) -> DataFrame:
     """Per row of ``docs``: doc_id, score, evidence (ids of the nearest labelled examples that agree)."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the sample's size
+    shared = by_value(docs.sparkSession, index)  # bounded by the sample's size
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index = shared()
         scorer = held("toxicity", key, lambda: Scorer(index)) if index else None
         for big in slices(batches, "text", 1_000_000):
             for at in range(0, big.num_rows, 256):

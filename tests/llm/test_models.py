@@ -227,3 +227,21 @@ def test_repeated_ids_count_once(spark):
     assert rows == [(0, "text 0", 0), (1, "another", 1), (2, "text 2", 0), (3, "text 3", 0), *[(i, f"text {i}", i % 2) for i in range(4, 9)]]
     few, _ = common.bounded_sample(docs, labels, "y", 20, 100, most_bytes=40)
     assert 0 < len(few) < len(rows)
+
+
+def test_workers_need_no_copy_of_the_package(spark):
+    """Models travel with their classes; this session's workers start where the package can't be found."""
+    import os
+
+    def found(batches):
+        import importlib.util
+
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"there": [importlib.util.find_spec("skein") is not None]})
+
+    if "PYTHONPATH" not in os.environ:
+        assert not spark.range(1).mapInArrow(found, "there boolean").first()["there"]
+    for name in ("op3_quality_classifier", "op7_language_id", "op8_toxicity"):
+        assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() == 200
