@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.ontology import EDGE_TYPES, NODE_TYPES, PROFILES, SYNTAX_RELATIONS, context_relations
 from skein.operators import generations, graph, manifest, search
+from skein.operators.artifacts import Artifacts, refreshed
+from skein.operators.storage import Files, materialize, new_path
 from skein.plans import named
 from skein.plans.patterns import run_pattern
-from skein.sources import code, scan
+from skein.sources import code, scan, spool
 
 LAYERS = ("semantic", "syntax", "hybrid")
+#: Beyond so many batches of artifacts they are rewritten as one.
+MOST_BATCHES = 40
 
 
 class ApiError(ValueError):
@@ -30,6 +35,7 @@ class Graph:
 
     spark: SparkSession
     root: str
+    parsers: dict[str, Callable[[str, str], list[dict]]] = field(default_factory=dict)
 
     @property
     def store(self) -> generations.Store:
@@ -44,31 +50,52 @@ class Graph:
     def plan(self, source: str, ignore: list[str] = (), exclude: list[str] = (), include: list[str] = ()) -> tuple[DataFrame, DataFrame]:
         """What a build would do: (path, status), and one row of counts."""
         scanned = scan.scan(self.spark, source, include, ignore, exclude).drop("content")
-        now = scanned.where("status = 'source'")
-        old = self.store.read(self.spark, "manifest") if self.store.current() else None
-        changes = manifest.diff(now, old)
+        now, entry = scanned.where("status = 'source'"), self.store.current()
+        old = self.store.read(self.spark, "manifest") if entry else None
+        changes = manifest.diff(now, old, force=entry is not None and entry.get("header") != self.header())
         return changes, manifest.summary(scanned, changes)
 
+    def header(self) -> dict:
+        """What a manifest's rows and the artifacts hold for, beside the files."""
+        return code.versions(("python", *self.parsers))
+
     def materialize(self, source: str, ignore: list[str] = (), exclude: list[str] = (), include: list[str] = (), repository: str = "repository") -> dict:
-        """Scan, parse, build, index, validate and publish; an unchanged source publishes nothing."""
+        """Scan, parse what changed, merge, index, validate and publish; an unchanged source publishes nothing.
+
+        Files are hashed once. Those without a usable artifact are copied to a spool, which must hold what was hashed, and
+        are parsed from there; rows of all others come from the artifacts of earlier builds.
+        """
+        header = self.header()
         scanned = scan.scan(self.spark, source, include, ignore, exclude).where("status = 'source'")
-        files = scanned.select("path", "content_hash", "language")
-        digest = generations.table_digest(files)
-        now = self.store.current()
+        files = scanned.select("path", "absolute_path", "content_hash", "language").withColumn("artifact_key", manifest.artifact_key(header, "path", "content_hash", "language"))
+        files = materialize(files, "files")
+        listed = files.select("path", "content_hash", "language", "artifact_key")
+        digest, now = generations.table_digest(listed), self.store.current()
         if now and now["digest"] == digest:
             return now | {"cache": "hit"}
-        parsed = code.parse_files(scanned.select("path", "language", "content")).persist()  # each file is parsed once
-        try:
-            nodes, edges = code.build_graph(parsed, repository, source, files)
-            tables = {"nodes": nodes, "edges": edges, "manifest": files, **search.index_tables(lambda written: self.documents(written["nodes"]))}
-            return self.store.publish(tables, digest=digest, validate=generations.check_bundle, partition_by={"nodes": "node_type", "edges": "edge_type"})
-        finally:
-            parsed.unpersist()
+        artifacts = Artifacts(self.spark, f"{self.root}/artifacts", {"nodes": code.NODE_ROWS, "edges": code.EDGE_ROWS})
+        folder = new_path(self.spark, "spool")
+
+        def make(missing: DataFrame) -> tuple[DataFrame, DataFrame]:
+            everything = lambda: scan.scan(self.spark, source, include, ignore, exclude).where("status = 'source'").select("path", "content")
+            contents = spool.spool(self.spark, missing, folder, everything, prefer_whole=now is None)
+            return code.graph_rows(materialize(code.parse_files(contents, self.parsers), "syntax"))  # each file is parsed once
+
+        parsed = files.where(F.col("language").isin("markdown", "python", *self.parsers))
+        node_rows, edge_rows, counts = refreshed(artifacts, parsed, make)
+        nodes, edges = code.merge_graph(node_rows, edge_rows, listed, repository, source)
+        tables = {"nodes": nodes, "edges": edges, "manifest": listed, **search.index_tables(lambda written: self.documents(written["nodes"]))}
+        entry = self.store.publish(tables, digest=digest, validate=generations.check_bundle, partition_by={"nodes": "node_type", "edges": "edge_type"}, header=header)
+        artifacts.collect(parsed)
+        if len(artifacts.batches) > MOST_BATCHES:
+            artifacts.compact(parsed)
+        Files(self.spark, folder).delete("")
+        return entry | counts
 
     def diagnostics(self, source: str, ignore: list[str] = (), exclude: list[str] = (), include: list[str] = ()) -> DataFrame:
         """(path, message) of files that a build leaves out, or knows by their path only."""
         scanned = scan.scan(self.spark, source, include, ignore, exclude).drop("content")
-        return scan.diagnostics(scanned).unionByName(code.unparsed(scanned.where("status = 'source'")))
+        return scan.diagnostics(scanned).unionByName(code.unparsed(scanned.where("status = 'source'"), ("python", *self.parsers)))
 
     def health(self) -> dict:
         entry = self.store.current()

@@ -48,10 +48,11 @@ class Store:
             n += 1
         return n
 
-    def publish(self, tables: dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]], sequence: int | None = None, digest: str | None = None, validate: Callable[[dict[str, DataFrame]], None] | None = None, partition_by: dict[str, str] | None = None) -> dict:
+    def publish(self, tables: dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]], sequence: int | None = None, digest: str | None = None, validate: Callable[[dict[str, DataFrame]], None] | None = None, partition_by: dict[str, str] | None = None, header: dict | None = None) -> dict:
         """Write ``tables``, check them, and make them current. Equal digests publish nothing (a cache hit).
 
         A table may be a function of those written before it, so that one derived from another reads it from its files.
+        ``header`` is kept with the generation: what its tables hold for.
         """
         now = self.current()
         if digest is not None and now and now["digest"] == digest:
@@ -71,7 +72,7 @@ class Store:
             if validate is not None:
                 validate(written)
             self._refuse_stale(sequence)
-            entry = {"generation": name, "sequence": sequence, "digest": digest, "published_at": f"unix:{int(time.time() * 1000)}"}
+            entry = {"generation": name, "sequence": sequence, "digest": digest, "published_at": f"unix:{int(time.time() * 1000)}", "header": header}
             if not files.create(f"{ACTIVE}/{sequence:012d}.json", json.dumps(entry)):
                 raise StaleGeneration(f"sequence {sequence} has been published")
         except BaseException:
