@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from skein.functions.text import matches_any, plain_pattern
+from skein.operators import ordered
+from skein.operators.storage import materialize
 from skein.sources.scan import is_excluded, language
 
 #: Kinds of events that can change a graph (fixed values).
@@ -56,59 +55,49 @@ def rescans(kind: Column, path: Column, config: list[str] = (), protected: list[
     return kind.isin("remove", "rename") & bare & (source & ~path.isin(*config) if config else source)
 
 
-def sessions(events: DataFrame, gap_seconds: float, key: str = "key") -> DataFrame:
-    """Debounce without a cap: a batch ends once nothing came for ``gap_seconds``. One window by key."""
-    own = Window.partitionBy(key).orderBy("ts", "event_id")
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    before = F.lag(at).over(own)
-    starts = F.when(before.isNull() | (at - before >= F.lit(int(gap_seconds * 1_000_000))), 1).otherwise(0)
-    rows = events.withColumn("starts", starts).withColumn("batch", F.sum("starts").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return rows.groupBy(key, "batch").agg(F.min("ts").alias("started"), F.max("ts").alias("last"), F.count("*").alias("event_count"))
-
+def _with_gaps(events: DataFrame, gap_seconds: float, key: str) -> DataFrame:
+    """Events in order of (key, ts, event_id) with ``at``, and ``quiet``: 1 where a key begins or nothing came for the gap."""
+    rows = ordered.placed(events.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))), [key, "at", "event_id"], "events")
+    rows = ordered.before(rows, F.struct(F.col(key).alias("key"), "at"), "last_")
+    same = F.col("last_")["key"].eqNullSafe(F.col(key)) & F.col("last_").isNotNull()
+    quiet = ~same | (F.col("at") - F.col("last_")["at"] >= F.lit(int(gap_seconds * 1_000_000)))
+    return rows.withColumn("quiet", F.when(quiet, 1).otherwise(0)).drop("last_")
 
-class Walker:
-    """Batch numbers of a stretch's sorted times: a batch opened at t0 takes what comes before
-    min(last + debounce, t0 + max_wait)."""
 
-    def __init__(self, debounce: int, max_wait: int):
-        self.debounce, self.max_wait = debounce, max_wait
-        self.owner, self.batch, self.opened, self.last = None, 0, 0, 0
-
-    def number(self, owner: tuple, t: int) -> int:
-        if owner != self.owner:
-            self.owner, self.batch, self.opened = owner, 0, t
-        elif t >= min(self.last + self.debounce, self.opened + self.max_wait):
-            self.batch, self.opened = self.batch + 1, t
-        self.last = t
-        return self.batch
+def sessions(events: DataFrame, gap_seconds: float, key: str = "key") -> DataFrame:
+    """Debounce without a cap: a batch ends once nothing came for ``gap_seconds``. A busy key spreads over partitions."""
+    rows = ordered.running_sum(_with_gaps(events, gap_seconds, key), F.col("quiet"), "batch", key)
+    return rows.groupBy(key, "batch").agg(F.min("ts").alias("started"), F.max("ts").alias("last"), F.count("*").alias("event_count"))
 
 
 def capped(events: DataFrame, debounce_seconds: float, max_wait_seconds: float, key: str = "key") -> DataFrame:
-    """Adds batch to events (key, ts, event_id, ...): debounced with a cap.
+    """Adds batch (from 1) to events (key, ts, event_id, ...): a batch opened at t0 takes what comes before
+    min(last + debounce, t0 + max_wait).
 
-    Where a cap cuts a long busy stretch depends on where its predecessor was cut, so each stretch between
-    quiet gaps is walked in order. The gaps come from a window, and stretches are dealt apart, so a busy key
-    is split at its quiet moments. Rows stream through Python in Spark's sort order; only one batch's clock
-    is held.
+    Where the cap cuts a long busy stretch depends on where its predecessor was cut, so this looks like a walk. But which
+    event opens the next batch is a function of the event that opened this one: the first one ``max_wait`` later, if no
+    quiet gap comes before it. These links are found for all events at once, each quiet gap starts a chain, and
+    doubling the links finds all events on the chains. No key, and no stretch, is ever in one task.
     """
-    own = Window.partitionBy(key).orderBy("ts", "event_id")
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    before = F.lag(at).over(own)
-    gap, wait = int(debounce_seconds * 1_000_000), int(max_wait_seconds * 1_000_000)
-    rows = events.withColumn("at", at).withColumn("first", F.when(before.isNull() | (at - before >= gap), 1).otherwise(0))
-    rows = rows.withColumn("stretch", F.sum("first").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walker = Walker(gap, wait)
-        for batch in batches:
-            owners = zip(batch.column(key).to_pylist(), batch.column("stretch").to_pylist(), strict=True)
-            within = [walker.number(owner, t) for owner, t in zip(owners, batch.column("at").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(within, pa.int32())], names=[*batch.schema.names, "within"])
-
-    ordered = rows.repartition(key, "stretch").sortWithinPartitions(key, "stretch", "at", "event_id")
-    walked = ordered.mapInArrow(walk, T.StructType([*rows.schema.fields, T.StructField("within", T.IntegerType())]))
-    number = F.dense_rank().over(Window.partitionBy(key).orderBy("stretch", "within"))
-    return walked.withColumn("batch", number).drop("at", "first", "stretch", "within")
+    wait = int(max_wait_seconds * 1_000_000)
+    rows = ordered.position(_with_gaps(events, debounce_seconds, key), "pos")
+    rows = ordered.latest(rows, F.when(F.col("quiet") == 1, F.col("pos")), "stretch")
+    rows = materialize(rows, "stretches")
+    # stretches shorter than the cap have no cut
+    long = rows.groupBy("stretch").agg(F.min("at").alias("from_"), F.max("at").alias("to_")).where(F.col("to_") - F.col("from_") >= wait).select("stretch")
+    inside = materialize(rows.select("stretch", "at", "pos").join(long, "stretch", "left_semi"), "busy")
+    opening = rows.where("quiet = 1").select(F.col("pos").alias("at"))
+    if not inside.isEmpty():
+        here = inside.select("stretch", "at", F.lit(1).alias("kind"), "pos")
+        asked = inside.select("stretch", (F.col("at") + wait).alias("at"), F.lit(0).alias("kind"), "pos")
+        both = ordered.placed(here.unionByName(asked), ["stretch", "at", "kind", "pos"], "links")
+        both = ordered.following(both, F.when(F.col("kind") == 1, F.struct("stretch", "pos")), "next_")
+        links = both.where((F.col("kind") == 0) & (F.col("next_")["stretch"] == F.col("stretch"))).select(F.col("pos").alias("at"), F.col("next_")["pos"].alias("to"))
+        starts = inside.where("pos = stretch").select(F.col("pos").alias("at"))
+        opening = opening.unionByName(ordered.reached(starts, links, "openings")).distinct()
+    opened = rows.join(opening.select(F.col("at").alias("pos"), F.lit(1).alias("opens")), "pos", "left").withColumn("opens", F.coalesce("opens", F.lit(0)))
+    out = ordered.running_sum(materialize(opened, "opened"), F.col("opens"), "batch", key)
+    return out.select(*events.columns, F.col("batch").cast("int").alias("batch"))
 
 
 def coalesce_batches(batched: DataFrame, key: str = "key", most_paths: int = MOST_PATHS, most_bytes: int = MOST_BYTES) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions.text import ascii_lower, code_terms, escape_html, is_safe_path, plain_code_terms, round6, truncated
+from skein.operators import ordered
 
 K1, B = 1.2, 0.75
 QUERY_TERMS = 32
@@ -174,7 +175,6 @@ def rank(hits: DataFrame, query: str) -> DataFrame:
     return out.withColumn("rank_score", round6(0.25 * F.col("fts") + 0.25 * F.col("lexical") + 0.5 * F.col("entity")))
 
 
-
 def rank_order() -> list[Column]:
     return [F.desc("rank_score"), F.asc("index_order"), F.asc("path"), F.asc_nulls_first("line_start"), F.asc("id")]
 
@@ -185,6 +185,12 @@ def drop_adjacent(ranked: DataFrame) -> DataFrame:
     return ranked.withColumn("before", before).where(F.col("before").isNull() | (F.col("before") != F.col("id"))).drop("before")
 
 
+def drop_adjacent_of_many(ranked: DataFrame) -> DataFrame:
+    """``drop_adjacent`` for any number of hits: dealt by range of their order, not by layer."""
+    rows = ordered.before(ordered.placed(ranked, ["layer", *rank_order()], "ranked"), F.struct("layer", "id"), "before")
+    return rows.where(~F.col("before").eqNullSafe(F.struct("layer", "id"))).select(*ranked.columns)
+
+
 def merge_layers(ranked: DataFrame, layer: str, limit: int) -> DataFrame:
     """Hits of one layer, or for ``hybrid`` semantic ones first and syntax ones in what is left; adds position."""
     if layer != "hybrid":

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skein.functions import text as X
 from skein.functions.text import code_terms, slug, wiki_terms
 from skein.operators import search as S
-from skein.operators.storage import new_path
+from skein.operators.storage import files_digest, new_path
 from skein.plans.registry import query, table
 
 TERMS = r"list_transform(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda t: lower(t))"
@@ -21,15 +21,16 @@ def layered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
-_STORED: dict[tuple[str, str], S.Index] = {}
+_STORED: dict[str, tuple[str, S.Index]] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str) -> S.Index:
-    """The index of ``layered``: built and stored by the first search of a session, read by all."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STORED:
-        _STORED[key] = S.store_index(layered(spark, sf_dir), new_path(spark, "index"))
-    return _STORED[key]
+    """The index of ``layered``: built and stored by the first search that meets these files, read until they change."""
+    files = files_digest(*(table(spark, sf_dir, name) for name in ("documents", "benchmark")))
+    key = f"{spark.sparkContext.applicationId} {sf_dir}"
+    if _STORED.get(key, ("",))[0] != files:
+        _STORED[key] = files, S.store_index(layered(spark, sf_dir), new_path(spark, "index"))
+    return _STORED[key][1]
 
 
 LAYERED = f"""
@@ -142,7 +143,7 @@ def search_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("dedup_adjacent", "WITH h AS (SELECT 'doc:' || (doc_id // 3) AS id, 'semantic' AS layer, 0 AS index_order, source AS path, doc_id % 7 AS line_start, round(n_chars / 500.0::DOUBLE) AS rank_score FROM documents), w AS (SELECT *, lag(id) OVER (PARTITION BY layer ORDER BY rank_score DESC, index_order, path, line_start NULLS FIRST, id) AS prev FROM h) SELECT id, path, line_start, rank_score FROM w WHERE prev IS NULL OR prev <> id")
 def dedup_adjacent(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc:"), F.floor(F.col("doc_id") / 3)).alias("id"), F.lit("semantic").alias("layer"), F.lit(0).alias("index_order"), F.col("source").alias("path"), (F.col("doc_id") % 7).alias("line_start"), F.round(F.col("n_chars") / 500).alias("rank_score"))
-    return S.drop_adjacent(h).select("id", "path", "line_start", "rank_score")
+    return S.drop_adjacent_of_many(h).select("id", "path", "line_start", "rank_score")
 
 
 def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
