@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Iterator
 
@@ -111,32 +112,46 @@ def parse_entry(path: str, text: str) -> dict:
     return out
 
 
-def parse(files: DataFrame) -> DataFrame:
-    """From (bundle_id, source_path, content binary) to entries; Python reads YAML, in Arrow batches."""
+CONTENT = "content binary"
+
+
+def parse(files: DataFrame, hashed: bool = False) -> DataFrame:
+    """From (bundle_id, source_path, content binary) to entries; Python reads YAML, in Arrow batches.
+
+    ``hashed`` adds file_hash, of the very bytes that were read.
+    """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
             for r in part.itertuples(index=False):
+                content = bytes(r.content)
                 try:
-                    text, bad = bytes(r.content).decode(), []
+                    text, bad = content.decode(), []
                 except UnicodeDecodeError:
                     text, bad = "", [("error", "invalid_utf8", 1, "the file is not UTF-8")]
                 row = parse_entry(r.source_path, text)
                 row["diagnostics"] = bad + row["diagnostics"]
-                rows.append({"bundle_id": r.bundle_id, "source_path": r.source_path, "kind": r.kind, **row})
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ENTRY.replace("array<struct<severity:string,code:string,line:int,message:string>>", "x").replace("map<string,int>", "x").split(", ")])
+                own = {"bundle_id": r.bundle_id, "source_path": r.source_path, "kind": r.kind, **row}
+                rows.append(own | {"file_hash": hashlib.sha256(content).hexdigest()} if hashed else own)
+            yield pd.DataFrame(rows, columns=names)
 
-    return files.select("bundle_id", "source_path", entry_kind(F.col("source_path")).alias("kind"), "content").mapInPandas(run, ENTRY)
+    schema = f"{ENTRY}, file_hash string" if hashed else ENTRY
+    names = [c.split()[0] for c in schema.replace("array<struct<severity:string,code:string,line:int,message:string>>", "x").replace("map<string,int>", "x").split(", ")]
+    return files.select("bundle_id", "source_path", entry_kind(F.col("source_path")).alias("kind"), "content").mapInPandas(run, schema)
 
 
-def read(spark: SparkSession, root: str, bundle_id: str | None = None) -> DataFrame:
-    """The ``.md`` files below ``root``; the bundle is named by ``bundle_id`` or by each file's first folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
+def files(spark: SparkSession, root: str, bundle_id: str | None = None) -> DataFrame:
+    """(bundle_id, source_path, absolute_path, content) of the ``.md`` files below ``root``."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
     base = root.split("://", 1)[-1].rstrip("/")
     inside = F.substring_index("path", base + "/", -1)
+    whole = [F.col("path").alias("absolute_path"), "content"]
     if bundle_id is None:
-        rows = files.select(F.substring_index(inside, "/", 1).alias("bundle_id"), F.regexp_replace(inside, "^[^/]*/", "").alias("source_path"), "content")
-    else:
-        rows = files.select(F.lit(bundle_id).alias("bundle_id"), inside.alias("source_path"), "content")
-    return parse(rows)
+        return found.select(F.substring_index(inside, "/", 1).alias("bundle_id"), F.regexp_replace(inside, "^[^/]*/", "").alias("source_path"), *whole)
+    return found.select(F.lit(bundle_id).alias("bundle_id"), inside.alias("source_path"), *whole)
+
+
+def read(spark: SparkSession, root: str, bundle_id: str | None = None) -> DataFrame:
+    """The entries of the ``.md`` files below ``root``; the bundle is named by ``bundle_id`` or by each file's first folder."""
+    return parse(files(spark, root, bundle_id))

@@ -8,12 +8,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.functions.text import extension_terms, parent
-from skein.operators import authoring, generations, search
+from skein.operators import authoring, generations, projection, search
 from skein.operators import wiki as W
 from skein.operators.authoring import AuthoringError, Page
-from skein.sources import bundle, markdown
+from skein.operators.storage import materialize
+from skein.sources import bundle, spool
 
+TABLES = ("entries", "concepts", "headings", "citations", "links", "log", "directories", "documents", "diagnostics")
 PROFILES = ("consume", "conformant", "recommended")
 MEMORY, KINDS = "agent-memory", ("semantic", "episodic", "procedural")
 METADATA = "struct<kind:string,status:string,owner:string,created_at:string,last_verified_at:string,verified_by:string,review_after:string,supersedes:array<string>,superseded_by:string,history:array<struct<from:string,to:string,actor:string,at:string,reason:string>>>"
@@ -31,8 +32,8 @@ class WikiError(ValueError):
 class Wiki:
     """Bundles (id to folder) and the folder of their compiled generations.
 
-    Reads go to the published tables, which are compiled when there are none or a write of this object came
-    after them. Single answers are rows; lists are DataFrames.
+    Reads go to the published tables, which are compiled when there are none, and brought up to date when a write of this
+    object came after them. Single answers are rows; lists are DataFrames.
     """
 
     spark: SparkSession
@@ -46,59 +47,50 @@ class Wiki:
     def store(self) -> generations.Store:
         return generations.Store(self.root)
 
-    def entries(self, bundle_id: str | None = None) -> DataFrame:
-        """Parsed files, of one bundle or of all."""
+    def _files(self, bundle_id: str | None = None) -> DataFrame:
         if bundle_id is not None and bundle_id not in self.bundles:
             raise WikiError("bundle_not_found", "bundle is not configured for this wiki")
         chosen = self.bundles if bundle_id is None else {bundle_id: self.bundles[bundle_id]}
         if not chosen:
             raise WikiError("bundle_not_found", "no bundle is configured")
-        return reduce(DataFrame.unionByName, [bundle.read(self.spark, folder, name) for name, folder in chosen.items()])
+        return reduce(DataFrame.unionByName, [bundle.files(self.spark, folder, name) for name, folder in chosen.items()])
+
+    def entries(self, bundle_id: str | None = None) -> DataFrame:
+        """Parsed files, of one bundle or of all."""
+        return bundle.parse(self._files(bundle_id))
 
     def build_projection(self) -> dict:
-        """Compile all bundles and publish their tables; unchanged sources publish nothing."""
-        entries = self.entries().persist()
-        try:
-            digest = generations.table_digest(entries.drop("key_lines", "diagnostics"))
-            done = self.store.publish(self._tables(entries), digest=digest)
-        finally:
-            entries.unpersist()
+        """Publish the bundles' tables. ``cache`` is ``hit`` where nothing changed (and nothing is published), ``mixed``
+        where the tables before were brought up to date from the changed files, and ``miss`` where all was compiled.
+        """
+        listing = ["bundle_id", "source_path", "absolute_path", "file_hash"]
+        files = materialize(self._files().select(*listing[:3], F.sha2("content", 256).alias("file_hash")), "files")
+        digest, now = generations.table_digest(files), self.store.current()
+        if now and now["digest"] == digest:
+            self.stale = False
+            return now | {"cache": "hit", "changed": 0}
+        if now is None or now.get("header") != {"version": projection.VERSION}:
+            every = materialize(bundle.parse(self._files(), hashed=True), "entries")
+            tables, done = projection.compiled(every), {"cache": "miss", "changed": files.count()}
+            entry = self.store.publish(tables, digest=digest, header={"version": projection.VERSION})
+        else:
+            held = self.store.lease()
+            try:
+                old = {name: self.store.read(self.spark, name) for name in TABLES}
+                before = old["entries"].select("bundle_id", "source_path", F.col("file_hash").alias("was"))
+                both = files.join(before, ["bundle_id", "source_path"], "full")
+                changed = materialize(both.where(~F.col("file_hash").eqNullSafe(F.col("was"))).select(*listing, "was"), "changed")
+                contents = [block.join(F.broadcast(changed.where("file_hash is not null")), "absolute_path") for block in spool.listed(self.spark, changed.where("file_hash is not null"))]  # a block names at most spool.BLOCK files
+                schema = f"bundle_id string, source_path string, {bundle.CONTENT}"
+                there = reduce(DataFrame.unionByName, [c.select("bundle_id", "source_path", "content") for c in contents], self.spark.createDataFrame([], schema))
+                fresh = materialize(bundle.parse(there, hashed=True), "entries")
+                n, same = changed.count(), both.where("file_hash = was").isEmpty()
+                entry = self.store.publish(projection.updated(old, fresh, changed), digest=digest, header=now["header"])
+                done = {"cache": "miss" if same else "mixed", "changed": n}
+            finally:
+                self.store.release(held)
         self.stale = False
-        return done
-
-    @staticmethod
-    def _tables(entries: DataFrame) -> dict:
-        keys = ["bundle_id", "concept_id"]
-        concepts, again = W.first_concepts(entries.where("kind = 'concept'").withColumn("concept_id", bundle.concept_id(F.col("source_path"))))
-        texts = lambda t: t["concepts"].select(*keys, F.col("body_markdown").alias("text"))
-        shown = lambda df, name, of: df.groupBy(*keys).agg(F.array_sort(F.collect_set(of)).alias(name))  # noqa: E731  a document's own
-
-        def links(t: dict) -> DataFrame:
-            found = markdown.links(texts(t).withColumnRenamed("concept_id", "source_id"), ["bundle_id", "source_id"])
-            return W.resolve_links(found, t["concepts"], t["headings"].select(*keys, "slug"))
-
-        def documents(t: dict) -> DataFrame:
-            rows = t["concepts"].select(*keys, "type", "title", "description", "tags", extension_terms(F.col("extensions")).alias("extensions"), F.col("body_markdown").alias("body"))
-            rows = rows.join(shown(t["headings"], "headings", "heading"), keys, "left").join(shown(t["citations"], "citations", "citation"), keys, "left")
-            none = F.array().cast("array<string>")
-            return rows.withColumn("title", F.coalesce("title", "concept_id")).withColumns({c: F.coalesce(c, none) for c in ("headings", "citations")})
-
-        def directories(t: dict) -> DataFrame:
-            tree = W.hierarchy(t["concepts"])
-            authored = entries.where("kind = 'index'").select("bundle_id", parent(F.col("source_path")).alias("path"), F.col("body_markdown").alias("authored"), "title")
-            return tree.join(W.directory_body(tree, t["concepts"]), ["bundle_id", "path"]).join(authored, ["bundle_id", "path"], "left").select("bundle_id", "path", "title", "child_directories", "concepts", F.when(F.col("authored").isNull(), "synthetic").otherwise("authored").alias("index_source"), F.coalesce("authored", "body").alias("body_markdown"))
-
-        logs = entries.where("kind = 'log'").select("bundle_id", parent(F.col("source_path")).alias("scope"), F.col("body_markdown").alias("text"))
-        return {
-            "concepts": concepts.drop("kind", "key_lines", "diagnostics"),
-            "headings": lambda t: markdown.headings(texts(t), keys),
-            "citations": lambda t: markdown.citations(texts(t), keys),
-            "links": links,
-            "log": markdown.log_entries(logs, ["bundle_id", "scope"]).where("date is not null"),
-            "directories": directories,
-            "documents": documents,
-            "diagnostics": W.conformance(entries).unionByName(again),
-        }
+        return entry | done
 
     def table(self, name: str) -> DataFrame:
         if self.stale or self.store.current() is None:

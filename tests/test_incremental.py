@@ -25,7 +25,7 @@ def artifacts(spark, root):
     return Artifacts(spark, f"{root}/artifacts", {"nodes": code.NODE_ROWS, "edges": code.EDGE_ROWS})
 
 
-def test_only_changed_files_are_parsed_and_the_graph_is_that_of_a_full_build(spark, tmp_path):
+def test_only_changed_files_are_parsed_and_the_graph_is_that_of_a_full_build(spark, without_codegen, tmp_path):
     source, root = tmp_path / "src", tmp_path / "graph"
     write(source, {f"pkg/m{i}.py": f"import os\n\nclass C{i}:\n    def f(self, x):\n        return g{i}(x)\n\ndef g{i}(y):\n    return os\n" for i in range(12)})
     write(source, {"docs/a.md": "# A\ntext\n", "lib.rs": "fn main() {}", "[odd] {name}*.py": "x = 1\n"})
@@ -45,7 +45,7 @@ def test_only_changed_files_are_parsed_and_the_graph_is_that_of_a_full_build(spa
     assert graph.materialize(str(source))["parsed"] == 0  # as it was at first: its artifact is still there
 
 
-def test_damaged_artifacts_are_parsed_again(spark, tmp_path):
+def test_damaged_artifacts_are_parsed_again(spark, without_codegen, tmp_path):
     source, root = tmp_path / "src", tmp_path / "graph"
     write(source, {f"m{i}.py": f"def f{i}():\n    return {i}\n" for i in range(6)})
     graph = Graph(spark, str(root))
@@ -72,7 +72,7 @@ def test_damaged_artifacts_are_parsed_again(spark, tmp_path):
     assert tables(graph) == tables(full)
 
 
-def test_compaction_and_collection_keep_what_is_needed(spark, tmp_path):
+def test_compaction_and_collection_keep_what_is_needed(spark, without_codegen, tmp_path):
     source, root = tmp_path / "src", tmp_path / "graph"
     write(source, {"a.py": "a = 1\n", "b.py": "b = 1\n"})
     graph = Graph(spark, str(root))
@@ -95,7 +95,7 @@ def spooled(spark, source, folder, **options):
 
 
 @pytest.mark.parametrize("prefer_whole", [False, True])
-def test_a_file_that_changes_while_it_is_copied_is_copied_again_or_refused(spark, tmp_path, prefer_whole):
+def test_a_file_that_changes_while_it_is_copied_is_copied_again_or_refused(spark, without_codegen, tmp_path, prefer_whole):
     source = tmp_path / "src"
     files = {"a.py": "a = 1\n", "b.py": "b = 1\n", "c [x].py": "c = 1\n"}
     write(source, files)
