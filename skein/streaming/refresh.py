@@ -1,18 +1,21 @@
-"""The change stream: a debouncer with a cap as a stateful operator, a routed refresh, retries and leases."""
+"""The change stream: a debouncer with a cap as a stateful operator, a routed refresh with a kept status, retries and leases.
+
+``sources.listing`` gives the changes of folders that send no events.
+"""
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Callable, Iterator
+from datetime import UTC, datetime, timedelta
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 from skein.operators.changes import MOST_BYTES, MOST_PATHS
-from skein.operators.manifest import snapshot_changes
-from skein.operators.storage import materialize
+from skein.operators.storage import Files
 
 OUTPUT = "key string, started timestamp, closed timestamp, event_count bigint, paths array<string>, full_rescan boolean, overflow_count bigint"
 STATE = "opened bigint, last bigint, event_count bigint, paths array<string>, bytes bigint, full_rescan boolean, overflow_count bigint"
@@ -45,44 +48,88 @@ class Batch:
             if len(self.paths) > self.limits[0] or self.bytes > self.limits[1]:
                 self.rescan, self.overflow, self.paths, self.bytes = True, self.overflow + 1, {}, 0
 
-    def row(self, key: str, closed: int) -> dict:
-        micros = lambda t: pd.Timestamp(t, unit="us")
-        return {"key": key, "started": micros(self.opened), "closed": micros(closed), "event_count": self.count, "paths": sorted(self.paths), "full_rescan": self.rescan, "overflow_count": self.overflow}
+    def row(self, key: str, closed: int) -> Row:
+        micros = lambda t: datetime.fromtimestamp(t // 1_000_000, UTC) + timedelta(microseconds=t % 1_000_000)
+        return Row(key=key, started=micros(self.opened), closed=micros(closed), event_count=self.count, paths=sorted(self.paths), full_rescan=self.rescan, overflow_count=self.overflow)
 
     def state(self) -> tuple:
         return self.opened, self.last, self.count, list(self.paths), self.bytes, self.rescan, self.overflow
 
 
-def debounce(events: DataFrame, debounce_seconds: float, max_wait_seconds: float, watermark: str = "0 seconds", most_paths: int = MOST_PATHS, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """Batches of a stream of (key, ts timestamp, path, rescan): closed at min(last + debounce, opened + max_wait).
+class Debouncer(StatefulProcessor):
+    """One key's open batch, and its events that the watermark hasn't passed, by their millisecond.
 
-    State per key is one open batch. Event-time timers close batches once the watermark passes their end; an
-    event that comes late opens a batch of its own.
+    Every event sets timers at its own time and where a batch may end for it. Timers fire in the order of time once the watermark has passed them, so events
+    are taken in order however they came, a millisecond's events at a time: neither a key's rows of a micro-batch nor
+    its waiting events are ever together in memory.
     """
-    gap, wait = int(debounce_seconds * 1_000_000), int(max_wait_seconds * 1_000_000)
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        batch, rows = Batch(state.get if state.exists else None, most_paths, most_bytes), []
-        end = lambda: min(batch.last + gap, batch.opened + wait)
-        if state.hasTimedOut:
-            rows.append(batch.row(key[0], end()))
-            state.remove()
-        else:
-            every = pd.concat(list(parts)).sort_values(["ts", "path"])
-            for at, path, rescan in zip(every["ts"].astype("int64") // (1000 if str(every["ts"].dtype).startswith("datetime64[ns") else 1), every["path"], every["rescan"], strict=True):
+
+    def __init__(self, gap: int, wait: int, most_paths: int, most_bytes: int):
+        self.gap, self.wait, self.limits = gap, wait, (most_paths, most_bytes)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", STATE)
+        self.waiting = handle.getMapState("waiting", "ms bigint", "events array<struct<at:bigint,path:string,rescan:boolean>>")
+
+    def _keep(self, fresh: dict[int, list[tuple]]) -> None:
+        for ms, events in fresh.items():
+            if self.waiting.containsKey((ms,)):
+                events = [*map(tuple, self.waiting.getValue((ms,))[0]), *events]
+            self.waiting.updateValue((ms,), (events,))
+            for at in {ms} | {(e[0] + after) // 1000 + 1 for e in events for after in (self.gap, self.wait)}:
+                self.handle.registerTimer(at)
+        fresh.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: ANN001, N802, N803  Spark's names
+        fresh: dict[int, list[tuple]] = {}
+        for n, r in enumerate(rows, start=1):
+            fresh.setdefault(r["at"] // 1000, []).append((r["at"], r["path"], bool(r["rescan"])))
+            if n % 1000 == 0:
+                self._keep(fresh)
+        self._keep(fresh)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: ANN001, N802
+        ms, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        batch = Batch(tuple(self.open.get()) if self.open.exists() else None, *self.limits)
+        end = lambda: min(batch.last + self.gap, batch.opened + self.wait)
+        if self.waiting.containsKey((ms,)):
+            for at, path, rescan in sorted(map(tuple, self.waiting.getValue((ms,))[0])):
                 if batch.opened is not None and at >= end():
-                    rows.append(batch.row(key[0], end()))
+                    out.append(batch.row(key[0], end()))
                     batch.start(None)
                 if batch.opened is None:
                     batch.start(at)
-                batch.add(at, path, bool(rescan))
-            state.update(batch.state())
-            state.setTimeoutTimestamp(max(end() // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        if rows:
-            yield pd.DataFrame(rows)
+                batch.add(at, path, rescan)
+            self.waiting.removeKey((ms,))
+        if batch.opened is not None and end() // 1000 < ms:
+            out.append(batch.row(key[0], end()))
+            batch.start(None)
+        if batch.opened is None:
+            self.open.clear()
+        else:
+            self.open.update(batch.state())
+        return iter(out)
+
+    def close(self) -> None:
+        pass
 
-    marked = events.withWatermark("ts", watermark)
-    return marked.groupBy("key").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+def debounce(events: DataFrame, debounce_seconds: float, max_wait_seconds: float, watermark: str = "0 seconds", most_paths: int = MOST_PATHS, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """Batches of a stream of (key, ts timestamp, path, rescan): closed at min(last + debounce, opened + max_wait).
+
+    The same batches as ``changes.capped`` gives, whatever the order in which events come within the watermark; later ones are
+    dropped. The state must be kept by RocksDB (``with_rocksdb``).
+    """
+    rows = events.withColumn("at", F.unix_micros("ts")).where("at is not null").withWatermark("ts", watermark)
+    step = Debouncer(int(debounce_seconds * 1_000_000), int(max_wait_seconds * 1_000_000), most_paths, most_bytes)
+    return rows.groupBy("key").transformWithState(step, OUTPUT, "append", "EventTime")
+
+
+def with_rocksdb(spark: SparkSession) -> None:
+    """Let the session's streams keep their state in RocksDB."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def session_batches(events: DataFrame, gap: str, watermark: str = "0 seconds") -> DataFrame:
@@ -128,26 +175,120 @@ class Coordinator:
         return True
 
 
-def refresher(plan: Callable[[DataFrame], DataFrame], publish: Callable[[DataFrame], None], status: dict, transient: Callable[[Exception], bool] = lambda e: False) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: plan a micro-batch's changes, publish unless there are none, and keep counts."""
+class Status:
+    """What a refresh stream has done, kept in a folder beside its checkpoint: a restarted stream goes on counting.
+
+    Each epoch is a file of its own that is created once, so a replayed epoch neither counts nor publishes again. The oldest
+    files are folded into a total now and then.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, fold: int = 100):
+        self.spark, self.root, self.most = spark, root, fold
+
+    @property
+    def files(self) -> Files:
+        return Files(self.spark, self.root)
+
+    def _total(self) -> dict:
+        files = self.files
+        names = files.names("totals")
+        return json.loads(files.read(f"totals/{names[-1]}")) if names else {"epoch": -1}
+
+    def read(self) -> dict:
+        """Counts over all epochs, the last ``epoch``, and the ``error`` of the last one if it failed."""
+        files, out = self.files, self._total()
+        for name in files.names("epochs"):
+            if int(name) > out["epoch"]:
+                counts = files.read(f"epochs/{name}") or "{}"  # it may be being written
+                out = self._added(out, json.loads(counts) | {"epoch": int(name)})
+        names = files.names("errors")
+        if names and int(names[-1]) > out["epoch"]:
+            out["error"] = files.read(f"errors/{names[-1]}")
+        return out
+
+    @staticmethod
+    def _added(total: dict, more: dict) -> dict:
+        return {k: more[k] if k == "epoch" else total.get(k, 0) + more.get(k, 0) for k in {**total, **more}}
+
+    def done(self, epoch: int) -> bool:
+        return epoch <= self._total()["epoch"] or self.files.exists(f"epochs/{epoch:012d}")
+
+    def record(self, epoch: int, **counts: int) -> bool:
+        """Count an epoch; False if it has been counted."""
+        first = self.files.create(f"epochs/{epoch:012d}", json.dumps(counts))
+        if first and len(self.files.names("epochs")) > self.most:
+            self._fold()
+        return first
+
+    def failed(self, epoch: int, error: Exception) -> None:
+        self.files.replace(f"errors/{epoch:012d}", f"{type(error).__name__}: {error}"[:1000])
+
+    def _fold(self) -> None:
+        files, total = self.files, self.read()
+        total.pop("error", None)
+        if files.create(f"totals/{total['epoch']:012d}", json.dumps(total)):
+            for name in files.names("epochs"):
+                if int(name) <= total["epoch"]:
+                    files.delete(f"epochs/{name}")
+            for name in files.names("totals")[:-1]:
+                files.delete(f"totals/{name}")
+
+
+def refresher(plan: Callable[[DataFrame], DataFrame], publish: Callable[[DataFrame], None], status: Status, transient: Callable[[Exception], bool] = lambda e: False) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: plan a micro-batch's changes, publish unless there are none, and keep counts.
+
+    A publication that ended before its epoch was recorded is made again at restart; it should be one that equal
+    content doesn't change, as ``generations.Store.publish`` with a digest is.
+    """
 
     def each(batches: DataFrame, epoch: int) -> None:
-        if epoch <= status.get("epoch", -1):  # a replayed batch has been published
+        if status.done(epoch):  # a replayed batch has been published
             return
         changes = plan(batches).persist()
         try:
-            if changes.isEmpty():
-                status["suppressed"] = status.get("suppressed", 0) + 1
-            else:
+            n = changes.count()
+            if n:
                 with_retry(lambda: publish(changes), transient)
-                status["published"] = status.get("published", 0) + 1
-            status["epoch"] = epoch
+            status.record(epoch, published=int(n > 0), suppressed=int(not n), changes=n)
+        except Exception as e:
+            status.failed(epoch, e)
+            raise
         finally:
             changes.unpersist()
 
     return each
 
 
+OBSERVED = "refresh"
+
+
+def observed(batches: DataFrame) -> DataFrame:
+    """``debounce``'s batches with their counts as metrics, which Spark gathers while the rows go by."""
+    paths = F.coalesce(F.sum(F.size("paths")), F.lit(0))
+    return batches.observe(OBSERVED, F.count("*").alias("batches"), F.coalesce(F.sum("event_count"), F.lit(0)).alias("events"), paths.alias("paths"), F.count_if("full_rescan").alias("rescans"), F.coalesce(F.sum("overflow_count"), F.lit(0)).alias("overflows"))
+
+
+class Watcher(StreamingQueryListener):
+    """Records what ``observed`` streams report; ``spark.streams.addListener(Watcher(status))``."""
+
+    def __init__(self, status: Status):
+        self.status = status
+
+    def onQueryStarted(self, event) -> None:  # noqa: ANN001, N802  Spark's names
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: ANN001, N802
+        found = event.progress.observedMetrics.get(OBSERVED)
+        if found is not None:
+            self.status.record(event.progress.batchId, **found.asDict())
+
+    def onQueryIdle(self, event) -> None:  # noqa: ANN001, N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: ANN001, N802
+        pass
+
+
 def route(paths: DataFrame, roots: list[str], generated: str = ".astro") -> DataFrame:
     """Where a path's change goes: graph, wiki, both, or nowhere for generated files."""
     inside = F.lit(False)
@@ -168,36 +309,3 @@ def is_transient(error: Exception) -> bool:
     """Whether another attempt may succeed, by the error's message."""
     message = str(error).lower()
     return any(part in message for part in TRANSIENT)
-
-
-class Poller:
-    """Changes found by comparing listings, debounced like events are.
-
-    ``listing`` gives (path, mtime, byte_len) of the relevant files; each one is written to the shared folder once.
-    A batch ends when nothing changed for ``debounce`` seconds, or ``max_wait`` seconds after its first change.
-    """
-
-    def __init__(self, listing: Callable[[], DataFrame], interval: float, debounce: float, max_wait: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
-        self.listing, self.interval, self.debounce, self.max_wait, self.clock, self.sleep = listing, interval, debounce, max_wait, clock, sleep
-        self.before = materialize(listing(), "listing")
-
-    def _changed(self) -> DataFrame | None:
-        now = materialize(self.listing(), "listing")
-        paths = materialize(snapshot_changes(now, self.before).select("path"), "changes")
-        self.before = now
-        return None if paths.isEmpty() else paths
-
-    def batch(self) -> tuple[DataFrame, int]:
-        """Wait for changes; their distinct paths, and in how many listings they showed."""
-        found = None
-        while found is None:
-            self.sleep(self.interval)
-            found = self._changed()
-        events, started = 1, self.clock()
-        last = started
-        while (waited := self.clock() - started) < self.max_wait and (quiet := self.clock() - last) < self.debounce:
-            self.sleep(min(self.interval, self.debounce - quiet, self.max_wait - waited))
-            more = self._changed()
-            if more is not None:
-                found, events, last = found.unionByName(more), events + 1, self.clock()
-        return found.distinct(), events
