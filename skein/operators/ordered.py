@@ -84,6 +84,6 @@ def reached(starts: DataFrame, links: DataFrame, name: str = "reached", rounds:
         new = materialize(links.join(known, "at", "left_semi").select(F.col("to").alias("at")).distinct().join(known, "at", "left_anti"), f"{name}-new")
         if new.isEmpty():
             return known
-        known = materialize(known.unionByName(new), name)
+        known = known.unionByName(new)  # stored, both of them
         links = materialize(links.join(links.select(F.col("at").alias("to"), F.col("to").alias("next")), "to").select("at", F.col("next").alias("to")), f"{name}-links")
     raise ValueError(f"{name}: links don't end")
