@@ -85,7 +85,7 @@ class Graph:
         node_rows, edge_rows, counts = refreshed(artifacts, parsed, make)
         nodes, edges = code.merge_graph(node_rows, edge_rows, listed, repository, source)
         tables = {"nodes": nodes, "edges": edges, "manifest": listed, **search.index_tables(lambda written: self.documents(written["nodes"]))}
-        entry = self.store.publish(tables, digest=digest, validate=generations.check_bundle, partition_by={"nodes": "node_type", "edges": "edge_type"}, header=header)
+        entry = self.store.publish(tables, digest=digest, validate=generations.check_bundle, partition_by={"nodes": "node_type", "edges": "edge_type"}, header=header, verified=search.PARTS)
         artifacts.collect(parsed)
         if len(artifacts.batches) > MOST_BATCHES:
             artifacts.compact(parsed)
@@ -97,11 +97,16 @@ class Graph:
         scanned = scan.scan(self.spark, source, include, ignore, exclude).drop("content")
         return scan.diagnostics(scanned).unionByName(code.unparsed(scanned.where("status = 'source'"), ("python", *self.parsers)))
 
-    def health(self) -> dict:
+    def health(self, verify: bool = False) -> dict:
+        """Counts of the current generation; with ``verify`` also which files of its index are damaged, 100 at most."""
         entry = self.store.current()
         if entry is None:
             return {"ready": False}
-        return {"ready": True, "generation": entry["generation"]} | graph.counts(self.nodes(), self.edges()).first().asDict()
+        out = {"ready": True, "generation": entry["generation"]} | graph.counts(self.nodes(), self.edges()).first().asDict()
+        if verify:
+            damaged = {r["file"]: r["problem"] for r in self.store.damage(self.spark).orderBy("file").limit(100).collect()}
+            out |= {"damaged": damaged, "ready": not damaged}
+        return out
 
     @staticmethod
     def documents(nodes: DataFrame) -> DataFrame:

@@ -4,7 +4,10 @@ Everything is a file under the root, on any Hadoop file system, and what decides
 a file that must not exist yet. A ticket is such a file and gives a sequence number. A generation is written aside,
 validated, and becomes current when the file of its sequence number is created; the highest number is current, and a
 writer with a ticket older than another's is refused. Readers hold a generation by a lease file, whichever ``Store``
-object made it, so that collecting leaves it alone.
+object made it, so that collecting leaves it alone; a lease that isn't renewed in time holds nothing any more, so a
+reader that has died doesn't keep its generation for ever.
+
+Of tables that are to be verified, each file's length and SHA-256 is stored with the generation.
 """
 
 from __future__ import annotations
@@ -20,7 +23,9 @@ from pyspark.sql import functions as F
 
 from skein.operators.storage import Files
 
-TICKETS, ACTIVE, LEASES = "tickets", "active", "leases"
+TICKETS, ACTIVE, LEASES, CHECKSUMS = "tickets", "active", "leases", "checksums"
+#: Seconds that a lease holds unless it is renewed.
+LEASE = 3600.0
 
 
 class StaleGeneration(RuntimeError):
@@ -31,6 +36,7 @@ class StaleGeneration(RuntimeError):
 class Store:
     root: str
     keep: int = 2
+    clock: Callable[[], float] = time.time
 
     @property
     def files(self) -> Files:
@@ -48,11 +54,11 @@ class Store:
             n += 1
         return n
 
-    def publish(self, tables: dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]], sequence: int | None = None, digest: str | None = None, validate: Callable[[dict[str, DataFrame]], None] | None = None, partition_by: dict[str, str] | None = None, header: dict | None = None) -> dict:
+    def publish(self, tables: dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]], sequence: int | None = None, digest: str | None = None, validate: Callable[[dict[str, DataFrame]], None] | None = None, partition_by: dict[str, str] | None = None, header: dict | None = None, verified: tuple[str, ...] = ()) -> dict:
         """Write ``tables``, check them, and make them current. Equal digests publish nothing (a cache hit).
 
         A table may be a function of those written before it, so that one derived from another reads it from its files.
-        ``header`` is kept with the generation: what its tables hold for.
+        ``header`` is kept with the generation: what its tables hold for. ``damage`` checks the ``verified`` tables.
         """
         now = self.current()
         if digest is not None and now and now["digest"] == digest:
@@ -69,10 +75,13 @@ class Store:
                     writer = writer.partitionBy(partition_by[table])
                 writer.parquet(path)
                 written[table] = df.sparkSession.read.schema(df.schema).parquet(path)
+            if verified:
+                spark = next(iter(written.values())).sparkSession
+                self._stored_files(spark, name, verified).write.parquet(f"{self.root}/{name}/{CHECKSUMS}")
             if validate is not None:
                 validate(written)
             self._refuse_stale(sequence)
-            entry = {"generation": name, "sequence": sequence, "digest": digest, "published_at": f"unix:{int(time.time() * 1000)}", "header": header}
+            entry = {"generation": name, "sequence": sequence, "digest": digest, "published_at": f"unix:{int(time.time() * 1000)}", "header": header, "verified": list(verified)}
             if not files.create(f"{ACTIVE}/{sequence:012d}.json", json.dumps(entry)):
                 raise StaleGeneration(f"sequence {sequence} has been published")
         except BaseException:
@@ -99,12 +108,41 @@ class Store:
         """Bytes of the current generation's tables, as stored."""
         return self.files.sizes(self.current()["generation"])
 
-    def lease(self) -> str:
-        """Hold the current generation; returns what ``release`` takes."""
+    def _stored_files(self, spark: SparkSession, generation: str, tables: tuple[str, ...]) -> DataFrame:
+        """(file, byte_len, sha256) of the tables' files as they are stored now."""
+        there = [t for t in tables if self.files.exists(f"{generation}/{t}")]
+        if not there:
+            return spark.createDataFrame([], "file string, byte_len bigint, sha256 string")
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load([f"{self.root}/{generation}/{t}" for t in there])
+        return found.select(F.element_at(F.split("path", f"/{generation}/"), -1).alias("file"), F.col("length").alias("byte_len"), F.sha2("content", 256).alias("sha256"))
+
+    def damage(self, spark: SparkSession) -> DataFrame:
+        """(file, problem) of the current generation's verified tables: missing, changed or unexpected files."""
+        entry = self.current()
+        if not entry or not entry.get("verified"):
+            return spark.createDataFrame([], "file string, problem string")
+        now = self._stored_files(spark, entry["generation"], tuple(entry["verified"])).withColumnsRenamed({"byte_len": "now_len", "sha256": "now"})
+        was = spark.read.parquet(f"{self.root}/{entry['generation']}/{CHECKSUMS}")
+        same = F.col("now").eqNullSafe(F.col("sha256")) & F.col("now_len").eqNullSafe(F.col("byte_len"))
+        return was.join(now, "file", "full").where(~same).select("file", F.when(F.col("now").isNull(), "missing").when(F.col("sha256").isNull(), "unexpected").otherwise("changed").alias("problem"))
+
+    def lease(self, seconds: float = LEASE) -> str:
+        """Hold the current generation for so long; returns what ``renew`` and ``release`` take."""
         held = f"{self.current()['generation']}/{uuid.uuid4().hex}"
-        self.files.create(f"{LEASES}/{held}")
+        self.files.create(f"{LEASES}/{held}", self._until(seconds))
         return held
 
+    def _until(self, seconds: float) -> str:
+        return str(int((self.clock() + seconds) * 1000))
+
+    def renew(self, held: str, seconds: float = LEASE) -> bool:
+        """Hold it longer; False if the generation is gone."""
+        files = self.files
+        if not files.exists(held.split("/")[0]):
+            return False
+        files.replace(f"{LEASES}/{held}", self._until(seconds))
+        return True
+
     def release(self, held: str) -> None:
         files = self.files
         files.delete(f"{LEASES}/{held}")
@@ -112,11 +150,23 @@ class Store:
         if not files.names(f"{LEASES}/{generation}"):
             files.delete(f"{LEASES}/{generation}")
 
+    def _leased(self) -> set[str]:
+        """Generations with a lease in force; expired leases are deleted."""
+        files, out, now = self.files, set(), self.clock() * 1000
+        for generation in files.names(LEASES):
+            for name in files.names(f"{LEASES}/{generation}"):
+                until = files.read(f"{LEASES}/{generation}/{name}")
+                if not until or int(until) > now:  # an empty one is being written
+                    out.add(generation)
+                else:
+                    self.release(f"{generation}/{name}")
+        return out
+
     def collect(self) -> list[str]:
         """Delete all but the newest ``keep`` generations, the current and the leased ones; and the marks of those gone."""
         files, now = self.files, self.current()
         names = [n for n in files.names("") if n.startswith("gen-")]
-        leased = {n for n in files.names(LEASES) if files.names(f"{LEASES}/{n}")}
+        leased = self._leased()
         gone = [n for n in names[: -self.keep] if n not in leased and n != now["generation"]]
         for n in gone:
             files.delete(n)
