@@ -9,6 +9,9 @@ script and, for given names, the gender. A given name's gender is what the title
 in the table; where they disagree or say nothing it stays neutral. "Dr. Anna Weber", "Frau Anna Weber" and "Frau Weber"
 thus share their names' replacements.
 
+Within a text, every further mention of a titled person's full name or surname, without a title, gets the same
+replacement; such mentions are not counted as entities.
+
 A table of all distinct parts checks that no two of one kind get the same replacement and that none becomes an
 existing one; those that clash, and only those, draw again, names and domains from a pool that grows with the draws.
 Equal entities thus stay equal everywhere and different ones different, and separators, capitals, titles and
@@ -219,6 +222,25 @@ def pour(kind: Column, entity: Column, new: Column) -> Column:
     )
 
 
+def names_of(found: Column) -> Column:
+    """From a text's entities (array of structs with entity, replacement, whole): its people's names and surnames with
+    their replacements (name, new), the longest first."""
+    people = F.filter(found, lambda x: x["whole"] == "person")
+    last = lambda name: F.substring_index(name, " ", -1)
+    pair = lambda name, new: F.struct((-F.length(name)).alias("order"), name.alias("name"), new.alias("new"))
+    both = F.transform(people, lambda x: F.array(*(pair(of(name_part(x["entity"])), of(name_part(x["replacement"]))) for of in (lambda n: n, last))))
+    return F.array_sort(F.array_distinct(F.flatten(both)))
+
+
+def with_names(text: Column, names: Column) -> Column:
+    """``text`` with each of the names replaced where it stands as a word of its own."""
+    pattern = F.concat(F.lit(f"{EDGE}(?:"), F.array_join(F.transform(names, lambda n: n["name"]), "|"), F.lit(f"){END}(?!-\\p{{L}})"))
+    found, between = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
+    new = lambda m: F.filter(names, lambda n: n["name"] == m)[0]["new"]
+    mixed = F.zip_with(between, found, lambda b, m: F.concat(b, F.when(m.isNull(), "").otherwise(new(m))))
+    return F.when((F.size(names) > 0) & F.regexp_like(text, pattern), F.array_join(mixed, "")).otherwise(text)
+
+
 def resolve(parts: DataFrame, key: str, draws: int = 30) -> DataFrame:
     """From distinct parts (kind, form, and if there are such columns space and gender): kind, space, form, new.
 
@@ -249,7 +271,7 @@ def resolve(parts: DataFrame, key: str, draws: int = 30) -> DataFrame:
 
 def surrogates(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with entities replaced in ``text``, and a count of them in the last column ``n_entities``."""
-    rid, ents, parts, text, new, own, count = unique_names(docs, "rid", "ents", "parts", "text_kept", "new", "own_rid", "n_entities")
+    rid, ents, parts, text, new, own, names, count = unique_names(docs, "rid", "ents", "parts", "text_kept", "new", "own_rid", "names", "n_entities")
     body = F.col("text").cast("string")
     found = F.when(body.rlike(HINT), F.regexp_extract_all(body, F.lit(ENTITY), F.lit(0)))
     held = docs.withColumn(ents, found).withColumn(parts, F.when(F.size(ents) > 0, F.split(body, ENTITY, -1))).withColumn(rid, F.monotonically_increasing_id())
@@ -263,10 +285,10 @@ def surrogates(docs: DataFrame, key: str) -> DataFrame:
     distinct = values.groupBy("kind", "space", "form").agg(F.when(sure("m", "f"), "m").when(sure("f", "m"), "f").otherwise("n").alias("gender"))
     solved = resolve(distinct, key)
     whole = values.join(solved, ["kind", "space", "form"]).groupBy("entity", "whole").agg(F.map_from_entries(F.collect_list(F.struct("kind", "new"))).alias("new"))  # two parts at most
-    table = whole.select("entity", pour(F.col("whole"), F.col("entity"), F.col("new")).alias("replacement"))
-    replaced = mentions.join(table, "entity").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("pos", "replacement"))).alias(new)).withColumnRenamed("rid", own)
-    joined = some.join(replaced, F.col(rid) == F.col(own))
-    mixed = F.transform(F.sequence(F.lit(0), F.size(new)), lambda i: F.concat(F.element_at(F.col(parts), i + 1), F.when(i < F.size(new), F.try_element_at(F.col(new), i + 1)["replacement"]).otherwise("")))
+    table = whole.select("entity", "whole", pour(F.col("whole"), F.col("entity"), F.col("new")).alias("replacement"))
+    replaced = mentions.join(table, "entity").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("pos", "replacement", "entity", "whole"))).alias(new)).withColumnRenamed("rid", own)
+    joined = some.join(replaced, F.col(rid) == F.col(own)).withColumn(names, names_of(F.col(new)))
+    mixed = F.transform(F.sequence(F.lit(0), F.size(new)), lambda i: F.concat(with_names(F.element_at(F.col(parts), i + 1), F.col(names)), F.when(i < F.size(new), F.try_element_at(F.col(new), i + 1)["replacement"]).otherwise("")))
     done = joined.withColumn(text, F.array_join(mixed, "")).select(*[F.col(text).alias("text") if c == "text" else F.col(c) for c in docs.columns], F.size(new).alias(count))
     rest = held.where(F.coalesce(F.size(ents), F.lit(0)) <= 0).select(*docs.columns, F.lit(0).alias(count))
     return rest.union(done)
