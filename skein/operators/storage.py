@@ -77,6 +77,8 @@ def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where that is empty (a local session) a temporary folder stands in."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = getattr(spark.sparkContext, "_skein_tables", None)
         if folder is None:
             folder = spark.sparkContext._skein_tables = "file://" + tempfile.mkdtemp(prefix="skein-")
