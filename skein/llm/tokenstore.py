@@ -166,8 +166,7 @@ def build(docs: DataFrame, tokenizer_path: str, key: str, stride: int = 512, end
     with small_batches(spark):
         made = materialize(token_sequences(docs, tokenizer_path, stride, end_id), "sequences")
     runs = made.groupBy("part", "run").agg(F.count("*").alias("n"), F.max("file").alias("file"), F.max("row").alias("row"))
-    before = F.sum("n").over(Window.orderBy("file", "row", "part", "run")) - F.col("n")
-    before = materialize(runs.select("part", "run", before.alias("before")), "offsets")  # a row per split of a file
+    before = materialize(_offsets(runs), "offsets")
     numbers = made.join(before, ["part", "run"]).withColumn("number", F.col("before") + F.col("at"))
     n, digest = numbers.agg(F.count("*"), F.sum(F.xxhash64("number", "doc_id", "piece", "n_ids", "crc").cast("decimal(38,0)"))).first()
     path = path or new_path(spark, "shards")
@@ -197,6 +196,16 @@ def build(docs: DataFrame, tokenizer_path: str, key: str, stride: int = 512, end
     return Store(numbered.select("doc_id", "piece", "n_ids", "number", "slot"), path, n, stride, per_shard)
 
 
+def _offsets(runs: DataFrame) -> DataFrame:
+    """part, run and how many sequences stand before it. Runs are summed within their file (without one, within their
+    partition), so that only a table of files is ever in one task: a filter may leave as many runs as rows."""
+    runs = runs.withColumn("group", F.when(F.col("file") == "", F.format_string("%012d", F.col("part"))).otherwise(F.concat(F.lit("f"), "file")))
+    groups = runs.groupBy("group").agg(F.sum("n").alias("all"))
+    groups = groups.select(F.col("group"), (F.sum("all").over(Window.orderBy("group")) - F.col("all")).alias("above"))
+    within = F.sum("n").over(Window.partitionBy("group").orderBy("row", "part", "run")) - F.col("n")
+    return runs.withColumn("within", within).join(groups, "group").select("part", "run", (F.col("above") + F.col("within")).alias("before"))
+
+
 def _by_shard(rows: DataFrame, low: int, high: int, per_shard: int) -> DataFrame:
     """Partition i holds shard ``low + i``, in the order of slots."""
     shard: Column = F.floor(F.col("slot") / per_shard) - low

@@ -199,3 +199,12 @@ def test_numbers_that_are_not_digits(spark):
     made = WordIds(PATH)
     for text, ids in zip(words, made.encode(words), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == made.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_a_filtered_table_is_numbered_in_its_order(spark):
+    """As many runs of neighbouring rows as rows: they are summed within their file."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 2 = 0")
+    index = tokenstore.build(docs, PATH, key="k", stride=512).index.orderBy("number").collect()
+    assert [r["number"] for r in index] == list(range(len(index))) == sorted(r["slot"] for r in index)
+    expected = [r["doc_id"] for r in docs.select("doc_id").collect()]  # one file, in its order
+    assert list(dict.fromkeys(r["doc_id"] for r in index)) == expected
