@@ -14,13 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.text import ancestors, extension_terms, parent
+from skein.operators import search
 from skein.operators import wiki as W
 from skein.operators.storage import materialize
 from skein.sources import bundle, markdown
 
 KEYS = ["bundle_id", "concept_id"]
 #: Goes up when unchanged files would give other tables.
-VERSION = 1
+VERSION = 2
 LINK = [*KEYS[:1], "source_id", "position", "line", "context", "href"]
 Tables = dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]]
 
@@ -86,6 +87,7 @@ def compiled(entries: DataFrame) -> Tables:
         "log": logs_of(entries),
         "directories": lambda t: directories_of(t["concepts"], t["entries"]),
         "documents": lambda t: documents_of(t["concepts"], t["headings"], t["citations"]),
+        "grams": lambda t: search.clustered(search.grams_of(t["documents"])),
         "diagnostics": W.conformance(entries).unionByName(again),
     }
 
@@ -135,5 +137,6 @@ def updated(old: dict[str, DataFrame], fresh: DataFrame, changed: DataFrame) ->
         "log": lambda t: with_new("log", logs_of(t["entries"].join(changed, ["bundle_id", "source_path"], "left_semi")), scopes),
         "directories": lambda t: with_new("directories", directories_of(t["concepts"], t["entries"], at), at),
         "documents": lambda t: with_new("documents", documents_of(own(t), part(t, "headings"), part(t, "citations")), pages),
+        "grams": lambda t: search.clustered(with_new("grams", search.grams_of(part(t, "documents")), pages)),
         "diagnostics": lambda t: W.conformance(t["entries"]).unionByName(concepts_of(t["entries"])[1]),
     }

@@ -64,8 +64,8 @@ PARTS = ("postings", "lexicon", "lengths", "totals")
 
 
 def clustered(df: DataFrame) -> DataFrame:
-    keys = [c for c in ("term", "id") if c in df.columns]
-    return df.repartitionByRange("term").sortWithinPartitions(*keys)
+    keys = [c for c in ("term", "gram", "id") if c in df.columns]
+    return df.repartitionByRange(keys[0]).sortWithinPartitions(*keys)
 
 
 def read_index(spark: SparkSession, path: str) -> Index:
@@ -219,15 +219,16 @@ def context_items(hits: DataFrame, limit: int = MOST_ITEMS, order: list[Column]
     return rows.select("id", F.coalesce("node_type", F.lit("unknown")).alias("kind"), "label", F.when(is_safe_path(F.col("path")), F.col("path")).alias("path"), truncated(F.col("summary"), ITEM_SUMMARY).alias("summary"))
 
 
-def weighted_search(documents: DataFrame, query: str, limit: int = 20, bundle: str | None = None, kind: str | None = None, tags: list[str] | None = None) -> DataFrame:
+def weighted_search(documents: DataFrame, query: str, limit: int = 20, bundle: str | None = None, kind: str | None = None, tags: list[str] | None = None, grams: DataFrame | None = None) -> DataFrame:
     """Knowledge search over (bundle_id, concept_id, type, title, description, tags, headings, extensions,
-    citations, body): sums of boosts, the fields that matched, and a marked snippet."""
+    citations, body): sums of boosts, the fields that matched, and a marked snippet. With ``grams`` (of ``grams_of``) only
+    documents that may match are read."""
     text = lambda c: ascii_lower(F.trim(F.coalesce(c, F.lit(""))))
     q = "".join(c.lower() if c.isascii() else c for c in query.strip())
     terms = list(dict.fromkeys("".join(c.lower() if c.isascii() else c for c in t) for t in __import__("re").findall(r"[^\W_]+", query)))
     if not q:
-        return _weighted(documents.where(F.lit(False)), q, terms, text).limit(limit)
-    found = documents
+        return _weighted(documents.where(F.lit(False)), q, terms, text).withColumn("snippet", snippet(q, terms)).limit(limit)
+    found = documents if grams is None else candidates(documents, grams, q, terms)
     if bundle is not None:
         found = found.where(text(F.col("bundle_id")) == q_of(bundle))
     if kind is not None:
@@ -235,7 +236,40 @@ def weighted_search(documents: DataFrame, query: str, limit: int = 20, bundle: s
     for tag in tags or []:
         found = found.where(F.exists("tags", lambda t: text(t) == q_of(tag)))
     hits = _weighted(found, q, terms, text)
-    return hits.where("score > 0").orderBy(F.desc("score"), "bundle_id", "concept_id", "title").limit(limit or 20)
+    best = hits.where("score > 0").orderBy(F.desc("score"), "bundle_id", "concept_id", "title").limit(limit or 20)
+    return best.withColumn("snippet", snippet(q, terms))  # of the rows that are left
+
+
+GRAM = 3
+
+
+def _pieces(text: str) -> list[str]:
+    return sorted({text[i : i + GRAM] for i in range(len(text) - GRAM + 1)})
+
+
+def grams_of(documents: DataFrame) -> DataFrame:
+    """(gram, bundle_id, concept_id): every three letters that stand together in a field of a document, once."""
+    none = F.array().cast("array<string>")
+    fields = F.concat(F.array("concept_id", "title", "type", "description", "body"), *[F.coalesce(F.col(c), none) for c in ("tags", "headings", "extensions", "citations")])
+    text = ascii_lower(F.array_join(fields, "\u0000"))  # what goes over the end of a field is in no term
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
+    return documents.select("bundle_id", "concept_id", F.explode(found).alias("gram")).select("gram", "bundle_id", "concept_id")
+
+
+def candidates(documents: DataFrame, grams: DataFrame, q: str, terms: list[str]) -> DataFrame:
+    """The documents that a search must look at: those that hold all the grams of one of its terms.
+
+    A term of fewer than three letters may stand anywhere, so with one all documents are looked at.
+    """
+    wanted = terms or [q]
+    if any(len(t) < GRAM for t in wanted):
+        return documents
+    needed = {t: _pieces(t) for t in wanted}
+    hits = grams.where(F.col("gram").isin(sorted({g for some in needed.values() for g in some}))).groupBy("bundle_id", "concept_id").agg(F.collect_set("gram").alias("held"))  # at most the query's grams
+    whole = F.lit(False)
+    for some in needed.values():
+        whole = whole | (F.size(F.array_except(F.array(*[F.lit(g) for g in some]), "held")) == 0)
+    return documents.join(hits.where(whole).select("bundle_id", "concept_id"), ["bundle_id", "concept_id"], "left_semi")
 
 
 def q_of(text: str) -> str:
@@ -264,7 +298,7 @@ def _weighted(documents: DataFrame, q: str, terms: list[str], text) -> DataFrame
             score = score + F.when(test(t), TERM_BOOSTS[field]).otherwise(0)
             fields[field] = fields.get(field, F.lit(False)) | test(t)
     matched = F.array_compact(F.array(*[F.when(fields[f], F.lit(f)) for f in sorted(fields)]))
-    return documents.withColumn("score", score).withColumn("matched_fields", matched).withColumn("snippet", snippet(q, terms))
+    return documents.withColumn("score", score).withColumn("matched_fields", matched)
 
 
 RADIUS, SNIPPET_LENGTH = 48, 160

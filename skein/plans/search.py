@@ -178,6 +178,13 @@ def wiki_weighted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.weighted_search(concepts(spark, sf_dir), "src1 Ion", limit=100).select("bundle_id", "concept_id", "title", "score")
 
 
+@query("wiki_search_indexed", weighted_sql("gen nation", ["gen", "nation"], "true", 100))
+def wiki_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through the index of three letters together: the rows of a full scan."""
+    rows = concepts(spark, sf_dir)
+    return S.weighted_search(rows, "Gen Nation", limit=100, grams=S.grams_of(rows)).select("bundle_id", "concept_id", "title", "score")
+
+
 @query("wiki_search_filtered", weighted_sql("the", ["the"], "lang = 'en' AND source = 'src0'", 100))
 def wiki_search_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.weighted_search(concepts(spark, sf_dir), "the", limit=100, bundle="EN", kind="src0", tags=["en", "src0"]).select("bundle_id", "concept_id", "title", "score")

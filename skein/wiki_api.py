@@ -14,7 +14,7 @@ from skein.operators.authoring import AuthoringError, Page
 from skein.operators.storage import materialize
 from skein.sources import bundle, spool
 
-TABLES = ("entries", "concepts", "headings", "citations", "links", "log", "directories", "documents", "diagnostics")
+TABLES = ("entries", "concepts", "headings", "citations", "links", "log", "directories", "documents", "grams", "diagnostics")
 PROFILES = ("consume", "conformant", "recommended")
 MEMORY, KINDS = "agent-memory", ("semantic", "episodic", "procedural")
 METADATA = "struct<kind:string,status:string,owner:string,created_at:string,last_verified_at:string,verified_by:string,review_after:string,supersedes:array<string>,superseded_by:string,history:array<struct<from:string,to:string,actor:string,at:string,reason:string>>>"
@@ -119,7 +119,7 @@ class Wiki:
 
     def search_concepts(self, text: str, bundle_id: str | None = None, concept_type: str | None = None, tags: list[str] | None = None, limit: int = 20) -> DataFrame:
         """At most 100 hits."""
-        hits = search.weighted_search(self.table("documents"), text, min(limit, 100), bundle_id, concept_type, tags)
+        hits = search.weighted_search(self.table("documents"), text, min(limit, 100), bundle_id, concept_type, tags, self.table("grams"))
         return hits.select("bundle_id", "concept_id", "title", "type", "score", "matched_fields", "snippet")
 
     def get_backlinks(self, bundle_id: str, concept_id: str) -> DataFrame:

@@ -107,3 +107,15 @@ def test_an_index_follows_its_tables(spark, tmp_path):
         assert search.bm25(plans.stored(spark, str(tmp_path)), "common").count() == n
     before = plans.stored(spark, str(tmp_path))
     assert plans.stored(spark, str(tmp_path)) is before
+
+
+def test_grams_find_what_a_scan_finds(spark):
+    fields = "bundle_id string, concept_id string, type string, title string, description string, tags array<string>, headings array<string>, extensions array<string>, citations array<string>, body string"
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcé", k=rng.randrange(1, 6)))
+    rows = [("b", f"c/{i}{word()}", word(), rng.choice([None, word()]), None, [word(), word()], None, [], [word()], " ".join(word() for _ in range(6)).upper() if i % 3 else None) for i in range(60)]
+    docs = spark.createDataFrame(rows, fields).cache()
+    grams = search.grams_of(docs).cache()
+    for q in ("abc", "abca bcab", "éab", "ab", "c/1", "--a", "aaaa", "abc x"):
+        scan, found = (sorted(map(str, search.weighted_search(docs, q, 100, grams=g).collect())) for g in (None, grams))
+        assert found == scan
