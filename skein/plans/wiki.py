@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions.text import ancestors, escape_html, link_kind
+from skein.operators import projection
 from skein.operators import wiki as W
+from skein.operators.storage import materialize
 from skein.plans.registry import query, table
-from skein.sources import markdown
+from skein.sources import bundle, markdown
 
 HREF = r'href="([^"]*)"'
 
@@ -217,3 +219,37 @@ def site_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("html_escape", """SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS digest FROM pages""")
 def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(escape_html(F.col("html")).cast("binary")).alias("digest"))
+
+
+def linked_pages(documents: DataFrame, folders: DataFrame) -> DataFrame:
+    """Documents as pages of their language's bundle: a link to the next document's page, then the whole text."""
+    after = folders.select((F.col("doc_id") - 1).alias("doc_id"), F.concat(F.lit("../"), "source", F.lit("/c"), "doc_id", F.lit(".md")).alias("href"))
+    rows = documents.join(after, "doc_id", "left")
+    content = F.concat(F.lit("[next]("), F.coalesce("href", F.lit("../none.md")), F.lit(")\n\n"), F.coalesce("text", F.lit("")))
+    return rows.select(F.col("lang").alias("bundle_id"), F.concat("source", F.lit("/c"), "doc_id", F.lit(".md")).alias("source_path"), content.cast("binary").alias("content"))
+
+
+NEXT_SQL = """WITH n AS (SELECT d.lang AS bundle_id, d.source || '/c' || d.doc_id AS source_id, CASE WHEN e.doc_id IS NULL THEN '../none.md' ELSE '../' || e.source || '/c' || e.doc_id || '.md' END AS href,
+ e.doc_id IS NOT NULL AND e.lang = d.lang AND e.doc_id % 10 <> 7 AS there FROM documents d LEFT JOIN documents e ON e.doc_id = d.doc_id + 1 WHERE d.doc_id % 10 <> 7 AND d.lang IS NOT NULL AND d.source IS NOT NULL)
+SELECT bundle_id, source_id, href, CASE WHEN there THEN 'resolved' ELSE 'broken' END AS status FROM n"""
+
+
+@query("projection_updated", NEXT_SQL)
+def projection_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links after a tenth of the pages came, a tenth went and a tenth changed, from the tables before and the changed pages."""
+    documents = table(spark, sf_dir, "documents").where("lang is not null and source is not null")
+    folders = documents.select("doc_id", "source")
+
+    def stored(tables: dict) -> dict:
+        out: dict = {}
+        for name in ("entries", "concepts", "headings", "citations", "links"):
+            made = tables[name]
+            out[name] = materialize(made(out) if callable(made) else made, name)
+        return out
+
+    parsed = lambda rows: materialize(bundle.parse(linked_pages(rows, folders), hashed=True), "parsed")
+    draft = F.when(F.col("doc_id") % 10 == 5, F.lit("a draft")).otherwise(F.col("text"))
+    before = stored(projection.compiled(parsed(documents.where("doc_id % 10 <> 3").withColumn("text", draft))))
+    changed = documents.where("doc_id % 10 in (3, 5, 7)").select(F.col("lang").alias("bundle_id"), F.concat("source", F.lit("/c"), "doc_id", F.lit(".md")).alias("source_path"))
+    after = stored(projection.updated(before, parsed(documents.where("doc_id % 10 in (3, 5)")), changed))
+    return after["links"].where("context = 'next'").select("bundle_id", "source_id", "href", "status")
