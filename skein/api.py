@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,6 +133,25 @@ class Graph:
         depth = max_depth if max_depth is not None else 1 if layer == "syntax" else PROFILES[profile][1]
         return graph.context(self.nodes(), self.edges(), node_id, context_relations(profile, layer), limit, depth, syntax_first=layer != "semantic")
 
+    def search_with_context(self, query: str, layer: str = "semantic", limit: int = 3, profile: str = "brief", context_limit: int = 3, max_depth: int | None = None) -> list[dict]:
+        """``search``'s hits, 50 at most, each with ``context``: its rows of ``context``, all found together.
+
+        Where contexts can't be read, hits come without them and ``state`` is ``degraded`` instead of ``ready``.
+        """
+        if profile not in PROFILES:
+            raise ApiError("context_execution_failed", f"unknown context profile: {profile}")
+        hits = [r.asDict(recursive=True) for r in self.search(query, layer, min(limit, 50)).orderBy("position").collect()]
+        depth = max_depth if max_depth is not None else 1 if layer == "syntax" else PROFILES[profile][1]
+        around: dict[str, list[dict]] = {}
+        state = "ready"
+        try:
+            found = graph.contexts(self.nodes(), self.edges(), [h["id"] for h in hits], context_relations(profile, layer), context_limit, depth, syntax_first=layer != "semantic")
+            for r in found.orderBy("start", "position").collect():
+                around.setdefault(r["start"], []).append({k: v for k, v in r.asDict().items() if k != "start"})
+        except PySparkException:
+            state, around = "degraded", {}
+        return [h | {"context": around.get(h["id"], []), "state": state} for h in hits]
+
     def query(self, statement: str, parameters: dict | None = None, limit: int = 100) -> dict:
         return run_pattern(statement, self.nodes(), self.edges(), parameters, limit)
 

@@ -64,48 +64,63 @@ def relation_rank(relation: Column, relations: list[str]) -> Column:
     return F.array_position(F.array(*[F.lit(r) for r in relations]), relation)
 
 
+CONTEXT = "position int, depth int, direction string, relation string, neighbor_type string, neighbor_id string, child_index bigint, chain string"
+
+
 def context(nodes: DataFrame, edges: DataFrame, start: str, relations: list[str], limit: int, max_depth: int = 1, syntax_first: bool = False) -> DataFrame:
-    """Bounded breadth-first context of one node.
+    """Bounded breadth-first context of one node."""
+    return contexts(nodes, edges, [start], relations, limit, max_depth, syntax_first).drop("start")
+
 
-    The frontier is a queue: each of its nodes asks every relation in order, outgoing then incoming, for at
+def contexts(nodes: DataFrame, edges: DataFrame, starts: list[str], relations: list[str], limit: int, max_depth: int = 1, syntax_first: bool = False) -> DataFrame:
+    """Bounded breadth-first contexts of some nodes, each by itself: (start, position, ...).
+
+    A frontier is a queue: each of its nodes asks every relation in order, outgoing then incoming, for at
     most as many neighbours as are still wanted; a (direction, relation, type, id) counts once. Neighbours of
-    one question come by child index, type and id. Levels are few and the frontier is at most ``limit``
-    nodes, so it is held as rows on the driver while each level is one distributed join.
+    one question come by child index, type and id. Levels are few and a frontier is at most ``limit``
+    nodes, so frontiers are held as rows on the driver while each level of all of them is one distributed join.
     """
     spark = nodes.sparkSession
-    rows: list[tuple] = []
-    seen: set[tuple] = set()
-    frontier = [start] if limit > 0 and max_depth > 0 else []
+    starts = list(dict.fromkeys(starts))
+    rows: dict[str, list[tuple]] = {s: [] for s in starts}
+    seen: dict[str, set[tuple]] = {s: set() for s in starts}
+    frontiers = {s: [s] for s in starts} if limit > 0 and max_depth > 0 else {}
     for depth in range(max_depth):
-        if not frontier or len(rows) >= limit:
+        frontiers = {s: f for s, f in frontiers.items() if f and len(rows[s]) < limit}
+        if not frontiers:
             break
-        asked = spark.createDataFrame(list(enumerate(frontier)), "turn int, origin string")
-        level = neighbors(nodes, edges, relations).join(F.broadcast(asked), "origin")  # at most ``limit`` rows
+        # those seen before are at most ``limit`` more than are wanted
+        asked = [(s, n, origin, limit - len(rows[s]), limit - len(rows[s]) + len(seen[s]) + limit * limit) for s, f in frontiers.items() for n, origin in enumerate(f)]
+        asked = spark.createDataFrame(asked, "start string, turn int, origin string, wanted int, most int")
+        level = neighbors(nodes, edges, relations).join(F.broadcast(asked), "origin")  # at most ``limit`` rows a start
         order = [F.asc("turn"), relation_rank(F.col("relation"), relations).asc(), F.desc("direction"), F.asc_nulls_last("child_index"), F.asc("neighbor_type"), F.asc("neighbor_id")]
-        # a question yields at most limit rows that are new; those seen before are at most ``limit`` more
-        place = F.row_number().over(Window.partitionBy("turn", "relation", "direction").orderBy(*order[3:]))
-        wanted = limit - len(rows)
-        found = level.withColumn("place", place).where(F.col("place") <= wanted).orderBy(*order).limit(wanted + len(seen) + limit * limit).collect()
-        upcoming: list[str] = []
+        place = F.row_number().over(Window.partitionBy("start", "turn", "relation", "direction").orderBy(*order[3:]))
+        level = level.withColumn("place", place).where(F.col("place") <= F.col("wanted"))
+        level = level.withColumn("nth", F.row_number().over(Window.partitionBy("start").orderBy(*order))).where(F.col("nth") <= F.col("most"))
+        found = level.orderBy("start", "nth").collect()
+        upcoming: dict[str, list[str]] = {}
         question, left = None, 0
         for r in found:
-            if len(rows) >= limit:
-                break
-            if (r["turn"], r["relation"], r["direction"]) != question:
-                question, left = (r["turn"], r["relation"], r["direction"]), limit - len(rows)
+            own = rows[r["start"]]
+            if len(own) >= limit:
+                continue
+            if (r["start"], r["turn"], r["relation"], r["direction"]) != question:
+                question, left = (r["start"], r["turn"], r["relation"], r["direction"]), limit - len(own)
             if r["place"] > left:
                 continue
             key = (r["direction"], r["relation"], r["neighbor_type"], r["neighbor_id"])
-            if key in seen:
+            if key in seen[r["start"]]:
                 continue
-            seen.add(key)
-            upcoming.append(r["neighbor_id"])
-            rows.append((len(rows), depth + 1, r["direction"], r["relation"], r["neighbor_type"], r["neighbor_id"], r["child_index"], r["chain"]))
-        frontier = upcoming
-    if syntax_first:  # children first by index and id, the rest as found
-        rows.sort(key=lambda r: (0, r[6] if r[6] is not None else -1, r[5]) if r[3] == "SyntaxChild" else (1, 0, ""))
-        rows = [(i, *r[1:]) for i, r in enumerate(rows)]
-    return spark.createDataFrame(rows, "position int, depth int, direction string, relation string, neighbor_type string, neighbor_id string, child_index bigint, chain string")
+            seen[r["start"]].add(key)
+            upcoming.setdefault(r["start"], []).append(r["neighbor_id"])
+            own.append((len(own), depth + 1, r["direction"], r["relation"], r["neighbor_type"], r["neighbor_id"], r["child_index"], r["chain"]))
+        frontiers = upcoming
+    out = []
+    for s, own in rows.items():
+        if syntax_first:  # children first by index and id, the rest as found
+            own.sort(key=lambda r: (0, r[6] if r[6] is not None else -1, r[5]) if r[3] == "SyntaxChild" else (1, 0, ""))
+        out += [(s, i, *r[1:]) for i, r in enumerate(own)]
+    return spark.createDataFrame(out, f"start string, {CONTEXT}")
 
 
 def reach(edges: DataFrame, starts: DataFrame, max_depth: int, both_ways: bool = True) -> DataFrame:
