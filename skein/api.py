@@ -80,7 +80,7 @@ class Graph:
         def make(missing: DataFrame) -> tuple[DataFrame, DataFrame]:
             everything = lambda: scan.scan(self.spark, source, include, ignore, exclude).where("status = 'source'").select("path", "content")
             contents = spool.spool(self.spark, missing, folder, everything, prefer_whole=now is None)
-            return code.graph_rows(materialize(code.parse_files(contents, self.parsers), "syntax"))  # each file is parsed once
+            return code.graph_rows(code.parse_files(contents, self.parsers), missing.select("path", "artifact_key"))
 
         parsed = files.where(F.col("language").isin("markdown", "python", *self.parsers))
         node_rows, edge_rows, counts = refreshed(artifacts, parsed, make)
