@@ -64,7 +64,7 @@ def tokenize_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("wiki_tokenize", r"SELECT doc_id, list_aggregate(list_sort(list_distinct(list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')))), 'string_agg', ' ') AS terms FROM documents")
 def wiki_tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.size(wiki_terms(F.col("text"))) > 0, F.array_join(F.array_sort(wiki_terms(F.col("text"))), " ")).alias("terms"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.nullif(F.array_join(F.array_sort(wiki_terms(F.col("text"))), " "), F.lit("")).alias("terms"))
 
 
 @query("postings_tf", f"WITH {LAYERED} SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(terms) AS term FROM docs) GROUP BY id, term")
