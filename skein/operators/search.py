@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from skein.functions.text import ascii_lower, code_terms, escape_html, is_safe_path, plain_code_terms, round6, truncated
 from skein.operators import ordered
+from skein.operators.storage import materialize
 
 K1, B = 1.2, 0.75
 QUERY_TERMS = 32
@@ -122,6 +123,13 @@ def build_index(documents: DataFrame) -> Index:
     return Index(postings, lexicon, lengths, _totals(lengths))
 
 
+def kept_index(documents: DataFrame) -> Index:
+    """``build_index`` with its postings and lengths written aside, each from one pass over the texts: for callers that read them more than once."""
+    made = build_index(documents)
+    postings, lengths = materialize(made.postings, "postings"), materialize(made.lengths, "lengths")
+    return Index(postings, postings.groupBy("term").agg(F.count("*").alias("df")), lengths, _totals(lengths))
+
+
 def query_terms(query: str) -> list[str]:
     """At most 32 distinct terms, in order of appearance; the same terms as the index has."""
     return list(dict.fromkeys(plain_code_terms(query)))[:QUERY_TERMS]

@@ -1,9 +1,10 @@
 """How often plans do the same work, and what they shuffle: read from the plans, not from clocks."""
 
-from pyspark.sql import functions as F
-
+from skein import catalog
+from skein.operators import search
 from skein.sources import markdown
 
+SF = "/root/testdata/sf0.001"
 ODD = "a\r# one\n\n    # no\n```\n# no\n```\nUnder\n=====\r\n`# [x](y)` [b](c.md 't')\n[d]\n\n[d]: e.md\n# Citations\n- [z](z.md)\n"
 
 
@@ -35,3 +36,17 @@ def test_odd_texts_keep_their_headings_links_and_citations(spark):
     assert sorted((r.k, r.heading) for r in markdown.headings(docs, ["k"]).collect()) == [(1, "Citations"), (1, "Under"), (1, "one")]
     assert sorted((r.k, r.line, r.href) for r in markdown.links(docs, ["k"]).collect()) == [(1, 10, "c.md"), (1, 11, "e.md"), (1, 15, "z.md")]
     assert [(r.k, r.href) for r in markdown.citations(docs, ["k"]).collect()] == [(1, "z.md")]
+
+
+def test_a_damaged_index_is_checked_from_stored_tables(spark):
+    plan = optimized(catalog.QUERIES["index_invariants"](spark, SF))
+    assert "regexp_extract_all" not in plan  # texts were read for each part, and again for each check of one
+
+
+def test_a_kept_index_is_the_index(spark):
+    docs = spark.createDataFrame([("a", "x", 0, "One one two"), ("b", "x", 0, None), ("c", "y", 1, "two"), ("c", "y", 1, "two 3")], "id string, layer string, index_order int, text string")
+    kept, made = search.kept_index(docs), search.build_index(docs)
+    for name in search.PARTS:
+        own = lambda index: sorted(map(tuple, getattr(index, name).select(*sorted(getattr(made, name).columns)).collect()))  # noqa: B023, E731
+        assert own(kept) == own(made)
+    assert kept.problems().count() == made.problems().count()
