@@ -1,7 +1,7 @@
 """How often plans do the same work, and what they shuffle: read from the plans, not from clocks."""
 
 from skein import catalog
-from skein.operators import search
+from skein.operators import graph, search
 from skein.sources import markdown
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +50,13 @@ def test_a_kept_index_is_the_index(spark):
         own = lambda index: sorted(map(tuple, getattr(index, name).select(*sorted(getattr(made, name).columns)).collect()))  # noqa: B023, E731
         assert own(kept) == own(made)
     assert kept.problems().count() == made.problems().count()
+
+
+def test_edges_meet_only_missing_ids(spark):
+    nodes = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "id string")
+    edges = spark.createDataFrame([("e1", "a", "b"), ("e2", "a", "x"), ("e3", "y", "x"), ("e4", None, "b"), ("e5", "x", None)], "id string, source_id string, target_id string")
+    found = graph.missing_endpoints(nodes, edges)
+    of = lambda id, side, end: (id, f"edge {id} references missing {side} node {end}")
+    expected = [of("e2", "target", "x"), of("e3", "source", "y"), of("e3", "target", "x"), ("e4", None), of("e5", "source", "x"), ("e5", None)]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(expected, key=str)
+    assert optimized(found).count("LogicalRDD") == 2  # the edges, for each side; the nodes met distinct ends before
