@@ -143,8 +143,11 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int, both_ways: bool =
 
 
 def resolve_endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Edges with the types of both ends; an end that no node has gives null."""
-    ends = nodes.select("id", "node_type")
+    """Edges with the types of both ends; an end that no node has gives null.
+
+    Ids are looked up in hashed partitions of the nodes, so that no edges are sorted, of which there are more.
+    """
+    ends = nodes.select("id", "node_type").hint("shuffle_hash")
     return edges.join(ends.select(F.col("id").alias("source_id"), F.col("node_type").alias("from_type")), "source_id", "left").join(ends.select(F.col("id").alias("target_id"), F.col("node_type").alias("to_type")), "target_id", "left")
 
 

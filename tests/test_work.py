@@ -60,3 +60,17 @@ def test_edges_meet_only_missing_ids(spark):
     expected = [of("e2", "target", "x"), of("e3", "source", "y"), of("e3", "target", "x"), ("e4", None), of("e5", "source", "x"), ("e5", None)]
     assert sorted(map(tuple, found.collect()), key=str) == sorted(expected, key=str)
     assert optimized(found).count("LogicalRDD") == 2  # the edges, for each side; the nodes met distinct ends before
+
+
+def test_no_edges_are_sorted_to_find_their_ends_types(spark):
+    nodes = spark.createDataFrame([("a", "A"), ("b", "B")], "id string, node_type string")
+    edges = spark.createDataFrame([("R", "a", "b"), ("R", "a", "x"), ("S", None, "a")], "edge_type string, source_id string, target_id string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = graph.resolve_endpoints(nodes, edges)
+        rows = found.select("edge_type", "source_id", "target_id", "from_type", "to_type").collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(tuple, rows), key=str) == sorted([("R", "a", "b", "A", "B"), ("R", "a", "x", "A", None), ("S", None, "a", None, "A")], key=str)
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan
