@@ -83,8 +83,9 @@ def capped(events: DataFrame, debounce_seconds: float, max_wait_seconds: float,
     rows = ordered.position(_with_gaps(events, debounce_seconds, key), "pos")
     rows = ordered.latest(rows, F.when(F.col("quiet") == 1, F.col("pos")), "stretch")
     rows = materialize(rows, "stretches")
-    # stretches shorter than the cap have no cut
+    # stretches shorter than the cap have no cut; stored, as are the openings, so that few are known to be few and no event is shuffled to meet them
     long = rows.groupBy("stretch").agg(F.min("at").alias("from_"), F.max("at").alias("to_")).where(F.col("to_") - F.col("from_") >= wait).select("stretch")
+    long = materialize(long, "long")
     inside = materialize(rows.select("stretch", "at", "pos").join(long, "stretch", "left_semi"), "busy")
     opening = rows.where("quiet = 1").select(F.col("pos").alias("at"))
     if not inside.isEmpty():
@@ -95,7 +96,8 @@ def capped(events: DataFrame, debounce_seconds: float, max_wait_seconds: float,
         links = both.where((F.col("kind") == 0) & (F.col("next_")["stretch"] == F.col("stretch"))).select(F.col("pos").alias("at"), F.col("next_")["pos"].alias("to"))
         starts = inside.where("pos = stretch").select(F.col("pos").alias("at"))
         opening = opening.unionByName(ordered.reached(starts, links, "openings")).distinct()
-    opened = rows.join(opening.select(F.col("at").alias("pos"), F.lit(1).alias("opens")), "pos", "left").withColumn("opens", F.coalesce("opens", F.lit(0)))
+    opening = materialize(opening.select(F.col("at").alias("pos"), F.lit(1).alias("opens")), "opening")
+    opened = rows.join(opening, "pos", "left").withColumn("opens", F.coalesce("opens", F.lit(0)))
     out = ordered.running_sum(materialize(opened, "opened"), F.col("opens"), "batch", key)
     return out.select(*events.columns, F.col("batch").cast("int").alias("batch"))
 

@@ -19,8 +19,8 @@ BACK = (Window.unboundedPreceding, Window.currentRow)
 def placed(rows: DataFrame, order: list[str | Column], name: str = "placed") -> DataFrame:
     """``rows`` in the order of those columns, stored with ``part_`` and ``row_`` (from 1 within it). Ties have no order of their own."""
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(PART, F.spark_partition_id())
-    stored = materialize(ordered, name)
-    return stored.withColumn(ROW, F.row_number().over(Window.partitionBy(PART).orderBy(*order)))
+    # this id counts a partition's rows from its number times 2**33; stored, so that later passes need not deal and sort for it
+    return materialize(ordered.withColumn(ROW, F.monotonically_increasing_id() - F.shiftleft(F.col(PART).cast("bigint"), 33) + 1), name)
 
 
 def _carried(rows: DataFrame, value: Column, name: str, onward: bool) -> DataFrame:
@@ -76,14 +76,20 @@ def position(rows: DataFrame, name: str) -> DataFrame:
 def reached(starts: DataFrame, links: DataFrame, name: str = "reached", rounds: int = 64) -> DataFrame:
     """(at): the starts and all that their links lead to, one link (at, to) a place: by doubling.
 
-    After k rounds every place within 2**k links of a start is known and a link spans 2**k, so a chain of n links
-    takes log2(n) joins, and no place is followed alone.
+    Links of 2**k places are joined to links twice as long, up to the first that leave no start; then the places in
+    between are filled in, from the longest links down. A chain of n links takes log2(n) joins each way, and no place
+    is followed alone. A place that stands 2**k links or more behind a start is the end of such a link, so the longer
+    links are only made from starts and such ends, which grow fewer where chains meet.
     """
-    known, links = materialize(starts.select("at").distinct(), name), materialize(links.select("at", "to"), f"{name}-links")
-    for _ in range(rounds):
-        new = materialize(links.join(known, "at", "left_semi").select(F.col("to").alias("at")).distinct().join(known, "at", "left_anti"), f"{name}-new")
-        if new.isEmpty():
-            return known
-        known = known.unionByName(new)  # stored, both of them
-        links = materialize(links.join(links.select(F.col("at").alias("to"), F.col("to").alias("next")), "to").select("at", F.col("next").alias("to")), f"{name}-links")
-    raise ValueError(f"{name}: links don't end")
+    starts = materialize(starts.select("at").distinct(), name)
+    levels = [materialize(links.select("at", "to"), f"{name}-links")]
+    while not (links := levels[-1]).join(starts, "at", "left_semi").isEmpty():
+        if len(levels) > rounds:
+            raise ValueError(f"{name}: links don't end")
+        needed = links.select(F.col("to").alias("at")).union(starts).distinct()
+        first = links.join(needed, "at", "left_semi")
+        levels.append(materialize(first.join(links.select(F.col("at").alias("to"), F.col("to").alias("next")), "to").select("at", F.col("next").alias("to")), f"{name}-links"))
+    known = starts
+    for links in reversed(levels[:-1]):
+        known = materialize(known.union(links.join(known, "at", "left_semi").select("to")).distinct(), name)
+    return known

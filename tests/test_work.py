@@ -1,7 +1,10 @@
 """How often plans do the same work, and what they shuffle: read from the plans, not from clocks."""
 
+import pytest
+from pyspark.sql import functions as F
+
 from skein import catalog
-from skein.operators import graph, search
+from skein.operators import graph, ordered, search
 from skein.sources import markdown
 
 SF = "/root/testdata/sf0.001"
@@ -74,3 +77,17 @@ def test_no_edges_are_sorted_to_find_their_ends_types(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sorted(map(tuple, rows), key=str) == sorted([("R", "a", "b", "A", "B"), ("R", "a", "x", "A", None), ("S", None, "a", None, "A")], key=str)
     assert "ShuffledHashJoin" in plan and "Sort" not in plan
+
+
+def test_rows_are_numbered_where_they_are_placed(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"))
+    placed = ordered.placed(rows, ["v"])
+    assert "Window" not in optimized(placed)  # each reader dealt and sorted all rows to number them
+    found = sorted(map(tuple, placed.select("part_", "row_", "v").collect()))
+    assert [v for _, _, v in found] == list(range(1000))
+    assert all(row == 1 if i == 0 or found[i - 1][0] != part else row == found[i - 1][1] + 1 for i, (part, row, _) in enumerate(found))
+
+
+def test_links_that_end_nowhere_are_an_error(spark):
+    with pytest.raises(ValueError, match="don't end"):
+        ordered.reached(spark.createDataFrame([(0,)], "at bigint"), spark.createDataFrame([(0, 1), (1, 0)], "at bigint, to bigint"), rounds=3)
