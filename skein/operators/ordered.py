@@ -83,7 +83,8 @@ def reached(starts: DataFrame, links: DataFrame, name: str = "reached", rounds:
     """
     starts = materialize(starts.select("at").distinct(), name)
     levels = [materialize(links.select("at", "to"), f"{name}-links")]
-    while not (links := levels[-1]).join(starts, "at", "left_semi").isEmpty():
+    n = levels[0].count()  # no place is further away, also where links go in circles
+    while 2 ** (len(levels) - 1) <= n and not (links := levels[-1]).join(starts, "at", "left_semi").isEmpty():
         if len(levels) > rounds:
             raise ValueError(f"{name}: links don't end")
         needed = links.select(F.col("to").alias("at")).union(starts).distinct()
